@@ -1,0 +1,42 @@
+"""Queries of the training-data problems over the dataset's tables, with SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.conversations import conversations
+from tessera.llm.lookalikes import lookalike_pairs
+from tessera.sources.tables import table
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(table(spark, d, "conversation_turns"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("src_table"), F.col("chunk_id").alias("key"), "text")
+    questions = table(spark, d, "application_questions").select(F.lit("application_questions").alias("src_table"), F.col("id").alias("key"), F.col("question").alias("text"))
+    return lookalike_pairs(chunks.unionByName(questions))
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
+SQL = {
+    "p1_found": r"""
+WITH named AS (
+  SELECT id, lower(trim(session_id)) AS sid, created_at, question, answer,
+    NOT (question IS NULL OR NOT regexp_matches(question, '[\p{L}\p{N}]') OR regexp_matches(question, '^\s*(null|none|nan|n/a|undefined)\s*$', 'i')) AS q,
+    NOT (answer IS NULL OR NOT regexp_matches(answer, '[\p{L}\p{N}]') OR regexp_matches(answer, '^\s*(null|none|nan|n/a|undefined)\s*$', 'i')) AS a
+  FROM conversation_turns WHERE trim(session_id) <> ''
+), once AS (
+  SELECT sid, created_at, question, answer, q, a, min(id) AS id FROM named WHERE q OR a GROUP BY sid, created_at, question, answer, q, a
+), messages AS (
+  SELECT sid, id, created_at, 0 AS k, 'user' AS role FROM once WHERE q UNION ALL SELECT sid, id, created_at, 1, 'assistant' FROM once WHERE a
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY sid ORDER BY created_at, id, k) AS msg_no, count(*) OVER (PARTITION BY sid) AS n FROM messages
+), good AS (
+  SELECT sid FROM numbered GROUP BY sid
+  HAVING bool_and(created_at IS NOT NULL) AND bool_and((role = 'user') = (msg_no % 2 = 1)) AND max(n) % 2 = 0
+)
+SELECT sid AS session_id, msg_no, role, id AS turn_id FROM numbered WHERE sid IN (SELECT sid FROM good)""",
+}
