@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.conversations import conversations
 from tessera.llm.lookalikes import lookalike_pairs
+from tessera.llm.neardup import near_duplicate_pairs
 from tessera.sources.tables import table
 
 
@@ -14,13 +15,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations(table(spark, d, "conversation_turns"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicate_pairs(table(spark, d, "chunks").select(F.col("chunk_id").alias("key"), "text"), ("chunk_id_a", "chunk_id_b"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("src_table"), F.col("chunk_id").alias("key"), "text")
     questions = table(spark, d, "application_questions").select(F.lit("application_questions").alias("src_table"), F.col("id").alias("key"), F.col("question").alias("text"))
     return lookalike_pairs(chunks.unionByName(questions))
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found}
 SQL = {
     "p1_found": r"""
 WITH named AS (
