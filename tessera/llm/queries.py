@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.llm.conversations import conversations
 from tessera.llm.lookalikes import lookalike_pairs
 from tessera.llm.neardup import near_duplicate_pairs
+from tessera.llm.packing import container_report, pack_documents
+from tessera.llm.splitting import once, split_oversized
 from tessera.sources.tables import table
 
 
@@ -25,8 +27,35 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(chunks.unionByName(questions))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found}
+def _oversized(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+    chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("src_table"), F.col("chunk_id").alias("item_id"), "text", "section_path")
+    pages = table(spark, d, "document_pages").select(F.lit("document_pages").alias("src_table"), F.col("page_id").cast("string").alias("item_id"), "text", F.array().cast("array<string>").alias("section_path"))
+    return split_oversized(chunks.unionByName(pages), with_text=with_text)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _oversized(spark, d, False).where("piece_no = 1 and item_id is not null").select("src_table", "item_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return once(_oversized(spark, d, True))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(table(spark, d, "documents"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return container_report(pack_documents(table(spark, d, "documents")))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p7_containers": p7_containers, "p7_report": p7_report}
+_TOKEN = r"16#[0-9A-Fa-f]+|[\x{4e00}-\x{9fff}]|[A-Za-z]+(?:_[A-Za-z]+)*|\p{Nd}+(?:\.\p{Nd}+)?"
 SQL = {
+    "p4_found": f"""
+SELECT DISTINCT src_table, item_id FROM (
+  SELECT 'chunks' AS src_table, chunk_id AS item_id, text FROM chunks UNION ALL SELECT 'document_pages', CAST(page_id AS VARCHAR), text FROM document_pages
+) WHERE len(regexp_extract_all(text, '{_TOKEN}')) > 450""",
     "p1_found": r"""
 WITH named AS (
   SELECT id, lower(trim(session_id)) AS sid, created_at, question, answer,
