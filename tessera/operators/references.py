@@ -62,6 +62,24 @@ def bloom_table(parents: DataFrame, key: str, words: int) -> DataFrame:
     return parents.where(F.col(key).isNotNull()).groupBy(_word(F.col(key), words).alias("word")).agg(F.bit_or(_mask(F.col(key))).alias("bits"))
 
 
+def bloom_maybe(df: DataFrame, column: str, parents: DataFrame, key: str, count: int, max_words: int = MAX_WORDS) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among the ``count`` values of ``parents[key]``; no other column is
+    added. All rows that are among them stay, and some others."""
+    words = filter_words(count, max_words)
+    mask = _mask(F.col(column))
+    bloom = bloom_table(parents, key, words).withColumnsRenamed({"word": "_bloom_word", "bits": "_bloom_bits"})
+    joined = df.join(F.broadcast(bloom), _word(F.col(column), words) == F.col("_bloom_word"))
+    return joined.where(F.col("_bloom_bits").bitwiseAND(mask) == mask).drop("_bloom_word", "_bloom_bits")
+
+
+def filter_words(count: int, max_words: int = MAX_WORDS) -> int:
+    """Words for a filter of ``count`` keys, a power of two of at most ``max_words``."""
+    words = 1 << 10
+    while words < max_words and words * 64 < count * BITS_A_KEY:
+        words *= 2
+    return words
+
+
 def orphan_references(refs: DataFrame, parents: DataFrame, *, parent_key: str = "chunk_id", since: str = "ingested_at", max_words: int = MAX_WORDS) -> DataFrame:
     """References of ``refs`` (``ref_table, ref_id, chunk_id, at``) that no parent answers.
 
@@ -70,10 +88,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, *, parent_key: str =
     a null ``at`` or a parent without any time is not tested for that. Of repeated references with several times
     the latest counts. An empty parent table makes every reference an orphan; an empty ``refs`` gives no rows.
     """
-    count = parents.select(parent_key).count()
-    words = 1 << 10
-    while words < max_words and words * 64 < count * BITS_A_KEY:
-        words *= 2
+    words = filter_words(parents.select(parent_key).count(), max_words)
     bloom = bloom_table(parents, parent_key, words)
     mask = _mask(F.col("chunk_id"))
     tested = refs.withColumn("word", _word(F.col("chunk_id"), words)).join(F.broadcast(bloom), "word", "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False))).drop("word", "bits")
