@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.conversations import conversations
+from tessera.llm.leakage import leaked_items
 from tessera.llm.lookalikes import lookalike_pairs
 from tessera.llm.neardup import near_duplicate_pairs
 from tessera.llm.packing import container_report, pack_documents
@@ -49,7 +50,17 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return container_report(pack_documents(table(spark, d, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p7_containers": p7_containers, "p7_report": p7_report}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "test_items")).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per item in how many documents it is, and how much of it at most."""
+    found = leaked_items(table(spark, d, "documents"), table(spark, d, "test_items"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max(F.col("stretch") / F.col("item_words")).alias("most"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_items": p8_items}
 _TOKEN = r"16#[0-9A-Fa-f]+|[\x{4e00}-\x{9fff}]|[A-Za-z]+(?:_[A-Za-z]+)*|\p{Nd}+(?:\.\p{Nd}+)?"
 SQL = {
     "p4_found": f"""
