@@ -42,3 +42,23 @@ def local_session(name: str = "tessera", cores: str = "*", partitions: int = 8,
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers where they would not find it by themselves (neither installed on the
+    path they inherit nor in the working folder)."""
+    import os
+    import zipfile
+
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.path.abspath(os.getcwd()) == root or getattr(spark.sparkContext, "_tessera_sent", False):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="tessera-package-"), "tessera.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), root))
+    spark.sparkContext.addPyFile(target)
+    spark.sparkContext._tessera_sent = True
