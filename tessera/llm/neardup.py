@@ -20,21 +20,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.pairs import FULL_PAIRS, expand_pairs
 from tessera.llm.text import WordHasher, run_sets, words_of
+from tessera.operators.references import bloom_maybe
 from tessera.session import checkpoint, shuffle_partitions
 
 K = 3
 BITS = 256
+#: Texts of a block that are paired one by one; larger blocks are compared as tiles.
+SMALL = 32
 #: A block beyond so many texts is cut into tiles that meet pairwise in different tasks.
 TILE_ROWS = 4096
 #: Rows of a tile that is compared in memory.
 TILE = 256
-_SCHEMA = "key string, cls binary, n int, pop int, bits binary, bands array<long>"
+_SCHEMA = "rid long, key string, cls binary, n int, pop int, bits binary, bands array<int>"
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -44,10 +47,9 @@ def _multipliers(n: int) -> np.ndarray:
 def _signatures(bands: int, rows: int):
     """Reads ``key, text``; gives class, number of runs, bit vector and band keys of each text with a word."""
     factors = _multipliers(bands * rows)
-    tags = _multipliers(bands)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, rid = WordHasher(), TaskContext.get().partitionId() << 40
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
@@ -59,24 +61,25 @@ def _signatures(bands: int, rows: int):
                 ends = np.cumsum(lengths)
                 cls = [xxhash.xxh3_128_digest(hashes[e - n : e].tobytes()) for e, n in zip(ends, lengths)]
                 runs, counts = run_sets(hashes, lengths, K)
-                starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+                starts = np.cumsum(counts) - counts
                 bits = np.zeros((len(keep), BITS), np.uint8)
-                bits[np.repeat(np.arange(len(keep)), counts), (runs >> np.uint64(7)) % np.uint64(BITS)] = 1
-                keys = np.zeros((len(keep), bands), np.uint64)
+                bits[np.repeat(np.arange(len(keep)), counts), runs % np.uint64(BITS)] = 1
+                keys = np.empty((len(keep), bands), np.uint32)
                 for j in range(bands):
-                    k = np.full(len(keep), tags[j])
+                    k = np.zeros(len(keep), np.uint64)
                     for f in factors[j * rows : (j + 1) * rows]:
                         k = (k ^ np.minimum.reduceat(runs * f, starts)) * np.uint64(0x9E3779B97F4A7C15)
                         k ^= k >> np.uint64(32)
-                    keys[:, j] = k
-                packed = np.packbits(bits, axis=1)
+                    keys[:, j] = k >> np.uint64(32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("key").take(pa.array(keep, pa.int64())), pa.array(cls, pa.binary()), pa.array(counts.astype(np.int32)), pa.array(bits.sum(axis=1, dtype=np.int32)), pa.array([r.tobytes() for r in packed], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int64))),
+                        pa.array(np.arange(rid, rid + len(keep))), b.column("key").take(pa.array(keep, pa.int64())), pa.array(cls, pa.binary()), pa.array(counts.astype(np.int32)),
+                        pa.array(bits.sum(axis=1, dtype=np.int32)), pa.array([r.tobytes() for r in np.packbits(bits, axis=1)], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int32))),
                     ],
-                    ["key", "cls", "n", "pop", "bits", "bands"],
+                    [c.split()[0] for c in _SCHEMA.split(", ")],
                 )
+                rid += len(keep)
 
     return work
 
@@ -109,80 +112,104 @@ def tile_pairs(vectors: np.ndarray, sizes: np.ndarray, pops: np.ndarray, thresho
     return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _compare(threshold: float):
-    """Reads rows sorted by block and bit count; gives pairs of classes within the radius."""
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables that hold whole blocks of rows sorted by ``block``, and where their blocks begin, with the end."""
+
+    def cut(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(held)
+        block = t.column("block").to_numpy()
+        return t, np.concatenate(([0], np.nonzero(block[1:] != block[:-1])[0] + 1, [len(block)]))
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        block = b.column("block").to_numpy()
+        if held and held[-1].column("block")[-1].as_py() != block[0]:
+            yield cut(held)
+            held = []
+        changes = np.nonzero(block[1:] != block[:-1])[0]
+        if len(changes):
+            at = int(changes[-1]) + 1
+            yield cut([*held, b.slice(0, at)])
+            held = [b.slice(at)]
+        else:
+            held.append(b)
+    if held:
+        yield cut(held)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads ``block, rid`` sorted by block; gives pairs of rids for small blocks, and rows of large blocks as they
+    are (``big``, with the block's size)."""
+    for t, first in _whole_blocks(batches):
+        block, rid = t.column("block").to_numpy(), t.column("rid").to_numpy()
+        size = np.repeat(np.diff(first), np.diff(first))
+        pairs = []
+        for d in range(1, SMALL):
+            i = np.nonzero((block[:-d] == block[d:]) & (size[:-d] <= SMALL))[0] if len(block) > d else []
+            if not len(i):
+                break
+            pairs.append(np.stack((np.minimum(rid[i], rid[i + d]), np.maximum(rid[i], rid[i + d])), axis=1))
+        x = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        big = size > SMALL
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate((x[:, 0], block[big]))), pa.array(np.concatenate((x[:, 1], rid[big]))), pa.array(np.concatenate((np.zeros(len(x), np.int64), size[big])))], ["x", "y", "size"]
+        )
+
+
+def _words(b: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column(name).to_pylist()), np.uint64).reshape(b.num_rows, -1)
+
+
+def _near(threshold: float):
+    """Pairs of vectors within the radius."""
     share = (1 - threshold) / (1 + threshold)
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Tables that hold whole blocks, cut where the block changes."""
-        held: list[pa.RecordBatch] = []
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            block = b.column("block").to_numpy()
-            changes = np.nonzero(block[1:] != block[:-1])[0]
-            joins = held and held[-1].column("block")[-1].as_py() == block[0]
-            if held and not joins:
-                yield pa.Table.from_batches(held)
-                held = []
-            if len(changes):
-                cut = int(changes[-1]) + 1
-                yield pa.Table.from_batches([*held, b.slice(0, cut)])
-                held = [b.slice(cut)]
-            else:
-                held.append(b)
-        if held:
-            yield pa.Table.from_batches(held)
+            if b.num_rows:
+                radius = (b.column("n_x").to_numpy() + b.column("n_y").to_numpy()) * share
+                apart = np.bitwise_count(_words(b, "bits_x") ^ _words(b, "bits_y")).sum(axis=1)
+                yield b.select(["x", "y"]).filter(pa.array(apart <= radius))
+
+    return work
+
+
+def _compare(threshold: float):
+    """Reads rows sorted by block and bit count; gives pairs within the radius, tile by tile."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in blocks(batches):
-            block, n, pop, tile = (t.column(c).to_numpy().astype(np.int64) for c in ("block", "n", "pop", "tile"))
-            cls = t.column("cls").to_pylist()
-            vectors = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(block), -1)
-            first = np.concatenate(([0], np.nonzero(block[1:] != block[:-1])[0] + 1, [len(block)]))
-            size = np.diff(first)
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-            # many small blocks at once: the rows d further on, while they are of the same block
-            small = np.repeat(size <= 32, size)
-            for d in range(1, 32):
-                i = np.nonzero((block[:-d] == block[d:]) & small[:-d])[0] if len(block) > d else np.zeros(0, np.int64)
-                if not len(i):
-                    break
-                j = i + d
-                radius = (n[i] + n[j]) * share
-                ok = pop[j] - pop[i] <= radius
-                i, j, radius = i[ok], j[ok], radius[ok]
-                ok = np.bitwise_count(vectors[i] ^ vectors[j]).sum(axis=1) <= radius
-                out.append((i[ok], j[ok]))
-            for k in np.nonzero(size > 32)[0]:
-                s = slice(first[k], first[k + 1])
-                i, j = tile_pairs(vectors[s], n[s], pop[s], threshold, tile[s] if t.column("split")[int(first[k])].as_py() else None)
-                out.append((i + first[k], j + first[k]))
-            pairs = {(min(cls[a], cls[b]), max(cls[a], cls[b])) for i, j in out for a, b in zip(i.tolist(), j.tolist()) if cls[a] != cls[b]}
-            if pairs:
-                a, b = zip(*pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        for t, first in _whole_blocks(batches):
+            rid, n, pop, tile = (t.column(c).to_numpy().astype(np.int64) for c in ("rid", "n", "pop", "tile"))
+            across, vectors = t.column("across").to_pylist(), _words(t, "bits")
+            for lo, hi in zip(first[:-1], first[1:]):
+                i, j = tile_pairs(vectors[lo:hi], n[lo:hi], pop[lo:hi], threshold, tile[lo:hi] if across[lo] else None)
+                a, b = rid[lo:hi][i], rid[lo:hi][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["x", "y"])
 
     return work
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """32-bit hashes of the runs: two texts of a thousand runs have a false one in common once in 4,000 pairs."""
     hasher = WordHasher()
     for b in batches:
         runs, counts = run_sets(*hasher([words_of(t) for t in b.column("text").to_pylist()]), K)
         offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b.column("cls"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(runs.view(np.int64)))], ["cls", "runs"])
+        short = (runs >> np.uint64(21)).astype(np.uint32).view(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column("rid"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(short))], ["rid", "runs"])
 
 
 def _verified(threshold: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for s, t in zip(b.column("s"), b.column("t")):
+                s, t = s.values.to_numpy(), t.values.to_numpy()
+                both = len(np.intersect1d(s, t))
+                keep.append(both >= threshold * (len(s) + len(t) - both) - 1e-9)
+            yield b.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     return work
 
@@ -191,36 +218,42 @@ def near_duplicate_links(rows: DataFrame, threshold: float = 0.6, bands: int = 2
     """Links between classes of equal word sequences, and the classes' members.
 
     ``rows``: ``key, text``. Result: ``a, b`` (distinct pairs of different classes that reach the threshold) and
-    ``cls, key`` (distinct). Null keys and texts without a word take no part. Copies share a class, so masses of
-    them cost one entry in each block."""
-    spark = rows.sparkSession
+    ``cls, key`` (distinct). Null keys and texts without a word take no part. Copies share a class, and only one
+    row of a class goes into blocks, so masses of copies make no block large."""
+    parts = shuffle_partitions(rows.sparkSession)
     named = rows.where(F.col("key").isNotNull() & (F.length("text") > 0)).select("key", "text")
     signed = checkpoint(named.mapInArrow(_signatures(bands, band_rows), _SCHEMA))
-    members = signed.select("cls", "key").distinct()
-    classes = signed.groupBy("cls").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    # only a class's first row goes into blocks; rows to leave out are few unless copies are many
-    spare = signed.select("cls", "key").join(classes.where("copies > 1"), "cls").where("key != rep").select("key").distinct()
-    lone = signed.join(spare, "key", "left_anti")
-    entries = lone.select("key", F.explode("bands").alias("block")).distinct()
-    # a block of one text links nothing; a large one is cut into tiles
-    counted = entries.select("block", "key", F.count(F.lit(1)).over(W.partitionBy("block")).alias("size")).where("size > 1")
+    copied = signed.groupBy("cls").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    spare = signed.select("cls", "rid").join(copied, "cls").where("rid != rep").select("rid")
+    lone = signed.select("rid", "bands").join(spare, "rid", "left_anti")
+    entries = lone.select("rid", F.posexplode("bands").alias("band", "code")).select("rid", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("code")).alias("block"))
+    met = checkpoint(entries.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_meet, "x long, y long, size long").distinct())
+
+    vectors = signed.select("rid", "n", "bits")
+    pairs = met.where("size = 0").select("x", "y")
+    pairs = pairs.join(vectors.select(F.col("rid").alias("x"), F.col("n").alias("n_x"), F.col("bits").alias("bits_x")), "x")
+    pairs = pairs.join(vectors.select(F.col("rid").alias("y"), F.col("n").alias("n_y"), F.col("bits").alias("bits_y")), "y")
+    near = pairs.select("x", "y", "n_x", "n_y", "bits_x", "bits_y").mapInArrow(_near(threshold), "x long, y long")
+
+    # a large block is cut into tiles: a pair of tiles pairs across only, a tile with itself pairs within
     tiles = F.ceil(F.col("size") / F.lit(TILE_ROWS)).cast("int")
-    tile = F.pmod(F.hash("key"), tiles)
-    met = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.xxhash64("block", F.least(t, tile), F.greatest(t, tile)))
-    met = F.when(tiles == 1, F.array("block")).otherwise(met)
-    placed = counted.select("key", tile.alias("tile"), (tiles > 1).alias("many"), tiles.alias("tiles"), F.posexplode(met).alias("other", "block"))
-    # a pair of different tiles pairs across only; a tile with itself pairs within
-    placed = placed.withColumn("split", F.col("many") & (F.col("other") != F.col("tile"))).select("key", "tile", "split", "block")
-    vectors = signed.select("key", "cls", "n", "pop", "bits").dropDuplicates(["key"])
-    parts = shuffle_partitions(spark)
-    compared = placed.join(vectors, "key").select("block", "tile", "split", "cls", "n", "pop", "bits").repartition(parts, "block").sortWithinPartitions("block", "pop")
-    links = checkpoint(compared.mapInArrow(_compare(threshold), "a binary, b binary").distinct())
-    ends = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "rep"), "cls")
+    big = met.where("size > 0").select(F.col("x").alias("block"), F.col("y").alias("rid"), tiles.alias("tiles")).withColumn("tile", F.pmod(F.hash("rid"), F.col("tiles")))
+    placed = big.select("block", "rid", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    placed = placed.select(F.xxhash64("block", F.least("tile", "other"), F.greatest("tile", "other")).alias("block"), "rid", "tile", (F.col("tile") != F.col("other")).alias("across"))
+    tiled = placed.join(signed.select("rid", "n", "pop", "bits"), "rid").select("block", "rid", "tile", "across", "n", "pop", "bits").repartition(parts, "block").sortWithinPartitions("block", "pop")
+    links = checkpoint(near.unionByName(tiled.mapInArrow(_compare(threshold), "x long, y long")).distinct())
+
+    ends = links.select(F.col("x").alias("rid")).union(links.select(F.col("y").alias("rid"))).distinct()
+    needed = checkpoint(ends.join(signed.select("rid", "key", "cls"), "rid"))
+    # a filter of bounded size keeps most other texts out of the shuffle; the join is exact
+    texts = bloom_maybe(named, "key", needed, "key", needed.count()).join(needed.select("rid", "key"), "key").select("rid", "text")
     # repeated rows of a representative give the same set; the aggregate keeps one
-    sets = named.join(ends.select("cls", F.col("rep").alias("key")), "key").select("cls", "text").mapInArrow(_sets, "cls binary, runs array<long>")
-    sets = sets.groupBy("cls").agg(F.first("runs").alias("runs"))
-    paired = links.join(sets.select(F.col("cls").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("runs").alias("y")), "b")
-    return paired.select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a binary, b binary"), members
+    sets = texts.mapInArrow(_sets, "rid long, runs array<int>").groupBy("rid").agg(F.first("runs").alias("runs"))
+    paired = links.join(sets.select(F.col("rid").alias("x"), F.col("runs").alias("s")), "x").join(sets.select(F.col("rid").alias("y"), F.col("runs").alias("t")), "y")
+    true = paired.select("x", "y", "s", "t").mapInArrow(_verified(threshold), "x long, y long")
+    names = needed.select("rid", "cls")
+    named_links = true.join(names.select(F.col("rid").alias("x"), F.col("cls").alias("a")), "x").join(names.select(F.col("rid").alias("y"), F.col("cls").alias("b")), "y").select("a", "b")
+    return named_links, signed.select("cls", "key")
 
 
 def near_duplicate_pairs(rows: DataFrame, names: tuple[str, str] = ("key_a", "key_b"), threshold: float = 0.6, full_pairs: int = FULL_PAIRS) -> DataFrame:
@@ -230,8 +263,10 @@ def near_duplicate_pairs(rows: DataFrame, names: tuple[str, str] = ("key_a", "ke
     (``pairs.expand_pairs``). A text of one or two words pairs only with texts of the same words. A key with
     several texts takes part with each."""
     links, members = near_duplicate_links(rows, threshold)
-    copies = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    return expand_pairs(links.unionByName(copies), members, names, full_pairs)
+    copies = members.groupBy("cls").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    linked = checkpoint(links.unionByName(copies))
+    ends = linked.select(F.col("a").alias("cls")).union(linked.select(F.col("b").alias("cls"))).distinct()
+    return expand_pairs(linked, members.join(ends, "cls", "left_semi").distinct(), names, full_pairs)
 
 
 def expected_recall(similarity: float, bands: int = 24, band_rows: int = 3) -> float:

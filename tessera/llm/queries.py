@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.conversations import conversations
+from tessera.llm.languages import document_languages, language_cases, language_segments
 from tessera.llm.leakage import leaked_items
 from tessera.llm.lookalikes import lookalike_pairs
 from tessera.llm.neardup import near_duplicate_pairs
@@ -60,7 +61,23 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max(F.col("stretch") / F.col("item_words")).alias("most"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_items": p8_items}
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    return language_segments(table(spark, d, "documents"), table(spark, d, "lang_samples"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language_cases(_segments(spark, d))
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d)
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return document_languages(_segments(spark, d))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
 _TOKEN = r"16#[0-9A-Fa-f]+|[\x{4e00}-\x{9fff}]|[A-Za-z]+(?:_[A-Za-z]+)*|\p{Nd}+(?:\.\p{Nd}+)?"
 SQL = {
     "p4_found": f"""

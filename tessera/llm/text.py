@@ -45,9 +45,22 @@ def consistent_form(text: str | None, fold: bool = False) -> str | None:
     return unicodedata.normalize("NFKC", text.casefold()) if fold else text
 
 
+#: Letters and digits of Latin-1 as they are, all else a space.
+_LATIN = bytes(b if chr(b).isalnum() else 32 for b in range(256))
+
+
+def split_words(text: str) -> list[str]:
+    """Words of a text that is lower-case and in consistent form. The Greek letter of micro counts as the sign."""
+    text = text.replace("\u03bc", "\u00b5")
+    try:
+        return text.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORDS.findall(text)
+
+
 def words_of(text: str | None) -> list[str]:
     """Words of the lower-case consistent form, in order; none for null and blank texts."""
-    return WORDS.findall(consistent_form(text).lower()) if text else []
+    return split_words(consistent_form(text).lower()) if text else []
 
 
 class WordHasher:
@@ -73,27 +86,30 @@ class WordHasher:
 
 
 def run_sets(hashes: np.ndarray, lengths: np.ndarray, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of runs of ``k`` words of each text, sorted, end to end, and how many each text has.
+    """Distinct 53-bit hashes of runs of ``k`` words of each text, sorted, end to end, and how many each text has.
 
     A text of fewer words than ``k`` has one run: all of its words (none if it has no word)."""
-    mix = hashes.copy()
+    if len(lengths) > 2048:
+        ends = np.cumsum(lengths)
+        parts = []
+        for i in range(0, len(lengths), 2048):
+            j = min(len(lengths), i + 2048)
+            parts.append(run_sets(hashes[ends[i] - lengths[i] : ends[j - 1]], lengths[i:j], k))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     total = len(hashes)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
+    starts = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
     left = np.repeat(starts + lengths, lengths) - np.arange(total)  # words from here to the text's end
-    acc = mix * _M1
+    acc = hashes * _M1
     for i in range(1, k):
         nxt = np.concatenate((hashes[i:], np.zeros(min(i, total), np.uint64)))
-        nxt = np.where(left > i, nxt, np.uint64(0))
+        nxt[left <= i] = 0
         acc = (acc ^ (acc >> np.uint64(29))) * _M2 + (nxt ^ (nxt >> np.uint64(31 - i))) * _M3
     acc ^= acc >> np.uint64(32)
-    first = np.zeros(total, bool)
-    first[starts[lengths > 0]] = True
-    keep = (left >= k) | (first & (left < k))
-    acc, owner = acc[keep], owner[keep]
-    order = np.lexsort((acc, owner))
-    acc, owner = acc[order], owner[order]
-    if len(acc):
-        new = np.concatenate(([True], (acc[1:] != acc[:-1]) | (owner[1:] != owner[:-1])))
-        acc, owner = acc[new], owner[new]
-    return acc, np.bincount(owner, minlength=len(lengths)).astype(np.int64)
+    keep = left >= k
+    short = starts[(lengths > 0) & (lengths < k)]
+    keep[short] = True
+    keys = np.sort((owner[keep] << np.uint64(53)) | (acc[keep] >> np.uint64(11)))
+    if len(keys):
+        keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+    return keys & np.uint64((1 << 53) - 1), np.bincount((keys >> np.uint64(53)).astype(np.int64), minlength=len(lengths))
