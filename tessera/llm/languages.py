@@ -34,7 +34,7 @@ SMOOTHING = 20.0
 WORDS_STOPPED, WORDS_OPEN = 4, 8
 CHARS_STOPPED, CHARS_OPEN = 6, 12
 
-_TOKEN = re.compile("[\u4e00-\u9fff]|[^\\W\\d_\u4e00-\u9fff]+")
+_TOKEN = re.compile("[\u4e00-\u9fff]|[^\\W_\u4e00-\u9fff]+")
 _SENTENCE = re.compile("[^.!?。！？\\n]*(?:[.!?](?=\\S)(?![\"'”’»)\\]]*(?:\\s|$|[\u3400-\u9fff]))[^.!?。！？\\n]*)*(?:[.!?。！？]+[\"'”’»)\\]]*|\\n|$)")
 _STOPS = ".!?。！？"
 
@@ -48,6 +48,11 @@ def declared(label: Column) -> Column:
     return rule
 
 
+def is_code(word: str) -> bool:
+    """Whether a word has a digit or is of capitals only, and so is of no language."""
+    return not word.isalpha() or (len(word) > 1 and word.isupper())
+
+
 class Model:
     """Log-likelihoods of words in each language."""
 
@@ -57,7 +62,7 @@ class Model:
         for lang, text in samples:
             if lang in LANGS and text:
                 for w in _TOKEN.findall(text):
-                    if not (len(w) > 1 and w.isupper()):
+                    if not is_code(w):
                         words[LANGS.index(lang)][w.lower()] += 1
         for c, g in zip(words, grams):
             for w, n in c.items():
@@ -75,9 +80,7 @@ class Model:
         return [w[i : i + 3] for i in range(len(w) - 2)]
 
     def score(self, word: str) -> np.ndarray:
-        """Relative to the best language, so that only differences count. Codes in capitals tell nothing."""
-        if len(word) > 1 and word.isupper():
-            return np.zeros(len(LANGS))
+        """Relative to the best language, so that only differences count."""
         w = word.lower()
         if w in self.seen:
             s = self.seen[w]
@@ -119,16 +122,17 @@ def _segmented(shared):
                     mine = sentences(t) if t else []
                     spans.append(mine)
                     for s, e in mine:
-                        ws = _TOKEN.findall(t, s, e)
-                        n = 0
-                        for w in ws:
+                        n, before = 0, len(flat)
+                        for w in _TOKEN.findall(t, s, e):
                             i = index.get(w)
                             if i is None:
-                                i = index[w] = len(rows)
-                                rows.append(model.score(w))
-                            flat.append(i)
-                            n += "\u4e00" <= w <= "\u9fff"
-                        counts.append(len(ws))
+                                i = index[w] = -1 if is_code(w) else len(rows)
+                                if i >= 0:
+                                    rows.append(model.score(w))
+                            if i >= 0:
+                                flat.append(i)
+                                n += "\u4e00" <= w <= "\u9fff"
+                        counts.append(len(flat) - before)
                         chinese.append(n)
                 n = np.array(counts, np.int64)
                 scores = np.zeros((len(n), len(LANGS)))
