@@ -10,8 +10,10 @@ from tessera.llm.languages import document_languages, language_cases, language_s
 from tessera.llm.leakage import leaked_items
 from tessera.llm.lookalikes import lookalike_pairs
 from tessera.llm.neardup import near_duplicate_pairs
+from tessera.llm.overlap import cross_split_pairs, split_name
 from tessera.llm.packing import container_report, pack_documents
 from tessera.llm.splitting import once, split_oversized
+from tessera.session import checkpoint
 from tessera.sources.tables import table
 
 
@@ -29,6 +31,33 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(chunks.unionByName(questions))
 
 
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """Development and evaluation questions of both tables."""
+    rows = None
+    for name, split in (("formal_questions", "test"), ("application_questions", "regression")):
+        named = table(spark, d, name).select(F.lit(name).alias("src_table"), F.col("id").alias("key"), "question", split_name(F.col("split")).alias("split"))
+        side = F.when(F.col("split") == "development", "train").when(F.col("split").isin("test", "regression"), "eval")
+        named = named.withColumn("side", side).where("side is not null")
+        rows = named if rows is None else rows.unionByName(named)
+    return rows
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return cross_split_pairs(_questions(spark, d).select("key", "question", "side"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of pairs and of evaluation questions in them, per evaluation split and table, and per table of the
+    development question."""
+    rows = checkpoint(_questions(spark, d))
+    pairs = cross_split_pairs(rows.select("key", "question", "side"))
+    both = pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    names = rows.groupBy("key", "side").agg(F.min(F.struct("src_table", "split")).alias("s"))
+    one = names.where("side = 'train'").select(F.col("key").alias("id_a"), F.col("s.src_table").alias("train_table"))
+    two = names.where("side = 'eval'").select(F.col("key").alias("id_b"), F.col("s.src_table").alias("eval_table"), F.col("s.split").alias("eval_split"))
+    return both.join(one, "id_a").join(two, "id_b").groupBy("eval_table", "eval_split", "train_table").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("id_b").alias("eval_questions"))
+
+
 def _oversized(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
     chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("src_table"), F.col("chunk_id").alias("item_id"), "text", "section_path")
     pages = table(spark, d, "document_pages").select(F.lit("document_pages").alias("src_table"), F.col("page_id").cast("string").alias("item_id"), "text", F.array().cast("array<string>").alias("section_path"))
@@ -77,7 +106,7 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     return document_languages(_segments(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
 _TOKEN = r"16#[0-9A-Fa-f]+|[\x{4e00}-\x{9fff}]|[A-Za-z]+(?:_[A-Za-z]+)*|\p{Nd}+(?:\.\p{Nd}+)?"
 SQL = {
     "p4_found": f"""
