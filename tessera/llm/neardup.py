@@ -1,15 +1,16 @@
 """Problem 2: near-duplicate records with small edits.
 
-Two texts belong together if their sets of runs of three words share at least ``threshold`` of all runs. The runs
-of a text are folded into a bit vector, one bit a run. The vectors of two texts of ``a`` and ``b`` runs that reach
-the threshold t differ in at most ``radius = (a + b)(1 - t)/(1 + t)`` bits, and so do their bit counts. Tiles of
-vectors, sorted by bit count, are compared whole with exclusive-or and bit counts; a pair of tiles whose bit
-counts are further apart than the radius is skipped. This filter loses nothing.
+Two texts belong together if their sets of runs of three words share at least ``threshold`` of all runs. A text's
+fingerprint is a number of minimum hashes of its runs, a few bits of each: two texts of similarity s have the same
+bits in a share s of them, and by chance in some others. Fingerprints are compared in tiles by exclusive-or and bit
+counts; tiles are sorted by the texts' population counts (their numbers of runs), and a pair of tiles whose counts
+differ by more than the radius (a + b)(1 - t)/(1 + t), the most that two texts of a and b runs that reach the threshold
+t can differ by, is skipped.
 
 All tiles against all would grow with the square of the collection, so tiles are compared within blocks: a text is
-in one block for each of ``bands`` groups of ``rows`` minimum hashes. A pair of similarity s meets in no block with
-probability (1 - s**rows)**bands: with 3 and 24, 0.001 at 0.63, 0.00005 at 0.7 and 1e-7 at 0.8.
-Survivors of the tiles are verified exactly on their whole sets.
+in one block for each of ``bands`` groups of ``rows`` minimum hashes. A short fingerprint travels with the entries of
+the blocks; pairs that pass it are compared by the long one, and what is left is verified exactly on whole sets.
+``expected_recall`` gives the probability that a pair of some similarity passes: 0.998 at 0.63, 0.9998 at 0.7.
 """
 
 from __future__ import annotations
@@ -30,14 +31,17 @@ from tessera.operators.references import bloom_maybe
 from tessera.session import checkpoint, shuffle_partitions
 
 K = 3
-BITS = 256
+#: Short fingerprint: so many hashes of three bits, and how many must agree.
+SHORT, SHORT_AGREE = 21, 7
+#: Long fingerprint: the hashes of the bands, four bits each, and what share of them must agree.
+LONG_AGREE = 32 / 72
 #: Texts of a block that are paired one by one; larger blocks are compared as tiles.
 SMALL = 32
 #: A block beyond so many texts is cut into tiles that meet pairwise in different tasks.
 TILE_ROWS = 4096
 #: Rows of a tile that is compared in memory.
 TILE = 256
-_SCHEMA = "rid long, key string, cls binary, n int, pop int, bits binary, bands array<int>"
+_SCHEMA = "rid long, key string, cls binary, n int, short long, long binary, bands array<int>"
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -45,8 +49,8 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 def _signatures(bands: int, rows: int):
-    """Reads ``key, text``; gives class, number of runs, bit vector and band keys of each text with a word."""
-    factors = _multipliers(bands * rows)
+    """Reads ``key, text``; gives class, number of runs, fingerprints and band keys of each text with a word."""
+    factors = _multipliers(bands * rows + SHORT)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, rid = WordHasher(), TaskContext.get().partitionId() << 40
@@ -62,19 +66,24 @@ def _signatures(bands: int, rows: int):
                 cls = [xxhash.xxh3_128_digest(hashes[e - n : e].tobytes()) for e, n in zip(ends, lengths)]
                 runs, counts = run_sets(hashes, lengths, K)
                 starts = np.cumsum(counts) - counts
-                bits = np.zeros((len(keep), BITS), np.uint8)
-                bits[np.repeat(np.arange(len(keep)), counts), runs % np.uint64(BITS)] = 1
+                low = np.empty((bands * rows, len(keep)), np.uint8)
                 keys = np.empty((len(keep), bands), np.uint32)
                 for j in range(bands):
                     k = np.zeros(len(keep), np.uint64)
-                    for f in factors[j * rows : (j + 1) * rows]:
-                        k = (k ^ np.minimum.reduceat(runs * f, starts)) * np.uint64(0x9E3779B97F4A7C15)
+                    for c in range(j * rows, (j + 1) * rows):
+                        least = np.minimum.reduceat(runs * factors[c], starts)
+                        low[c] = least >> np.uint64(20)
+                        k = (k ^ least) * np.uint64(0x9E3779B97F4A7C15)
                         k ^= k >> np.uint64(32)
                     keys[:, j] = k >> np.uint64(32)
+                long = np.ascontiguousarray(((low[0::2] & 15) << 4 | (low[1::2] & 15)).T)
+                short = np.zeros(len(keep), np.uint64)
+                for f in factors[bands * rows :]:
+                    short = short << np.uint64(3) | (np.minimum.reduceat(runs * f, starts) >> np.uint64(20)) & np.uint64(7)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(rid, rid + len(keep))), b.column("key").take(pa.array(keep, pa.int64())), pa.array(cls, pa.binary()), pa.array(counts.astype(np.int32)),
-                        pa.array(bits.sum(axis=1, dtype=np.int32)), pa.array([r.tobytes() for r in np.packbits(bits, axis=1)], pa.binary()),
+                        pa.array(short.view(np.int64)), pa.array([r.tobytes() for r in long], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int32))),
                     ],
                     [c.split()[0] for c in _SCHEMA.split(", ")],
@@ -84,32 +93,32 @@ def _signatures(bands: int, rows: int):
     return work
 
 
-def tile_pairs(vectors: np.ndarray, sizes: np.ndarray, pops: np.ndarray, threshold: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i < j) of rows within each other's radius; rows must be sorted by ``pops``.
+def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many of its hashes two short fingerprints differ."""
+    x = a ^ b
+    return np.bitwise_count((x | x >> np.uint64(1) | x >> np.uint64(2)) & np.uint64(0o111111111111111111111))
 
-    ``vectors``: rows of 64-bit words. ``side``: with it, only rows of different sides are paired."""
+
+def tile_pairs(short: np.ndarray, n: np.ndarray, threshold: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i < j) of rows within the radius whose short fingerprints agree; rows must be sorted by ``n``.
+    ``side``: with it, only rows of different sides are paired."""
     share = (1 - threshold) / (1 + threshold)
-    found_i, found_j = [], []
-    n = len(vectors)
-    for i0 in range(0, n, TILE):
-        i1 = min(n, i0 + TILE)
-        for j0 in range(i0, n, TILE):
-            j1 = min(n, j0 + TILE)
-            radius = (sizes[i0:i1].max() + sizes[j0:j1].max()) * share
-            if pops[j0] - pops[i1 - 1] > radius:  # sorted: the nearest bit counts of the two tiles
-                continue
-            apart = np.zeros((i1 - i0, j1 - j0), np.int32)
-            for w in range(vectors.shape[1]):
-                apart += np.bitwise_count(vectors[i0:i1, w, None] ^ vectors[None, j0:j1, w])
-            near = apart <= (sizes[i0:i1, None] + sizes[None, j0:j1]) * share
+    found = []
+    for i0 in range(0, len(n), TILE):
+        i1 = min(len(n), i0 + TILE)
+        for j0 in range(i0, len(n), TILE):
+            j1 = min(len(n), j0 + TILE)
+            if n[j0] - n[i1 - 1] > (n[j0] + n[i1 - 1]) * share:  # sorted: the nearest counts of the two tiles
+                break
+            near = unlike(short[i0:i1, None], short[None, j0:j1]) <= SHORT - SHORT_AGREE
+            near &= n[None, j0:j1] - n[i0:i1, None] <= (n[i0:i1, None] + n[None, j0:j1]) * share
             if i0 == j0:
                 near = np.triu(near, 1)
             if side is not None:
                 near &= side[i0:i1, None] != side[None, j0:j1]
-            i, j = np.nonzero(near)
-            found_i.append(i + i0)
-            found_j.append(j + j0)
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            found.append(np.argwhere(near) + (i0, j0))
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -139,58 +148,66 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
         yield cut(held)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads ``block, rid`` sorted by block; gives pairs of rids for small blocks, and rows of large blocks as they
-    are (``big``, with the block's size)."""
-    for t, first in _whole_blocks(batches):
-        block, rid = t.column("block").to_numpy(), t.column("rid").to_numpy()
-        size = np.repeat(np.diff(first), np.diff(first))
-        pairs = []
-        for d in range(1, SMALL):
-            i = np.nonzero((block[:-d] == block[d:]) & (size[:-d] <= SMALL))[0] if len(block) > d else []
-            if not len(i):
-                break
-            pairs.append(np.stack((np.minimum(rid[i], rid[i + d]), np.maximum(rid[i], rid[i + d])), axis=1))
-        x = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        big = size > SMALL
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((x[:, 0], block[big]))), pa.array(np.concatenate((x[:, 1], rid[big]))), pa.array(np.concatenate((np.zeros(len(x), np.int64), size[big])))], ["x", "y", "size"]
-        )
-
-
-def _words(b: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
-    return np.frombuffer(b"".join(b.column(name).to_pylist()), np.uint64).reshape(b.num_rows, -1)
-
-
-def _near(threshold: float):
-    """Pairs of vectors within the radius."""
+def _meet(threshold: float):
+    """Reads ``block, rid, n, short`` sorted by block and n; gives pairs of rids (``size`` 0). Rows of a block of more
+    than ``TILE_ROWS`` come out as they are, with the block in ``x`` and its size."""
     share = (1 - threshold) / (1 + threshold)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                radius = (b.column("n_x").to_numpy() + b.column("n_y").to_numpy()) * share
-                apart = np.bitwise_count(_words(b, "bits_x") ^ _words(b, "bits_y")).sum(axis=1)
-                yield b.select(["x", "y"]).filter(pa.array(apart <= radius))
+        for t, first in _whole_blocks(batches):
+            block, rid, n = t.column("block").to_numpy(), t.column("rid").to_numpy(), t.column("n").to_numpy().astype(np.int64)
+            short = t.column("short").to_numpy().view(np.uint64)
+            sizes = np.diff(first)
+            size = np.repeat(sizes, sizes)
+            pairs = []
+            # the many small blocks at once: each row and the one d further on, while they are of one block
+            for d in range(1, SMALL):
+                i = np.nonzero((block[:-d] == block[d:]) & (size[:-d] <= SMALL))[0] if len(block) > d else np.zeros(0, np.int64)
+                if not len(i):
+                    break
+                j = i + d
+                i = i[(n[j] - n[i] <= (n[i] + n[j]) * share) & (unlike(short[i], short[j]) <= SHORT - SHORT_AGREE)]
+                pairs.append(np.stack((rid[i], rid[i + d]), axis=1))
+            for k in np.nonzero((sizes > SMALL) & (sizes <= TILE_ROWS))[0]:
+                s = slice(first[k], first[k + 1])
+                i, j = tile_pairs(short[s], n[s], threshold)
+                pairs.append(np.stack((rid[s][i], rid[s][j]), axis=1))
+            x = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0) if pairs else np.zeros((0, 2), np.int64)
+            big = size > TILE_ROWS
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate((x[:, 0], block[big]))), pa.array(np.concatenate((x[:, 1], rid[big]))), pa.array(np.concatenate((np.zeros(len(x), np.int64), size[big])))], ["x", "y", "size"]
+            )
 
     return work
 
 
 def _compare(threshold: float):
-    """Reads rows sorted by block and bit count; gives pairs within the radius, tile by tile."""
+    """Reads rows of parts of large blocks sorted by part and n; gives pairs, tile by tile."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, first in _whole_blocks(batches):
-            rid, n, pop, tile = (t.column(c).to_numpy().astype(np.int64) for c in ("rid", "n", "pop", "tile"))
-            across, vectors = t.column("across").to_pylist(), _words(t, "bits")
+            rid, n, tile = (t.column(c).to_numpy().astype(np.int64) for c in ("rid", "n", "tile"))
+            across, short = t.column("across").to_pylist(), t.column("short").to_numpy().view(np.uint64)
             for lo, hi in zip(first[:-1], first[1:]):
-                i, j = tile_pairs(vectors[lo:hi], n[lo:hi], pop[lo:hi], threshold, tile[lo:hi] if across[lo] else None)
+                i, j = tile_pairs(short[lo:hi], n[lo:hi], threshold, tile[lo:hi] if across[lo] else None)
                 a, b = rid[lo:hi][i], rid[lo:hi][j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["x", "y"])
 
     return work
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose long fingerprints agree."""
+    for b in batches:
+        if b.num_rows:
+            one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("long_x", "long_y"))
+            x = one ^ two
+            x |= x >> 1 & 0x77
+            x |= x >> 2 & 0x33
+            differ = np.bitwise_count(x & 0x11).sum(axis=1)
+            yield b.select(["x", "y"]).filter(pa.array(differ <= one.shape[1] * 2 * (1 - LONG_AGREE)))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """32-bit hashes of the runs: two texts of a thousand runs have a false one in common once in 4,000 pairs."""
     hasher = WordHasher()
@@ -225,23 +242,22 @@ def near_duplicate_links(rows: DataFrame, threshold: float = 0.6, bands: int = 2
     signed = checkpoint(named.mapInArrow(_signatures(bands, band_rows), _SCHEMA))
     copied = signed.groupBy("cls").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     spare = signed.select("cls", "rid").join(copied, "cls").where("rid != rep").select("rid")
-    lone = signed.select("rid", "bands").join(spare, "rid", "left_anti")
-    entries = lone.select("rid", F.posexplode("bands").alias("band", "code")).select("rid", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("code")).alias("block"))
-    met = checkpoint(entries.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_meet, "x long, y long, size long").distinct())
+    lone = signed.select("rid", "n", "short", "bands").join(spare, "rid", "left_anti")
+    entries = lone.select("rid", "n", "short", F.posexplode("bands").alias("band", "code"))
+    entries = entries.select("rid", "n", "short", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("code")).alias("block"))
+    met = checkpoint(entries.repartition(parts, "block").sortWithinPartitions("block", "n").mapInArrow(_meet(threshold), "x long, y long, size long").distinct())
 
-    vectors = signed.select("rid", "n", "bits")
-    pairs = met.where("size = 0").select("x", "y")
-    pairs = pairs.join(vectors.select(F.col("rid").alias("x"), F.col("n").alias("n_x"), F.col("bits").alias("bits_x")), "x")
-    pairs = pairs.join(vectors.select(F.col("rid").alias("y"), F.col("n").alias("n_y"), F.col("bits").alias("bits_y")), "y")
-    near = pairs.select("x", "y", "n_x", "n_y", "bits_x", "bits_y").mapInArrow(_near(threshold), "x long, y long")
-
-    # a large block is cut into tiles: a pair of tiles pairs across only, a tile with itself pairs within
+    # a very large block is cut into parts: a pair of parts pairs across only, a part with itself pairs within
     tiles = F.ceil(F.col("size") / F.lit(TILE_ROWS)).cast("int")
     big = met.where("size > 0").select(F.col("x").alias("block"), F.col("y").alias("rid"), tiles.alias("tiles")).withColumn("tile", F.pmod(F.hash("rid"), F.col("tiles")))
     placed = big.select("block", "rid", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     placed = placed.select(F.xxhash64("block", F.least("tile", "other"), F.greatest("tile", "other")).alias("block"), "rid", "tile", (F.col("tile") != F.col("other")).alias("across"))
-    tiled = placed.join(signed.select("rid", "n", "pop", "bits"), "rid").select("block", "rid", "tile", "across", "n", "pop", "bits").repartition(parts, "block").sortWithinPartitions("block", "pop")
-    links = checkpoint(near.unionByName(tiled.mapInArrow(_compare(threshold), "x long, y long")).distinct())
+    tiled = placed.join(signed.select("rid", "n", "short"), "rid").select("block", "rid", "tile", "across", "n", "short").repartition(parts, "block").sortWithinPartitions("block", "n")
+    pairs = met.where("size = 0").select("x", "y").unionByName(tiled.mapInArrow(_compare(threshold), "x long, y long").distinct())
+
+    long = signed.select("rid", "long")
+    pairs = pairs.join(long.select(F.col("rid").alias("x"), F.col("long").alias("long_x")), "x").join(long.select(F.col("rid").alias("y"), F.col("long").alias("long_y")), "y")
+    links = checkpoint(pairs.select("x", "y", "long_x", "long_y").mapInArrow(_near, "x long, y long").distinct())
 
     ends = links.select(F.col("x").alias("rid")).union(links.select(F.col("y").alias("rid"))).distinct()
     needed = checkpoint(ends.join(signed.select("rid", "key", "cls"), "rid"))
@@ -270,5 +286,11 @@ def near_duplicate_pairs(rows: DataFrame, names: tuple[str, str] = ("key_a", "ke
 
 
 def expected_recall(similarity: float, bands: int = 24, band_rows: int = 3) -> float:
-    """Probability that a pair of this similarity meets in a block."""
-    return 1 - math.pow(1 - similarity**band_rows, bands)
+    """Probability that a pair of this similarity meets in a block and passes both fingerprints."""
+
+    def agree(n: int, least: int, p: float) -> float:
+        return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least, n + 1))
+
+    met = 1 - (1 - similarity**band_rows) ** bands
+    n = bands * band_rows
+    return met * agree(SHORT, SHORT_AGREE, similarity + (1 - similarity) / 8) * agree(n, math.ceil(n * LONG_AGREE), similarity + (1 - similarity) / 16)

@@ -16,7 +16,8 @@ LOOKALIKES = {
     "ο": "o", "ν": "v", "Ϲ": "C", "ϲ": "c", "ϳ": "j",
 }
 _LOOK = str.maketrans(LOOKALIKES)
-_LOOK_RX = re.compile("[\u0370-\u03ff\u0400-\u052f]")
+#: Those letters, alone or under accents.
+_LOOK_RX = re.compile("[" + "".join(chr(c) for c in range(0x370, 0x530) if LOOKALIKES.keys() & set(unicodedata.normalize("NFKD", chr(c)))) + "]")
 #: Default-ignorable characters: soft hyphen, joiners, direction and invisible operators, variation selectors.
 _IGNORABLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e0fff]")
 #: A Chinese character alone, or a longest run of other letters and digits.
