@@ -170,12 +170,11 @@ def _grid(rows: DataFrame, sizes: DataFrame, mine: str, other: str, groups: int)
 def cross_split_links(questions: DataFrame, threshold: float = 0.7, shard: int = SHARD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Links between classes of equal word sets of training and evaluation questions, and the members.
 
-    ``questions``: ``key, question, side`` (``train`` or ``eval``), other columns stay with the members. Null keys
-    and questions without a word take no part. Result: ``a, b`` (a class of training and one of evaluation; the same
-    if both have it) and members ``cls, key, side, ...``."""
-    words = questions.where("key is not null and question is not null").mapInArrow(
-        _word_sets, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in questions.schema if f.name != "question") + ", words array<string>, digits long, cls binary"
-    )
+    ``questions``: ``key, question, side`` (``train`` or ``eval``); other columns are ignored, as are other sides. Null
+    keys and questions without a word take no part. Result: ``a, b`` (a class of training and one of evaluation; the
+    same if both have it) and members ``cls, key, side``."""
+    rows = questions.where("key is not null and question is not null and side in ('train', 'eval')").select(F.col("key").cast("string").alias("key"), "question", "side")
+    words = rows.mapInArrow(_word_sets, "key string, side string, words array<string>, digits long, cls binary")
     members = checkpoint(words)
     classes = members.groupBy("side", "cls", "digits").agg(F.first("words").alias("words"))
     train, evaluation = (classes.where(F.col("side") == s).select("cls", "words", "digits") for s in ("train", "eval"))
