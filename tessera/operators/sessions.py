@@ -38,14 +38,38 @@ def keep_newest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
 
 
+#: Ids of one segment: a session's rows of so many neighbouring ids are sorted in one task, however large it is.
+SEGMENT = 250_000
+
+
+def with_previous(rows: DataFrame, key: str, order: str, value: Column, n: int, segment: int = SEGMENT) -> DataFrame:
+    """``rows`` with ``prev_1`` to ``prev_n``: ``value`` (never null) of the rows before, by the whole number ``order``,
+    of the same key.
+
+    A key is cut into segments by its order, so a hot one spreads over tasks; the last ``n`` values of each segment
+    are handed on to the next ones."""
+    cut = rows.withColumn("_v", value).withColumn("_s", F.floor(F.col(order) / F.lit(segment)))
+    inside = W.partitionBy(key, "_s").orderBy(order)
+    placed = cut.select("*", F.row_number().over(inside).alias("_i"), *[F.lag("_v", k).over(inside).alias(f"_l{k}") for k in range(1, n + 1)])
+    back = F.row_number().over(W.partitionBy(key, "_s").orderBy(F.desc(order)))
+    tails = cut.select(key, "_s", F.col(order).alias("_o"), "_v", back.alias("_b")).where(F.col("_b") <= n).groupBy(key, "_s")
+    tails = tails.agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_v"))), lambda x: x["_v"]).alias("_t"))
+    along = W.partitionBy(key).orderBy("_s")
+    none = F.array().cast(tails.schema["_t"].dataType)
+    handed = tails.select(key, "_s", F.concat(*[F.coalesce(F.lag("_t", k).over(along), none) for k in range(n, 0, -1)]).alias("_p"))
+    joined = placed.join(handed, [key, "_s"])
+    at = lambda k: F.try_element_at("_p", (F.col("_i") - k - 1).cast("int"))
+    values = [F.when(F.col("_i") > k, F.col(f"_l{k}")).otherwise(at(k)).alias(f"prev_{k}") for k in range(1, n + 1)]
+    return joined.select(*[F.col(c) for c in rows.columns], *values)
+
+
 def followups(turns: DataFrame, hours: int = 24, most: int = 80, kept: int = 240) -> DataFrame:
     """Questions that need their context, with it: ``id, session_id, query, used``.
 
     ``turns``: ``id, session_id, question, created_at``. A question of at most ``most`` characters that begins or ends
     like a follow-up, or points at something, gets the session's one or two questions before it (by id) of the last
     ``hours``. Asking to write turns reads in them into writes, asking to read the other way. A question without any
-    such gives itself. Only marked questions look back, by two self-joins on the numbered session, so no session has to
-    fit a task's memory."""
+    such gives itself."""
     q = T.strip(F.coalesce("question", F.lit("")))
     low = F.lower(q)
     marked = F.lit(False)
@@ -55,9 +79,8 @@ def followups(turns: DataFrame, hours: int = 24, most: int = 80, kept: int = 240
         marked = marked | low.endswith(x)
     for x in L.FOLLOWUP_INSIDE:
         marked = marked | low.contains(x)
-    w = W.partitionBy("session_id").orderBy("id")
-    before = [F.lag(F.struct(F.coalesce("question", F.lit("")).alias("question"), "created_at"), k).over(w).alias(f"b{k}") for k in (1, 2)]
-    rows = turns.select("id", "session_id", q.alias("q"), (marked & (F.length(q) <= most)).alias("marked"), "created_at", *before)
+    kept_rows = turns.select("id", "session_id", q.alias("q"), (marked & (F.length(q) <= most)).alias("marked"), "created_at", F.substring(F.coalesce("question", F.lit("")), 1, kept).alias("question"))
+    rows = with_previous(kept_rows, "session_id", "id", F.struct("question", "created_at"), 2)
     recent = lambda b: F.col(b).isNotNull() & (F.col(f"{b}.created_at") >= F.col("created_at") - F.expr(f"interval {hours} hours"))
 
     def turned(c: Column) -> Column:
@@ -66,7 +89,7 @@ def followups(turns: DataFrame, hours: int = 24, most: int = 80, kept: int = 240
         read = F.replace(F.replace(c, F.lit("WR_MB_DATA_LEN"), F.lit("RD_MB_DATA_LEN")), F.lit("写入"), F.lit("读取"))
         return F.when(F.col("q").contains("写"), write).when(F.col("q").contains("读"), read).otherwise(c)
 
-    lines = F.filter(F.array(*[F.when(F.col("marked") & recent(b), F.concat(F.lit("此前问题："), turned(F.col(f"{b}.question")))) for b in ("b2", "b1")]), lambda x: x.isNotNull())
+    lines = F.filter(F.array(*[F.when(F.col("marked") & recent(b), F.concat(F.lit("此前问题："), turned(F.col(f"{b}.question")))) for b in ("prev_2", "prev_1")]), lambda x: x.isNotNull())
     query = F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n当前追问："), F.col("q"))).otherwise(F.col("q"))
     return rows.select("id", "session_id", query.alias("query"), F.size(lines).alias("used"))
 

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Structured Streaming versions of the stateful operators."""
