@@ -147,7 +147,7 @@ def write_report(rows: DataFrame, path: str) -> str:
 def _pointer(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path(p, "_current")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path(p, "CURRENT")
 
 
 def read_pointed(spark: SparkSession, path: str) -> DataFrame | None:
