@@ -22,6 +22,8 @@ from tessera.functions import text as T
 from tessera.session import checkpoint
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Rows of query terms that are broadcast at most, about 50 MB.
+SENT_WEIGHTS = 500_000
 #: Query vectors of one block that is sent to all workers: 8 MB at 256 dimensions.
 BLOCK = 4096
 
@@ -42,8 +44,8 @@ def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
     ``queries``: ``query_id, tokens`` (a token given twice counts twice); ``docs``: ``doc_key, tokens``. A term in more
     than half of the documents has a negative idf; it gets ``EPSILON`` times the mean idf of the vocabulary instead.
-    Terms no query has are dropped right after the document frequencies are counted, so the scoring join moves only
-    postings of query terms."""
+    Up to ``SENT_WEIGHTS`` query terms are counted and sent to the postings, which stay where their documents are, so
+    that scores need no further shuffle if ``docs`` is partitioned by its key; more of them are joined by shuffling."""
     index = postings(docs)
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
@@ -51,9 +53,10 @@ def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     idf = checkpoint(idf)
     mean = idf.agg(F.avg("idf")).first()[0] or 0.0
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    weights = asked.join(idf, "term").select("query_id", "term", (F.col("times") * F.when(F.col("idf") < 0, F.lit(EPSILON * mean)).otherwise(F.col("idf"))).alias("w"))
+    weights = checkpoint(asked.join(idf, "term").select("query_id", "term", (F.col("times") * F.when(F.col("idf") < 0, F.lit(EPSILON * mean)).otherwise(F.col("idf"))).alias("w")))
+    sent = F.broadcast(weights) if weights.count() <= SENT_WEIGHTS else weights
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(avgdl)))
-    return weights.join(index, "term").groupBy("query_id", "doc_key").agg(F.round(F.sum(F.col("w") * tf), 9).alias("score"))
+    return index.join(sent, "term").groupBy("query_id", "doc_key").agg(F.round(F.sum(F.col("w") * tf), 9).alias("score"))
 
 
 def bm25_search(queries: DataFrame, docs: DataFrame, top_k: int = 30) -> DataFrame:
