@@ -156,15 +156,12 @@ def _near(threshold: float):
     return work
 
 
-def _grid(rows: DataFrame, sizes: DataFrame, mine: str, other: str, groups: int) -> DataFrame:
+def _grid(rows: DataFrame, mine: str, other: str, groups: int) -> DataFrame:
     """Rows with the groups they go to: one of ``groups``, or a row or column of a common set's own grid."""
-    joined = rows.join(sizes, "digits", "left")
-    one, two = F.coalesce(F.col(mine), F.lit(1)), F.coalesce(F.col(other), F.lit(1))
-    own = F.pmod(F.xxhash64("cls"), one)
-    spread = F.explode(F.sequence(F.lit(0).cast("long"), two - 1))
-    placed = joined.select("cls", "words", "digits", own.alias("own"), spread.alias("far"), (F.col(mine).isNotNull()).alias("common"))
+    own = F.pmod(F.xxhash64("cls"), F.col(mine))
+    placed = rows.select("side", "cls", "words", "digits", "common", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("far"))
     x, y = ("own", "far") if mine == "shards" else ("far", "own")
-    return placed.select("cls", "words", "digits", F.when(F.col("common"), F.xxhash64("digits", x, y)).otherwise(F.pmod("digits", F.lit(groups))).alias("grp"))
+    return placed.select("side", "cls", "words", "digits", F.when(F.col("common"), F.xxhash64("digits", x, y)).otherwise(F.pmod("digits", F.lit(groups))).alias("grp"))
 
 
 def cross_split_links(questions: DataFrame, threshold: float = 0.7, shard: int = SHARD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -177,14 +174,14 @@ def cross_split_links(questions: DataFrame, threshold: float = 0.7, shard: int =
     words = rows.mapInArrow(_word_sets, "key string, side string, words array<string>, digits long, cls binary")
     members = checkpoint(words)
     classes = members.groupBy("side", "cls", "digits").agg(F.first("words").alias("words"))
-    train, evaluation = (classes.where(F.col("side") == s).select("cls", "words", "digits") for s in ("train", "eval"))
-    count = evaluation.count()
-    sizes = classes.groupBy("digits").agg(F.count_if(F.col("side") == "train").alias("t"), F.count_if(F.col("side") == "eval").alias("e")).where((F.col("t") > block) | (F.col("e") > shard))
-    sizes = sizes.select("digits", F.ceil(F.col("e") / shard).cast("long").alias("shards"), F.ceil(F.col("t") / block).cast("long").alias("blocks"))
-    sizes = sizes.select("digits", F.greatest("shards", F.lit(1)).alias("shards"), F.greatest("blocks", F.lit(1)).alias("blocks"))
-    groups = max(1, -(-count // shard))
-    t, e = _grid(train, sizes, "blocks", "shards", groups), _grid(evaluation, sizes, "shards", "blocks", groups)
-    both = t.withColumn("side", F.lit("train")).unionByName(e.withColumn("side", F.lit("eval")))
+    # only sets of words with a digit that both sides have; a large one gets a grid of its own
+    met = classes.groupBy("digits").agg(F.count_if(F.col("side") == "train").alias("t"), F.count_if(F.col("side") == "eval").alias("e")).where("t > 0 and e > 0")
+    met = checkpoint(met.withColumn("common", (F.col("t") > block) | (F.col("e") > shard)))
+    parts = lambda c, n: F.when(F.col("common"), F.ceil(F.col(c) / n)).otherwise(1).cast("long")
+    most = met.where("not common").agg(F.sum("t"), F.sum("e")).first()
+    groups = max(1, -(-(most[0] or 0) // block), -(-(most[1] or 0) // shard))
+    placed = classes.join(met.select("digits", "common", parts("e", shard).alias("shards"), parts("t", block).alias("blocks")), "digits")
+    both = _grid(placed.where("side = 'train'"), "blocks", "shards", groups).unionByName(_grid(placed.where("side = 'eval'"), "shards", "blocks", groups))
     links = both.groupBy("grp").applyInPandas(_near(threshold), "a binary, b binary")
     return links.distinct(), members
 
