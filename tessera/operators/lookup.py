@@ -36,8 +36,9 @@ def names_in_texts(texts: DataFrame, names: DataFrame) -> DataFrame:
     # every name has pieces of three characters, and a text that contains it has them too: the piece is the join key
     low = names.select("name_id", "name", F.lower("name").alias("_n")).where("_n != ''").withColumn("_g", F.substring("_n", 1, 3))
     text = texts.select("text_id", F.lower("text").alias("_t")).where("_t != ''")
+    sizes = [r[0] for r in low.select(F.least(F.length("_n"), F.lit(3))).distinct().collect()] or [3]  # three values at most
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("_t")), lambda i: F.substr(F.col("_t"), i, F.lit(n)))
-    pieces = text.select("text_id", "_t", F.explode(F.array_distinct(F.concat(grams(3), grams(2), grams(1)))).alias("_g")).join(low.select("_g").distinct(), "_g", "left_semi")
+    pieces = text.select("text_id", "_t", F.explode(F.array_distinct(F.concat(*[grams(n) for n in sizes]))).alias("_g")).join(low.select("_g").distinct(), "_g", "left_semi")
     hits = pieces.join(low, "_g").where(F.contains("_t", F.col("_n"))).select("text_id", "name_id", "name").distinct()
     best = F.max_by(F.struct("name_id", "name"), F.struct(F.length("name"), -F.col("name_id")))
     return hits.groupBy("text_id").agg(best.alias("b")).select("text_id", "b.name_id", "b.name")
