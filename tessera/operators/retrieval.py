@@ -13,6 +13,7 @@ from math import log1p
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from tessera.functions import text as T
 from tessera.session import checkpoint
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Rows of query terms that are broadcast at most, about 50 MB.
-SENT_WEIGHTS = 500_000
+#: Terms of all queries together that are sent to the documents at most, and queries of one block of them.
+SENT_WEIGHTS, QUERY_BLOCK = 500_000, 256
 #: Query vectors of one block that is sent to all workers: 8 MB at 256 dimensions.
 BLOCK = 4096
 
@@ -39,37 +40,112 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("doc_key", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("doc_key", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Okapi scores: ``query_id, doc_key, score`` for all pairs with a common term.
-
-    ``queries``: ``query_id, tokens`` (a token given twice counts twice); ``docs``: ``doc_key, tokens``. A term in more
-    than half of the documents has a negative idf; it gets ``EPSILON`` times the mean idf of the vocabulary instead.
-    Up to ``SENT_WEIGHTS`` query terms are counted and sent to the postings, which stay where their documents are, so
-    that scores need no further shuffle if ``docs`` is partitioned by its key; more of them are joined by shuffling."""
-    index = postings(docs)
+def _weights(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, float]:
+    """``query_id, term, w`` (how often the query has the term, times its idf), and the mean length of a document. A term
+    in more than half of the documents has a negative idf; it gets ``EPSILON`` times the mean idf of the vocabulary."""
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
-    n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    idf = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", (F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    idf = checkpoint(idf)
+    df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = checkpoint(df.select("term", (F.log(F.lit(float(stats["n"])) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")))
     mean = idf.agg(F.avg("idf")).first()[0] or 0.0
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    weights = checkpoint(asked.join(idf, "term").select("query_id", "term", (F.col("times") * F.when(F.col("idf") < 0, F.lit(EPSILON * mean)).otherwise(F.col("idf"))).alias("w")))
-    sent = F.broadcast(weights) if weights.count() <= SENT_WEIGHTS else weights
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(avgdl)))
-    return index.join(sent, "term").groupBy("query_id", "doc_key").agg(F.round(F.sum(F.col("w") * tf), 9).alias("score"))
+    w = F.col("times") * F.when(F.col("idf") < 0, F.lit(EPSILON * mean)).otherwise(F.col("idf"))
+    return checkpoint(asked.join(idf, "term").select("query_id", "term", w.alias("w"))), stats["avgdl"] or 1.0
 
 
-def bm25_search(queries: DataFrame, docs: DataFrame, top_k: int = 30) -> DataFrame:
-    """Top-k by BM25 under metadata filters: ``query_id, doc_key, score, rank``.
+def _joined_scores(weights: DataFrame, docs: DataFrame, avgdl: float) -> DataFrame:
+    """Scores by a join on the term and a sum: any number of queries."""
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(avgdl)))
+    return postings(docs).join(weights, "term").groupBy("query_id", "doc_key").agg(F.round(F.sum(F.col("w") * tf), 9).alias("score"))
 
-    ``queries`` may have ``model`` and ``version``, ``docs`` too; they must agree without regard to case where both
-    are non-empty. A score of zero or less is kept only at rank 1."""
-    scores = bm25_scores(queries, docs)
+
+def _agree(scores: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     for c in ("model", "version"):
         if c in queries.columns and c in docs.columns:
             scores = scores.join(queries.select("query_id", F.lower(F.coalesce(c, F.lit(""))).alias("_q")), "query_id").join(docs.select("doc_key", F.lower(F.coalesce(c, F.lit(""))).alias("_d")), "doc_key")
             scores = scores.where((F.col("_q") == "") | (F.col("_d") == "") | (F.col("_q") == F.col("_d"))).drop("_q", "_d")
-    return ranked(scores, top_k).where((F.col("score") > 0) | (F.col("rank") == 1))
+    return scores
+
+
+def _local_best(blocks: list, avgdl: float, top_k: int, cols: list[str]):
+    """Reads documents; gives each partition's own best of each query, with all that tie within rounding."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                tokens = b.column("tokens").to_pylist()
+                keys = np.array(b.column("doc_key").to_pylist(), object)
+                length = np.array([len(t or ()) for t in tokens], np.float64)
+                flat = pa.array([x for t in tokens for x in t or ()], pa.string())
+                owner = np.repeat(np.arange(len(keys)), length.astype(np.int64))
+                meta = [[(x or "").lower() for x in b.column(c).to_pylist()] for c in cols]
+                for k, shared in enumerate(blocks):
+                    names, terms, w, wanted = shared.value
+                    place = pc.index_in(flat, value_set=terms).to_numpy(zero_copy_only=False)
+                    has = ~np.isnan(place.astype(np.float64))
+                    if not has.any():
+                        continue
+                    tf = np.zeros((len(keys), len(terms)))
+                    np.add.at(tf, (owner[has], place[has].astype(np.int64)), 1.0)
+                    some = np.nonzero(tf.any(axis=1))[0]
+                    tf = tf[some]
+                    scores = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[some, None] / avgdl))) @ w
+                    common = (tf > 0).astype(np.float32) @ (w != 0).astype(np.float32) > 0
+                    for c, values in enumerate(meta):
+                        mine = np.array([values[i] for i in some], object)[:, None]
+                        want = np.array([x[c] for x in wanted], object)[None, :]
+                        common &= (mine == "") | (want == "") | (mine == want)
+                    for i in np.nonzero(common.any(axis=0))[0].tolist():
+                        at_i = np.nonzero(common[:, i])[0]
+                        score, key = scores[at_i, i], keys[some[at_i]]
+                        if (k, i) in kept:
+                            score, key = np.concatenate((kept[k, i][0], score)), np.concatenate((kept[k, i][1], key))
+                        if len(score) > top_k:
+                            near = score >= np.partition(score, -top_k)[-top_k] - 2e-9
+                            score, key = score[near], key[near]
+                        kept[k, i] = score, key
+        rows = [(blocks[k].value[0][i], x, float(v)) for (k, i), (score, key) in kept.items() for v, x in zip(score, key)]
+        if rows:
+            q, x, v = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.string()), pa.array(x, pa.string()), pa.array(v, pa.float64())], ["query_id", "doc_key", "score"])
+
+    return work
+
+
+def bm25_search(queries: DataFrame, docs: DataFrame, top_k: int = 30) -> DataFrame:
+    """Top-k by Okapi BM25 under metadata filters: ``query_id, doc_key, score, rank``; only documents with a common term.
+
+    ``queries``: ``query_id, tokens`` (a token given twice counts twice), ``docs``: ``doc_key, tokens``; both may have
+    ``model`` and ``version``, which must agree without regard to case where both are non-empty. A score of zero or less
+    is kept only at rank 1.
+
+    Queries with up to ``SENT_WEIGHTS`` terms in all are a stated set: their weights go to the documents in blocks, and
+    each partition passes on its own best ``top_k`` only. More of them are joined by shuffling postings."""
+    spark = docs.sparkSession
+    weights, avgdl = _weights(queries.select("query_id", "tokens"), docs.select("doc_key", "tokens"))
+    if weights.count() > SENT_WEIGHTS:
+        return ranked(_agree(_joined_scores(weights, docs.select("doc_key", "tokens"), avgdl), queries, docs), top_k).where((F.col("score") > 0) | (F.col("rank") == 1))
+    cols = [c for c in ("model", "version") if c in queries.columns and c in docs.columns]
+    by: dict[str, dict[str, float]] = {}
+    for r in weights.collect():
+        by.setdefault(str(r["query_id"]), {})[r["term"]] = r["w"]
+    meta = {str(r["query_id"]): [(r[c] or "").lower() for c in cols] for r in queries.select("query_id", *cols).where("query_id is not null").distinct().collect()}
+    names, blocks = sorted(by), []
+    for at in range(0, len(names), QUERY_BLOCK):
+        some = names[at : at + QUERY_BLOCK]
+        terms = sorted({t for q in some for t in by[q]})
+        number = {t: i for i, t in enumerate(terms)}
+        w = np.zeros((len(terms), len(some)))
+        for j, q in enumerate(some):
+            for t, x in by[q].items():
+                w[number[t], j] = x
+        blocks.append(spark.sparkContext.broadcast((some, pa.array(terms, pa.string()), w, [meta[q] for q in some])))
+    schema = "query_id string, doc_key string, score double"
+    if not blocks:
+        return spark.createDataFrame([], schema + ", rank int")
+    best = docs.where("doc_key is not null").select(F.col("doc_key").cast("string").alias("doc_key"), "tokens", *cols).mapInArrow(_local_best(blocks, avgdl, top_k, cols), schema)
+    return ranked(best.withColumn("score", F.round("score", 9)), top_k).where((F.col("score") > 0) | (F.col("rank") == 1))
 
 
 def hashed_vectors(tokens: Column, dim: int = 512, kind: str = "blake2b") -> Column:

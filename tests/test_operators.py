@@ -37,7 +37,7 @@ def test_orphans(spark):
     assert rows(references.orphan_report(found, gone).select("ref_table", "month", "reason", "refs"), "reason") == [("t", "2024-02", "later", 1), ("t", None, "removed", 1)]
 
 
-def test_bm25_against_plain(spark):
+def test_bm25_against_plain(spark, monkeypatch):
     r = random.Random(1)
     docs = [(f"d{i:02}", [r.choice("abcdefg") for _ in range(r.randint(1, 12))]) for i in range(40)]
     queries = [("q1", ["a", "b", "b"]), ("q2", ["g", "zz"]), ("q3", ["zz"])]
@@ -53,10 +53,16 @@ def test_bm25_against_plain(spark):
             if any(w in t for w in ts):
                 s.append((-round(score, 9), k))
         want[q] = [k for i, (v, k) in enumerate(sorted(s)[:5]) if v < 0 or i == 0]
-    got = retrieval.bm25_search(spark.createDataFrame(queries, "query_id string, tokens array<string>"), spark.createDataFrame(docs, "doc_key string, tokens array<string>"), 5)
-    for q in ("q1", "q2"):
-        assert [x["doc_key"] for x in got.where(F.col("query_id") == q).orderBy("rank").collect()] == want[q]
-    assert got.where("query_id = 'q3'").count() == 0
+    for sent in (retrieval.SENT_WEIGHTS, 0):  # weights sent to the documents, and joined
+        monkeypatch.setattr(retrieval, "SENT_WEIGHTS", sent)
+        asked, all_docs = spark.createDataFrame(queries, "query_id string, tokens array<string>"), spark.createDataFrame(docs, "doc_key string, tokens array<string>")
+        got = retrieval.bm25_search(asked, all_docs, 5)
+        for q in ("q1", "q2"):
+            assert [x["doc_key"] for x in got.where(F.col("query_id") == q).orderBy("rank").collect()] == want[q]
+        assert got.where("query_id = 'q3'").count() == 0
+        strict = retrieval.bm25_search(asked.withColumn("model", F.lit("M")), all_docs.withColumn("model", F.when(F.col("doc_key") < "d20", "m").when(F.col("doc_key") < "d30", "").otherwise("x")), 40)
+        assert {r[0] for r in strict.select("doc_key").distinct().collect()} <= {f"d{i:02}" for i in range(30)} and strict.where("doc_key >= 'd20'").count() > 0
+        assert retrieval.bm25_search(asked.limit(0), all_docs).count() == 0 == retrieval.bm25_search(asked, all_docs.limit(0)).count()
 
 
 def test_dense_search(spark):
