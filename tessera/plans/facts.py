@@ -53,7 +53,7 @@ SELECT category, count(*) AS questions, round(avg(CASE WHEN len(q) > 0 THEN len(
 FROM r LEFT JOIN gold USING (id) GROUP BY 1""",
     "fact_exact": "WITH " + _GOLD.format(cols="required_facts AS q, forbidden_facts AS b", t="formal_questions") + f"""
 , n AS (SELECT category, len(coalesce(q, CAST([] AS VARCHAR[]))) AS n, {_MET.format(c='q', a=_TIGHT.format("coalesce(text, '')"), f=_TIGHT.format('f'))} AS met, {_MET.format(c='b', a=_TIGHT.format("coalesce(text, '')"), f=_TIGHT.format('f'))} AS bad FROM r LEFT JOIN gold USING (id))
-SELECT category, sum(n) AS facts, sum(met) AS met, sum(bad) AS forbidden, round(sum(met) / nullif(sum(n), 0), 6) AS coverage FROM n GROUP BY 1""",
+SELECT category, CAST(sum(n) AS BIGINT) AS facts, CAST(sum(met) AS BIGINT) AS met, CAST(sum(bad) AS BIGINT) AS forbidden, round(sum(met) / nullif(sum(n), 0), 6) AS coverage FROM n GROUP BY 1""",
     "fact_versions": r"""
 WITH v AS (SELECT DISTINCT id, concat_ws(' ', version, problem) AS t FROM verified_solutions)
 SELECT id, array_to_string(list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(t, '(?i)(?:^|[^A-Za-z0-9])(V[0-9]+(?:\.[0-9]+)+)', 1), lambda x: upper(x)), list_transform(regexp_extract_all(t, '(?i)(?:固件|手册)(?:版本)?\s*([0-9]+(?:\.[0-9]+)+)', 1), lambda x: 'V' || x)))), ' ') AS versions FROM v""",
