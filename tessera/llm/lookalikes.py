@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.pairs import FULL_PAIRS, ordered_pair
+from tessera.llm.pairs import TILE_KEYS, ordered_pair, tile_of
 from tessera.llm.text import consistent_form
 from tessera.session import checkpoint
 
@@ -41,26 +41,33 @@ def _form_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*out.columns, pa.array([found[i][0] for i in keep], pa.binary()), pa.array([found[i][1] for i in keep], pa.binary())], ["src_table", "key", "form", "raw"])
 
 
-def lookalike_pairs(rows: DataFrame, full_pairs: int = FULL_PAIRS) -> DataFrame:
+def lookalike_pairs(rows: DataFrame, full_pairs: int | None = None) -> DataFrame:
     """Rows of one table whose raw texts differ while their consistent form is the same.
 
     ``rows``: ``src_table, key, text``; result: ``src_table, key_a, key_b``. Texts are compared by 128-bit hashes,
-    so none is shuffled. Blank texts and null keys take no part; repeated rows count once. A form with more than
-    ``full_pairs`` ordered pairs of rows (masses of copies) gives a star: each row with the smallest key among
-    those of another raw text, so no row loses its link."""
+    so none is shuffled. Blank texts and null keys take no part; repeated rows count once. All pairs are written out,
+    however many rows have a form; a large form is cut into tiles of ``TILE_KEYS`` rows that meet pairwise. Only if
+    ``full_pairs`` is given, a form with more ordered pairs of rows gives a star, which leaves pairs out: each row with
+    the smallest key among those of another raw text."""
     hashed = checkpoint(
         rows.where(F.col("key").isNotNull() & F.col("text").isNotNull()).select("src_table", "key", "text")
         .mapInArrow(_form_hashes, "src_table string, key string, form binary, raw binary")
     )
     by_raw = hashed.groupBy("src_table", "form", "raw").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("n"))
-    # per form: its rows, and the smallest key with the text it has, and the smallest of the other texts
-    by_form = by_raw.groupBy("src_table", "form").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("raws"), F.min(F.struct("low", "raw")).alias("one")).where("raws > 1")
-    second = by_raw.join(by_form.select("src_table", "form", "one"), ["src_table", "form"]).where(F.col("raw") != F.col("one.raw")).groupBy("src_table", "form").agg(F.min("low").alias("other"))
-    groups = by_form.join(second, ["src_table", "form"]).withColumn("full", F.col("n").cast("double") * F.col("n") <= full_pairs)
+    # per form: its rows, the raw text that most of them have, and the smallest key with the text it has
+    by_form = by_raw.groupBy("src_table", "form").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("raws"), F.max(F.struct("n", "raw")).alias("most"), F.min(F.struct("low", "raw")).alias("one")).where("raws > 1")
+    full = F.lit(True) if full_pairs is None else F.col("n").cast("double") * F.col("n") <= full_pairs
+    tiles = lambda n: F.ceil(n / F.lit(TILE_KEYS)).cast("long")
+    groups = by_form.select("src_table", "form", "one", full.alias("full"), F.col("most.raw").alias("main"), tiles(F.col("n")).alias("ta"), tiles(F.col("n") - F.col("most.n")).alias("tb"))
     # distinct() also merges repeated rows
-    mixed = hashed.join(groups, ["src_table", "form"]).select("src_table", "form", "key", "raw", "full", "one", "other").distinct()
-    small = mixed.where("full").select("src_table", "form", "key", "raw")
-    a, b = small.withColumnsRenamed({"key": "ka", "raw": "xa"}), small.withColumnsRenamed({"key": "kb", "raw": "xb"})
-    every = a.join(b, ["src_table", "form"]).where("ka < kb and xa != xb").select("src_table", "ka", "kb")
-    star = mixed.where("not full").select("src_table", F.col("key").alias("ka"), F.when(F.col("raw") == F.col("one.raw"), F.col("other")).otherwise(F.col("one.low")).alias("kb"))
-    return every.unionByName(star).where("ka != kb").select("src_table", *ordered_pair("ka", "kb", ("key_a", "key_b"))).distinct()
+    mixed = hashed.join(groups, ["src_table", "form"]).distinct()
+    # all rows against those of another text than the main one, so masses of copies of one text aren't compared
+    small = mixed.where("full")
+    a = small.select("src_table", "form", F.col("key").alias("ka"), F.col("raw").alias("xa"), "main", *tile_of(("key", "raw"), "ta", "tb", ("x", "y")))
+    b = small.where("raw != main").select("src_table", "form", F.col("key").alias("kb"), F.col("raw").alias("xb"), *tile_of(("key", "raw"), "tb", "ta", ("y", "x")))
+    found = a.join(b, ["src_table", "form", "x", "y"]).where("xa != xb and (xa = main or ka < kb)").select("src_table", "ka", "kb")
+    if full_pairs is not None:
+        second = by_raw.join(by_form.select("src_table", "form", "one"), ["src_table", "form"]).where(F.col("raw") != F.col("one.raw")).groupBy("src_table", "form").agg(F.min("low").alias("other"))
+        star = mixed.where("not full").join(second, ["src_table", "form"])
+        found = found.unionByName(star.select("src_table", F.col("key").alias("ka"), F.when(F.col("raw") == F.col("one.raw"), F.col("other")).otherwise(F.col("one.low")).alias("kb")))
+    return found.where("ka != kb").select("src_table", *ordered_pair("ka", "kb", ("key_a", "key_b"))).distinct()

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Up to so many pairs a pair of classes is written out in full; beyond it, as a star (see ``expand_pairs``).
 FULL_PAIRS = 10_000
+#: Records of one side of a tile: larger sides are cut, so that no task writes all pairs of a large class.
+TILE_KEYS = 1_000
 
 
 def ordered_pair(a: str, b: str, names: tuple[str, str]) -> list:
@@ -14,6 +16,11 @@ def ordered_pair(a: str, b: str, names: tuple[str, str]) -> list:
     return [F.least(F.col(a), F.col(b)).alias(names[0]), F.greatest(F.col(a), F.col(b)).alias(names[1])]
 
 
+def tile_of(by: tuple[str, ...], mine: str, other: str, names: tuple[str, str]) -> list:
+    """Columns that send a record to its own of ``mine`` tiles and to each of the other side's ``other`` tiles."""
+    return [F.pmod(F.xxhash64(*by), F.col(mine)).alias(names[0]), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(names[1])]
+
+
 def expand_pairs(links: DataFrame, members: DataFrame, names: tuple[str, str], full_pairs: int = FULL_PAIRS) -> DataFrame:
     """Pairs of keys from ``links`` (``a, b``: classes) and ``members`` (``cls, key``, distinct).
 

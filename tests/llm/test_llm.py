@@ -242,6 +242,16 @@ def test_lookalikes(spark):
     assert [r[0] for r in df.select(lookalikes.normalised(F.col("text"))).collect()][-1] is None
 
 
+def test_lookalikes_large_form(spark, monkeypatch):
+    # 130 spellings of one form, a mass of copies of one of them, and a key with two spellings
+    rows = [("t", f"k{i:03}", "A" + "\u200b" * i + "1") for i in range(130)] + [("t", f"c{i:03}", "A1") for i in range(140)] + [("t", "k003", "A1"), ("t", "k005", "A1 ")]
+    want = {("t", a, b) for _, a, x in rows for _, b, y in rows if a < b and x != y}
+    df = spark.createDataFrame(rows, "src_table string, key string, text string")
+    assert pairs_of(lookalikes.lookalike_pairs(df)) == want and len(want) > 130 * 129 // 2
+    monkeypatch.setattr(lookalikes, "TILE_KEYS", 50)
+    assert pairs_of(lookalikes.lookalike_pairs(df)) == want
+
+
 # 7
 
 
