@@ -164,14 +164,14 @@ def _grid(rows: DataFrame, mine: str, other: str, groups: int) -> DataFrame:
     return placed.select("side", "cls", "words", "digits", F.when(F.col("common"), F.xxhash64("digits", x, y)).otherwise(F.pmod("digits", F.lit(groups))).alias("grp"))
 
 
-def cross_split_links(questions: DataFrame, threshold: float = 0.7, shard: int = SHARD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def cross_split_links(questions: DataFrame, threshold: float = 0.7, shard: int = SHARD, block: int = BLOCK, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Links between classes of equal word sets of training and evaluation questions, and the members.
 
-    ``questions``: ``key, question, side`` (``train`` or ``eval``); other columns are ignored, as are other sides. Null
-    keys and questions without a word take no part. Result: ``a, b`` (a class of training and one of evaluation; the
-    same if both have it) and members ``cls, key, side``."""
-    rows = questions.where("key is not null and question is not null and side in ('train', 'eval')").select(F.col("key").cast("string").alias("key"), "question", "side")
-    words = rows.mapInArrow(_word_sets, "key string, side string, words array<string>, digits long, cls binary")
+    ``questions``: ``key, question, side`` (``train`` or ``eval``); other columns are ignored, as are other sides, but
+    for the text columns ``carry``, which the members keep. Null keys and questions without a word take no part. Result:
+    ``a, b`` (a class of training and one of evaluation; the same if both have it) and members ``cls, key, side``."""
+    rows = questions.where("key is not null and question is not null and side in ('train', 'eval')").select(F.col("key").cast("string").alias("key"), "side", *carry, "question")
+    words = rows.mapInArrow(_word_sets, ", ".join(["key string, side string", *(f"{c} string" for c in carry), "words array<string>, digits long, cls binary"]))
     members = checkpoint(words)
     classes = members.groupBy("side", "cls", "digits").agg(F.first("words").alias("words"))
     # only sets of words with a digit that both sides have; a large one gets a grid of its own
@@ -196,5 +196,31 @@ def cross_split_pairs(questions: DataFrame, threshold: float = 0.7, full_pairs:
     return expand_pairs(tagged, named, names, full_pairs)
 
 
+def cross_split_counts(questions: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Numbers of the pairs of ``cross_split_pairs``, without writing them out, and of the evaluation questions in them:
+    ``eval_table, eval_split, train_table, pairs, eval_questions``.
+
+    ``questions``: ``key, question, side, src_table, split``. A question is a key of a table. Of linked classes the numbers
+    of keys are multiplied; only pairs with a key that has several texts, which several links may give, are written
+    out to count once. A key is no pair with itself."""
+    links, members = cross_split_links(questions, threshold, carry=("src_table", "split"))
+    links = checkpoint(links)
+    named = members.select("side", "cls", "key", "src_table", "split").distinct()
+    texts = members.groupBy("side", "key", "src_table").agg((F.min("cls") != F.max("cls")).alias("several"))
+    named = checkpoint(named.join(texts.withColumnsRenamed({"src_table": "t"}), ["side", "key"]).where(F.col("src_table").eqNullSafe(F.col("t"))).drop("t"))
+    train = named.where("side = 'train'").select(F.col("cls").alias("a"), F.col("key").alias("train_key"), F.col("src_table").alias("train_table"), F.col("several").alias("train_several")).distinct()
+    evaluation = named.where("side = 'eval'").select(F.col("cls").alias("b"), F.col("key").alias("eval_key"), F.col("src_table").alias("eval_table"), F.col("split").alias("eval_split"), F.col("several").alias("eval_several"))
+    question = ["eval_key", "eval_table", "eval_split", "train_table"]
+    # keys with one text: to each evaluation question the number of training keys its class is linked with, without itself
+    reach = train.where("not train_several").groupBy("a", "train_table").agg(F.count(F.lit(1)).alias("n")).join(links, "a").groupBy("b", "train_table").agg(F.sum("n").alias("n"))
+    own = train.where("not train_several").join(links, "a").select("b", F.col("train_key").alias("eval_key"), "train_table", F.lit(1).alias("own"))
+    single = evaluation.where("not eval_several").join(reach, "b").join(own, ["b", "eval_key", "train_table"], "left")
+    single = single.select(*question, (F.col("n") - F.coalesce("own", F.lit(0))).alias("n"))
+    odd = links.join(train.where("train_several"), "a").join(evaluation, "b").unionByName(links.join(train.where("not train_several"), "a").join(evaluation.where("eval_several"), "b"))
+    odd = odd.where("train_key != eval_key").select(*question, "train_key").distinct().groupBy(*question).agg(F.count(F.lit(1)).alias("n"))
+    counted = single.unionByName(odd).groupBy(*question).agg(F.sum("n").alias("n")).where("n > 0")
+    return counted.groupBy("eval_table", "eval_split", "train_table").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("eval_questions"))
+
+
 def split_name(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))

@@ -10,10 +10,9 @@ from tessera.llm.languages import document_languages, language_cases, language_s
 from tessera.llm.leakage import leaked_items
 from tessera.llm.lookalikes import lookalike_pairs
 from tessera.llm.neardup import near_duplicate_pairs
-from tessera.llm.overlap import cross_split_pairs, split_name
+from tessera.llm.overlap import cross_split_counts, cross_split_pairs, split_name
 from tessera.llm.packing import container_report, pack_documents
 from tessera.llm.splitting import once, split_oversized
-from tessera.session import checkpoint
 from tessera.sources.tables import table
 
 
@@ -49,13 +48,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of pairs and of evaluation questions in them, per evaluation split and table, and per table of the
     development question."""
-    rows = checkpoint(_questions(spark, d))
-    pairs = cross_split_pairs(rows.select("key", "question", "side"))
-    both = pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
-    names = rows.groupBy("key", "side").agg(F.min(F.struct("src_table", "split")).alias("s"))
-    one = names.where("side = 'train'").select(F.col("key").alias("id_a"), F.col("s.src_table").alias("train_table"))
-    two = names.where("side = 'eval'").select(F.col("key").alias("id_b"), F.col("s.src_table").alias("eval_table"), F.col("s.split").alias("eval_split"))
-    return both.join(one, "id_a").join(two, "id_b").groupBy("eval_table", "eval_split", "train_table").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("id_b").alias("eval_questions"))
+    return cross_split_counts(_questions(spark, d))
 
 
 def _oversized(spark: SparkSession, d: str, with_text: bool) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import conversations, languages, leakage, lookalikes, neardup, overlap, packing, pairs, splitting, text
+from tessera.llm import conversations, languages, leakage, lookalikes, neardup, overlap, packing, pairs, queries, splitting, text
 
 T0 = dt.datetime(2024, 1, 1)
 WORDS = [f"w{i}" for i in range(300)]
@@ -196,6 +196,26 @@ def test_cross_split(spark, grid):
         assert pairs_of(overlap.cross_split_pairs(df)) == want and overlap.cross_split_pairs(df.limit(0)).count() == 0
 
 
+def test_cross_split_report(spark, tmp_path):
+    # 103 development and 160 evaluation spellings of one question; other questions; a key on both sides, one with two texts
+    schema = "id string, question string, split string"
+    formal = [(f"d{i:03}", "valve of pump 7" + "!" * i, "development") for i in range(80)] + [(f"e{i:03}", "of pump 7, valve" + "." * i, " Test") for i in range(110)]
+    formal += [("x", "open the door", "development"), ("x", "open the door", "test"), ("y", "Open the door", "test"), ("z", "close it", "test"), ("z", "open the door", "test"), ("o", "valve of pump 7", " ")]
+    other = [(f"f{i:03}", "Pump 7: valve of" + " " * i, "development") for i in range(23)] + [(f"g{i:03}", "valve of the pump 7" + "?" * i, "regression") for i in range(50)]
+    other += [("z", "the door open", "development"), ("w", "open the door now", "development"), ("w", "open the door", "development"), ("f001", "Pump 7: valve of ", "development")]
+    spark.createDataFrame(formal, schema).write.parquet(f"{tmp_path}/formal_questions.parquet")
+    spark.createDataFrame(other, schema).write.parquet(f"{tmp_path}/application_questions.parquet")
+    rows = [(n, k, set(text.words_of(q)), s.strip().lower()) for n, t in (("formal_questions", formal), ("application_questions", other)) for k, q, s in t]
+    digits = lambda w: {x for x in w if any(c.isdigit() for c in x)}
+    found = {}
+    for n, k, x, s in rows:
+        for m, e, y, t in rows:
+            if s == "development" and t in ("test", "regression") and k != e and digits(x) == digits(y) and len(x & y) >= 0.7 * len(x | y):
+                found.setdefault((m, t, n), set()).add((k, e))
+    want = {(*g, len(p), len({e for _, e in p})) for g, p in found.items()}
+    assert pairs_of(queries.p3_report(spark, str(tmp_path))) == want and len(want) == 4
+
+
 # 4
 
 
