@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.pairs import FULL_PAIRS, expand_pairs
+from tessera.llm.pairs import expand_pairs
 from tessera.llm.text import WordHasher, run_sets, words_of
 from tessera.operators.references import bloom_maybe
 from tessera.session import checkpoint, shuffle_partitions
@@ -276,10 +276,10 @@ def near_duplicate_links(rows: DataFrame, threshold: float = 0.6, bands: int = 2
     return named_links, signed.select("cls", "key")
 
 
-def near_duplicate_pairs(rows: DataFrame, names: tuple[str, str] = ("key_a", "key_b"), threshold: float = 0.6, full_pairs: int = FULL_PAIRS) -> DataFrame:
+def near_duplicate_pairs(rows: DataFrame, names: tuple[str, str] = ("key_a", "key_b"), threshold: float = 0.6, full_pairs: int | None = None) -> DataFrame:
     """Pairs of different keys whose texts share at least ``threshold`` of their runs of three words.
 
-    Copies under different keys are pairs as well; very large groups of copies are linked as a star
+    Copies under different keys are pairs as well, all of them unless ``full_pairs`` is given
     (``pairs.expand_pairs``). A text of one or two words pairs only with texts of the same words. A key with
     several texts takes part with each."""
     links, members = near_duplicate_links(rows, threshold)

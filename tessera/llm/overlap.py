@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.pairs import FULL_PAIRS, expand_pairs
+from tessera.llm.pairs import expand_pairs
 from tessera.llm.text import words_of
 from tessera.session import checkpoint
 
@@ -186,9 +186,10 @@ def cross_split_links(questions: DataFrame, threshold: float = 0.7, shard: int =
     return links.distinct(), members
 
 
-def cross_split_pairs(questions: DataFrame, threshold: float = 0.7, full_pairs: int = FULL_PAIRS, names: tuple[str, str] = ("id_a", "id_b")) -> DataFrame:
+def cross_split_pairs(questions: DataFrame, threshold: float = 0.7, full_pairs: int | None = None, names: tuple[str, str] = ("id_a", "id_b")) -> DataFrame:
     """Pairs of a training and an evaluation question whose words share ``threshold`` of all (repeats don't count) and
-    whose words with a digit are the same. Both keys, the smaller first. Very many copies are linked as a star."""
+    whose words with a digit are the same. Both keys, the smaller first. All pairs, unless ``full_pairs`` is given
+    (``pairs.expand_pairs``)."""
     links, members = cross_split_links(questions, threshold)
     side = lambda c, s: F.concat(F.lit(s), c)
     named = members.select(F.concat(F.substring("side", 1, 1).cast("binary"), "cls").alias("cls"), "key").distinct()

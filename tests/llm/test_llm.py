@@ -196,6 +196,20 @@ def test_cross_split(spark, grid):
         assert pairs_of(overlap.cross_split_pairs(df)) == want and overlap.cross_split_pairs(df.limit(0)).count() == 0
 
 
+def test_large_classes_in_full(spark, monkeypatch):
+    # two linked classes, both with many spellings, and for p2 two classes of near copies
+    rows = [(f"t{i:03}", "valve of pump 7" + "!" * i, "train") for i in range(103)] + [(f"e{i:03}", "valve of the pump 7" + "?" * i, "eval") for i in range(105)]
+    df = spark.createDataFrame(rows, "key string, question string, side string")
+    want = {(e, t) for t, _, s in rows for e, _, u in rows if s == "train" and u == "eval"}
+    assert pairs_of(overlap.cross_split_pairs(df)) == want
+    near = [(k, " ".join(WORDS[:40]) + (" more" if s == "train" else "") + "!" * i) for i, (k, _, s) in enumerate(rows)]
+    every = {(a, b) for a, _ in near for b, _ in near if a < b}
+    both = spark.createDataFrame(near, "key string, text string")
+    assert pairs_of(neardup.near_duplicate_pairs(both)) == every
+    monkeypatch.setattr(pairs, "TILE_KEYS", 40)
+    assert pairs_of(overlap.cross_split_pairs(df)) == want and pairs_of(neardup.near_duplicate_pairs(both)) == every
+
+
 def test_cross_split_report(spark, tmp_path):
     # 103 development and 160 evaluation spellings of one question; other questions; a key on both sides, one with two texts
     schema = "id string, question string, split string"
