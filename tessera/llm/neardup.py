@@ -62,8 +62,7 @@ def _signatures(bands: int, rows: int):
                 if not keep:
                     continue
                 hashes, lengths = hasher([texts[i] for i in keep])
-                ends = np.cumsum(lengths)
-                cls = [xxhash.xxh3_128_digest(hashes[e - n : e].tobytes()) for e, n in zip(ends, lengths)]
+                cls = _classes(hashes, lengths)
                 runs, counts = run_sets(hashes, lengths, K)
                 starts = np.cumsum(counts) - counts
                 low = np.empty((bands * rows, len(keep)), np.uint8)
@@ -212,14 +211,23 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.select(["x", "y"]).filter(pa.array(differ <= one.shape[1] * 2 * (1 - LONG_AGREE)))
 
 
+def _classes(hashes: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """The class of each text, by the hashes of all its words."""
+    ends = np.cumsum(lengths)
+    return [xxhash.xxh3_128_digest(hashes[e - n : e].tobytes()) for e, n in zip(ends, lengths)]
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """32-bit hashes of the runs: two texts of a thousand runs have a false one in common once in 4,000 pairs."""
+    """32-bit hashes of the runs, where the text is of the class: two texts of a thousand runs have a false one in common
+    once in 4,000 pairs."""
     hasher = WordHasher()
     for b in batches:
-        runs, counts = run_sets(*hasher([words_of(t) for t in b.column("text").to_pylist()]), K)
+        hashes, lengths = hasher([words_of(t) for t in b.column("text").to_pylist()])
+        runs, counts = run_sets(hashes, lengths, K)
         offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
         short = (runs >> np.uint64(21)).astype(np.uint32).view(np.int32)
-        yield pa.RecordBatch.from_arrays([b.column("rid"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(short))], ["rid", "runs"])
+        mine = [c == x for c, x in zip(_classes(hashes, lengths), b.column("cls").to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column("rid"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(short))], ["rid", "runs"]).filter(pa.array(mine, pa.bool_()))
 
 
 def _verified(threshold: float):
@@ -266,8 +274,8 @@ def near_duplicate_links(rows: DataFrame, threshold: float = 0.6, bands: int = 2
     ends = links.select(F.col("x").alias("rid")).union(links.select(F.col("y").alias("rid"))).distinct()
     needed = checkpoint(ends.join(signed.select("rid", "key", "cls"), "rid"))
     # a filter of bounded size keeps most other texts out of the shuffle; the join is exact
-    texts = bloom_maybe(named, "key", needed, "key", needed.count()).join(needed.select("rid", "key"), "key").select("rid", "text")
-    # repeated rows of a representative give the same set; the aggregate keeps one
+    texts = bloom_maybe(named, "key", needed, "key", needed.count()).join(needed.select("rid", "key", "cls"), "key").select("rid", "cls", "text")
+    # texts of the key that are of another class go; the others give the same set, of which the aggregate keeps one
     sets = texts.mapInArrow(_sets, "rid long, runs array<int>").groupBy("rid").agg(F.first("runs").alias("runs"))
     paired = links.join(sets.select(F.col("rid").alias("x"), F.col("runs").alias("s")), "x").join(sets.select(F.col("rid").alias("y"), F.col("runs").alias("t")), "y")
     true = paired.select("x", "y", "s", "t").mapInArrow(_verified(threshold), "x long, y long")

@@ -146,6 +146,17 @@ def test_large_blocks_and_copies(spark, monkeypatch):
     assert pairs_of(neardup.near_duplicate_pairs(df, full_pairs=30_000)) == want
 
 
+def test_keys_with_two_texts(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(15):
+        for side in "ab":
+            base = [r.choice(WORDS) for _ in range(60)]
+            rows += [(f"two{i:02}", " ".join(base)), (f"{side}{i:02}", " ".join(edited(r, base, 1)))]
+    df = spark.createDataFrame(rows, "key string, text string")
+    assert pairs_of(neardup.near_duplicate_pairs(df)) == {(f"{s}{i:02}", f"two{i:02}") for i in range(15) for s in "ab"}
+
+
 def test_tiles_skip_nothing_near():
     rng = np.random.default_rng(1)
     n = np.sort(rng.integers(5, 400, 700))
