@@ -244,36 +244,49 @@ def _extended(item: np.ndarray, doc: np.ndarray, i: int, j: int, step: int) -> t
         i, j, reached, equal = i + di * step, j + dj * step, reached + di, equal + gain
 
 
+def is_leak(item_words: int, reached: int, equal: int, doc_words: int, least: float = 0.5, purity: float = 0.75) -> bool:
+    """Whether a stretch is more than ``least`` of the item and mostly equal."""
+    return reached > least * item_words and equal >= purity * max(reached, doc_words)
+
+
+def better_stretch(item_words: int):
+    """The key to compare stretches by: leaks before others, then the longer."""
+    return lambda x: (is_leak(item_words, *x), x)
+
+
 def best_stretch(item: np.ndarray, doc: np.ndarray, gap: int = GAP) -> tuple[int, int, int]:
-    """Of the item's stretches in the document the longest: its words of the item, of these the equal ones, and its
-    words of the document."""
+    """Of the item's stretches in the document the longest leak, else the longest: its words of the item, of these the
+    equal ones, and its words of the document. Every chain of tiles, from each first to each last, is a stretch."""
     tiles = tiles_of(item, doc)
-    if not tiles:
-        return 0, 0, 0
-    best: list[tuple[int, int]] = []  # equal words of the best chain that ends here, and its first tile
-    for t, (i, j, n) in enumerate(tiles):
-        mine = (n, t)
-        for u in range(t):
-            a, b, m = tiles[u]
-            gi, gj = i - a - m, j - b - m
-            if 0 <= gi <= gap and 0 <= gj <= gap and best[u][0] + n > mine[0]:
-                mine = (best[u][0] + n, best[u][1])
-        best.append(mine)
+    better = better_stretch(len(item))
     found = (0, 0, 0)
-    for t, (equal, first) in sorted(enumerate(best), key=lambda x: -x[1][0])[:3]:
-        i0, j0, _ = tiles[first]
-        i1, j1 = tiles[t][0] + tiles[t][2], tiles[t][1] + tiles[t][2]
+    # the tiles that may come before each; they share no words of the item, so their ends are sorted as they are
+    before: list[list[int]] = []
+    for t, (i, j, _) in enumerate(tiles):
+        mine = []
+        for u in range(t - 1, -1, -1):
+            a, b, m = tiles[u]
+            if i - a - m > gap:
+                break
+            if i >= a + m and 0 <= j - b - m <= gap:
+                mine.append(u)
+        before.append(mine)
+    right = [_extended(item, doc, i + n, j + n, 1) for i, j, n in tiles]
+    for first, (i0, j0, n0) in enumerate(tiles):
         left, el = _extended(item, doc, i0 - 1, j0 - 1, -1)
-        right, er = _extended(item, doc, i1, j1, 1)
-        found = max(found, (i1 - i0 + left + right, equal + el + er, j1 - j0 + left + right))
+        most = {first: n0}  # equal words of the best chain from the first tile to each
+        for t in range(first, len(tiles)):
+            i, j, n = tiles[t]
+            if t > first:
+                reached = [most[u] for u in before[t] if u in most]
+                if not reached:
+                    continue
+                most[t] = max(reached) + n
+            more, er = right[t]
+            found = max(found, (i + n - i0 + left + more, most[t] + el + er, j + n - j0 + left + more), key=better)
     return found
 
 
-def is_leak(item_words: int, reached: int, equal: int, doc_words: int, least: float = 0.5, purity: float = 0.75) -> bool:
-    """Whether a stretch is more than ``least`` of the item and mostly equal."""
-    return reached > least * item_words and equal >= purity * max(reached, doc_words)
-
-
 def _common(texts: list[str]) -> Counter:
     """In how many of some documents each run of seed length is, where in several."""
     met = Counter(x for t in texts for ws in [plain_words(t)] for x in {tuple(ws[i : i + k]) for k in SEEDS for i in range(len(ws) - k + 1)})
@@ -367,7 +380,7 @@ def _hits(block: Block, keys: list, texts: list[list[str]]) -> list[tuple[int, i
         item = block.items[i][1]
         drift = 2 * (edits_allowed(len(item)) + 3)
         lo, hi = max(0, base - drift), min(int(counts[d]), base + 16 + len(item) + drift)
-        best[d, i] = max(best.get((d, i), (0, 0, 0)), best_stretch(item, ids[begins[d] + lo : begins[d] + hi]))
+        best[d, i] = max(best.get((d, i), (0, 0, 0)), best_stretch(item, ids[begins[d] + lo : begins[d] + hi]), key=better_stretch(len(item)))
     return [(keys[d], block.items[i][0], len(block.items[i][1]), *b[:2]) for (d, i), b in best.items() if is_leak(len(block.items[i][1]), *b)]
 
 

@@ -381,6 +381,20 @@ def test_leaks(spark):
     assert leakage.plain_words("regis-\nter <b>two</b> &amp; Über-\r\n wachung") == ["register", "two", "überwachung"]
 
 
+def test_clean_stretch_beside_loose_one(spark):
+    # the whole item loosely, with every fourth to sixth word changed and words added, and more than half of it cleanly
+    item = [f"v{i}" for i in range(90)]
+    loose = [x for i in range(0, 90, 6) for x in (*item[i : i + 3], "new", "odd", "else", "more", "or", "less")]
+    docs = [(1, " ".join([*loose, *["far"] * 400, *item[:50]])), (2, " ".join(loose)), (3, " ".join([*item[:50], *["far"] * 400, *loose]))]
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {(1, 1), (3, 1)}
+    # the clean half is the end of a loose chain
+    ids = np.arange(1, 91, dtype=np.uint64)
+    head = np.array([x for i in range(0, 36, 9) for x in (*range(i + 1, i + 4), *[99] * 6)], np.uint64)
+    doc = np.concatenate((head, ids[36:86]))
+    assert leakage.is_leak(90, *leakage.best_stretch(ids, doc))
+
+
 def test_short_items(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x alpha beta y"), (2, "alpha"), (3, "so delta is")], "doc_id long, text string")
