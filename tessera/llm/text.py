@@ -8,18 +8,23 @@ import unicodedata
 import numpy as np
 import xxhash
 
-# Letters of Cyrillic and Greek and the Latin letters they look like.
+# Letters of Cyrillic and Greek and the Latin letters they look like, as Unicode's list of confusable
+# characters has them; the capital iota and palochka go to I, the small kappas to k, and letters like digits stay.
 LOOKALIKES = {
-    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W",
-    "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ο": "o", "ν": "v", "Ϲ": "C", "ϲ": "c", "ϳ": "j",
+    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѵ": "V", "Ү": "Y", "Ӏ": "I", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
+    "а": "a", "г": "r", "е": "e", "к": "k", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѡ": "w", "ѵ": "v", "ү": "y", "һ": "h", "ҽ": "e", "ӏ": "l", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "Ϳ": "J", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϝ": "F", "Ϲ": "C", "Ϻ": "M",
+    "α": "a", "γ": "y", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "υ": "u", "ϲ": "c", "ϳ": "j",
 }
 _LOOK = str.maketrans(LOOKALIKES)
 #: Those letters, alone or under accents.
 _LOOK_RX = re.compile("[" + "".join(chr(c) for c in range(0x370, 0x530) if LOOKALIKES.keys() & set(unicodedata.normalize("NFKD", chr(c)))) + "]")
-#: Default-ignorable characters: soft hyphen, joiners, direction and invisible operators, variation selectors.
-_IGNORABLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e0fff]")
+#: All default-ignorable characters of Unicode: soft hyphen, joiners, fillers, direction and invisible operators,
+#: variation selectors, shorthand and musical format controls, tags, and the ranges kept for more of them.
+_IGNORABLE = re.compile(
+    "[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8"
+    "\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff]"
+)
 #: A Chinese character alone, or a longest run of other letters and digits.
 WORDS = re.compile("[\u4e00-\u9fff]|[^\\W_\u4e00-\u9fff]+")
 _CJK = re.compile("[\u4e00-\u9fff]")
