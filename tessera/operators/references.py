@@ -3,7 +3,7 @@
 A blocked Bloom filter of the parent keys is built as a table (one 64-bit word a row, merged with ``bit_or``
 before and after the shuffle) and broadcast. Its size does not depend on the data beyond ``max_words``, so the
 broadcast has a fixed bound; a fuller filter only passes more references on. What the filter rejects is an
-orphan for certain. What it passes is verified by an exact join with the parents.
+orphan for certain and is reported as it is. Only what it passes is verified, by an exact join with the parents.
 """
 
 from __future__ import annotations
@@ -92,13 +92,14 @@ def orphan_references(refs: DataFrame, parents: DataFrame, *, parent_key: str =
     bloom = bloom_table(parents, parent_key, words)
     mask = _mask(F.col("chunk_id"))
     tested = refs.withColumn("word", _word(F.col("chunk_id"), words)).join(F.broadcast(bloom), "word", "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False))).drop("word", "bits")
-    refs_once = tested.groupBy("ref_table", "ref_id", "chunk_id", "maybe").agg(F.max("at").alias("at"))
+    # ``maybe`` depends on the id only; as an aggregate it can't be filtered before the shuffle, so both uses of this share one
+    once = tested.groupBy("ref_table", "ref_id", "chunk_id").agg(F.max("at").alias("at"), F.bool_or("maybe").alias("maybe"))
+    absent = once.where("not maybe").select("ref_table", "ref_id", "chunk_id", "at", F.lit("missing").alias("reason"))
     first = parents.where(F.col(parent_key).isNotNull()).groupBy(F.col(parent_key).alias("chunk_id")).agg(F.min(F.col(since).cast("timestamp_ntz")).alias("first_seen"), F.lit(True).alias("found"))
-    # the filter's negatives take part in the join with a null key, so that one pass serves both
-    probe = refs_once.withColumn("probe", F.when(F.col("maybe"), F.col("chunk_id")))
-    checked = probe.join(first.withColumnRenamed("chunk_id", "probe"), "probe", "left")
+    checked = once.where("maybe").join(first, "chunk_id", "left")
     reason = F.when(F.col("found").isNull(), "missing").when(F.col("first_seen") > F.col("at"), "later")
-    return checked.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("ref_table", "ref_id", "chunk_id", "at", "reason")
+    late = checked.select("ref_table", "ref_id", "chunk_id", "at", reason.alias("reason")).where(F.col("reason").isNotNull())
+    return absent.unionByName(late)
 
 
 def orphan_report(orphans: DataFrame, removed: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,20 +13,35 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables that a query writes for itself.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is set (single
-    machine, tests) a temporary one is made. Files go away with the frame when
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
-    """
-    sc = df.sparkSession.sparkContext
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only where none is set and the master is this machine
+    (tests) a temporary one is made; elsewhere a machine-local folder would lose data with its machine, so that is an
+    error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not (sc.master or "").startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder. Files go away with the frame when
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(name: str = "tessera", cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     spark = (
