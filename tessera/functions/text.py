@@ -1,4 +1,5 @@
-"""Scalar text functions as Column expressions; all of them stay in generated JVM code."""
+"""Scalar text functions as Column expressions, which all stay in the JVM. Plain ones are part of generated code; those over
+arrays (``transform``, ``filter``, ``zip_with``) are called from it and interpreted, element by element."""
 
 from __future__ import annotations
 
@@ -111,17 +112,16 @@ def looks_like_links(c: Column) -> Column:
 
 def alarm_code(c: Column) -> Column:
     """A prefixed code; else four hexadecimal digits with a letter; else, beside a word for error, four digits. Null if none."""
-    bare = r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{4}(?![0-9A-Za-z]))(?=[0-9A-Fa-f]*[A-Fa-f])([0-9A-Fa-f]{4})"
     word = reduce(lambda a, b: a | b, [F.lower(c).contains(w) for w in L.ALARM_WORDS])
     found = lambda x, rx: F.nullif(F.regexp_extract(x, rx, 1), F.lit(""))
-    return F.coalesce(found(c, L.PREFIXED_CODE), found(c, bare), F.when(word, found(F.replace(c, F.lit("S7-1200"), F.lit("")), r"(?<![0-9])([0-9]{4})(?![0-9])")))
+    return F.coalesce(found(c, L.PREFIXED_CODE), found(c, L.BARE_CODE), F.when(word, found(F.replace(c, F.lit(L.MODEL_NAME), F.lit("")), L.DIGIT_CODE)))
 
 
 def normal_code(c: Column) -> Column:
     return F.replace(F.replace(F.replace(F.upper(c), F.lit("W#"), F.lit("")), F.lit("16#"), F.lit("")), F.lit("0X"), F.lit(""))
 
 
-def value_and_unit(c: Column, model: str = "S7-1200") -> Column:
+def value_and_unit(c: Column, model: str = L.MODEL_NAME) -> Column:
     """The first number and its unit (null if none) once the model's name is gone."""
     rest = F.replace(c, F.lit(model), F.lit(""))
     number = F.regexp_extract(rest, L.VALUE_AND_UNIT, 1)
@@ -189,9 +189,27 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / F.greatest(F.lit(1), F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both)
 
 
+def answer_sentences(c: Column) -> Column:
+    """Parts after each stop, the ASCII full stop among them, and between line ends; not stripped."""
+    return F.split(F.regexp_replace(c, "([。！？.!?])", "$1\n"), "\n+", -1)
+
+
 def useful_sentence(c: Column, least: int = 18) -> Column:
     """The first sentence of at least so many characters without a path mark; null if none."""
-    return F.try_element_at(F.filter(sentences(c), lambda s: (F.length(s) >= least) & ~F.contains(s, F.lit(" > "))), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(answer_sentences(c), strip), lambda s: (F.length(s) >= least) & ~F.contains(s, F.lit(" > "))), F.lit(1))
+
+
+def rewritten_query(question: Column, model: Column, version: Column) -> Column:
+    """A question without filler words, with model, version and general words after it."""
+    parts = F.filter(F.array(F.coalesce(model, F.lit("")), F.coalesce(version, F.lit("")), F.lit(" ".join(L.RETRY_WORDS))), lambda x: x != "")
+    return F.concat(strip(F.regexp_replace(question, L.QUERY_FILLERS, " ")), F.lit(" "), F.array_join(parts, " "))
+
+
+def retry_query(question: Column, model: Column, version: Column, missing: Column) -> Column:
+    """A question without filler words, then its model, version, ``missing`` terms and general words, each once."""
+    said = F.array(F.regexp_replace(question, L.QUERY_FILLERS, " "), F.coalesce(model, F.lit("")), F.coalesce(version, F.lit("")))
+    parts = F.transform(F.concat(said, F.coalesce(missing, strings(())), strings(L.RETRY_WORDS)), strip)
+    return F.array_join(F.array_distinct(F.filter(parts, lambda x: x != "")), " ")
 
 
 def chunk_family(c: Column) -> Column:

@@ -1,104 +1,150 @@
-"""Sections, chunks and table rows of pages. Folds over lines and sentences are higher-order functions, so no text
-leaves the JVM and no row is shuffled until ids are numbered."""
+"""Sections, chunks and table rows of pages.
+
+Cutting a page is one pass over its lines and sentences: sums of token numbers from the start give the end of each chunk by
+search. It runs on Arrow batches, a page at a time, so its work is linear in the page and no row is shuffled until ids
+are numbered."""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import lexicon as L
 from tessera.functions import text as T
+from tessera.operators.running import running_before
+from tessera.session import checkpoint
 
-MARKDOWN = r"^(#{1,6})\s+(.+)$"
-NUMBERED = r"^([0-9]+(?:\.[0-9]+){0,4})\s+(.{2,80})$"
-CHINESE = r"^([一二三四五六七八九十]+、.{2,80})$"
+#: The fixed patterns of ``lexicon`` as Python writes them.
+_MARKDOWN, _CHINESE = re.compile(r"(#{1,6})\s+(.+)"), re.compile("[一二三四五六七八九十]+、.{2,80}")
+_NUMBERED = re.compile(r"(\d+(?:\.\d+){0,4})\s+(.{2,80})")
+_TOKEN = re.compile("16#[0-9A-Fa-f]+|[\u4e00-\u9fff]|[A-Za-z]+(?:_[A-Za-z]+)*|\\d+(?:\\.\\d+)?")
+_STOP = re.compile(f"[^{L.SENTENCE_STOPS}\n]*[{L.SENTENCE_STOPS}]|[^{L.SENTENCE_STOPS}\n]+")
+#: Characters of a heading that its path keeps.
+TITLE = 100
 
 
 def heading(line: Column) -> Column:
     """``level`` and ``title`` of a heading line; null for others."""
     s = T.strip(line)
-    md, num, zh = F.regexp_extract(s, MARKDOWN, 2), F.regexp_extract(s, NUMBERED, 1), F.regexp_extract(s, CHINESE, 1)
+    md, num, zh = F.regexp_extract(s, L.MARKDOWN_HEADING, 2), F.regexp_extract(s, L.NUMBERED_HEADING, 1), F.regexp_extract(s, L.CHINESE_HEADING, 1)
     dots = F.length(num) - F.length(F.replace(num, F.lit("."), F.lit("")))
-    make = lambda level, title: F.struct(level.cast("int").alias("level"), F.substring(title, 1, 100).alias("title"))
+    make = lambda level, title: F.struct(level.cast("int").alias("level"), F.substring(title, 1, TITLE).alias("title"))
     return (
-        F.when(md != "", make(F.length(F.regexp_extract(s, MARKDOWN, 1)), T.strip(md)))
-        .when((num != "") & ~s.rlike(r"\.{3,}"), make(F.least(F.lit(4), dots + 1), F.concat(num, F.lit(" "), F.regexp_extract(s, NUMBERED, 2))))
-        .when(zh != "", make(F.lit(1), T.strip(zh)))
+        F.when(md != "", make(F.length(F.regexp_extract(s, L.MARKDOWN_HEADING, 1)), T.strip(md)))
+        .when((num != "") & ~s.rlike(r"\.{3,}"), make(F.least(F.lit(4), dots + 1), F.concat(num, F.lit(" "), F.regexp_extract(s, L.NUMBERED_HEADING, 2))))
+        .when(zh != "", make(F.lit(1), zh))
     )
 
 
-def sections(c: Column) -> Column:
-    """Array of ``path`` and ``text``: a text cut at its heading lines, each part with the headings in force. Parts
-    without text are left out; a text without any part gives itself with no path."""
-    lines = F.split(F.regexp_replace(c, "\r\n|[\r\\x{0b}\\x{0c}\\x{1c}-\\x{1e}\\x{85}\\x{2028}\\x{2029}]", "\n"), "\n", -1)
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("path"), none.alias("lines"), F.array().cast("array<struct<path:array<string>,text:string>>").alias("done"))
+def heading_of(line: str) -> tuple[int, str] | None:
+    """``heading`` of one line."""
+    s = line.strip()
+    if m := _MARKDOWN.fullmatch(s):
+        return len(m[1]), m[2].strip()[:TITLE]
+    if (m := _NUMBERED.fullmatch(s)) and "..." not in s:
+        return min(4, m[1].count(".") + 1), f"{m[1]} {m[2]}"[:TITLE]
+    return (1, s[:TITLE]) if _CHINESE.fullmatch(s) else None
 
-    def flush(s: Column) -> Column:
-        text = T.strip(F.array_join(s["lines"], "\n"))
-        return F.when(text != "", F.concat(s["done"], F.array(F.struct(s["path"].alias("path"), text.alias("text"))))).otherwise(s["done"])
 
-    def step(s: Column, line: Column) -> Column:
-        h = heading(line)
-        on = F.struct(F.concat(F.slice(s["path"], F.lit(1), h["level"] - 1), F.array(h["title"])).alias("path"), none.alias("lines"), flush(s).alias("done"))
-        return F.when(h.isNotNull(), on).otherwise(F.struct(s["path"].alias("path"), F.concat(s["lines"], F.array(line)).alias("lines"), s["done"].alias("done")))
+def sections_of(text: str) -> list[tuple[list[str], str]]:
+    """The parts of a text between its heading lines, each with the headings in force, without empty ones."""
+    parts: list[tuple[list[str], str]] = []
+    path: list[str] = []
+    lines = text.splitlines()
+    heads = [(i, h) for i, line in enumerate(lines) if (h := heading_of(line))]
+    begin = 0
+    for end, head in [*heads, (len(lines), None)]:
+        body = "\n".join(lines[begin:end]).strip()
+        if body:
+            parts.append((path, body))
+        if head:
+            path = [*path[: head[0] - 1], head[1]]
+        begin = end + 1
+    return parts or [([], text.strip())]
 
-    return F.aggregate(lines, start, step, lambda s: F.when(F.size(flush(s)) > 0, flush(s)).otherwise(F.array(F.struct(none.alias("path"), T.strip(c).alias("text")))))
 
+def sentences_of(text: str) -> list[str]:
+    return [s for m in _STOP.finditer(text) if (s := m[0].strip())]
 
-def _counted(c: Column, lower: bool) -> Column:
-    """Sentences with their tokens."""
-    return F.transform(T.sentences(c), lambda s: F.struct(s.alias("s"), T.chunk_tokens(F.lower(s) if lower else s).alias("t")))
 
+def fixed_of(text: str, size: int, overlap: int, least: int) -> list[str]:
+    """``fixed_chunks`` of one text."""
+    parts = sentences_of(text)
+    sums = [0, *accumulate(len(_TOKEN.findall(s)) for s in parts)]
+    out, start, at_least = [], 0, 1
+    while start < len(parts):
+        end = max(at_least, bisect_right(sums, sums[start] + size) - 1)
+        out.append("\n".join(parts[start:end]))
+        if end >= len(parts):
+            break
+        start, at_least = max(start, min(end - 1, bisect_left(sums, sums[end] - overlap))), end + 1
+    return [x for x in out if len(x) >= least]
+
+
+def semantic_of(text: str, target: int, most: int, similar: float, least: int) -> list[str]:
+    """``semantic_chunks`` of one text."""
+    parts = sentences_of(text)
+    words = [set(_TOKEN.findall(s.lower())) for s in parts]
+    sums = [0, *accumulate(map(len, words))]
+    begins = [0] if parts else []
+    for i in range(1, len(parts)):
+        full = sums[i] - sums[begins[-1]]
+        if full + len(words[i]) > most or (full >= target and len(words[i] & words[i - 1]) < similar * max(1, len(words[i] | words[i - 1]))):
+            begins.append(i)
+    out = ["\n".join(parts[a:b]) for a, b in zip(begins, [*begins[1:], len(parts)])]
+    return [x for x in out if len(x) >= least]
 
-def fixed_chunks(c: Column, size: int = 450, overlap: int = 60, least: int = 20) -> Column:
-    """Sentences packed to ``size`` tokens. When the next one doesn't fit, a chunk ends, and the next begins with the
-    last sentences that have ``overlap`` tokens together, at least one. Chunks under ``least`` characters go."""
-    parts = F.transform(_counted(c, False), lambda x: F.struct(x["s"].alias("s"), F.size(x["t"]).alias("n")))
-    empty = F.array().cast("array<struct<s:string,n:int>>")
-    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x["n"])
-    text = lambda a: F.array_join(F.transform(a, lambda x: x["s"]), "\n")
 
-    def tail(a: Column) -> Column:
-        begin = F.struct(empty.alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+def _mapped(kind: str, arrow: pa.DataType, f):
+    """A column function that applies ``f`` to each text; null stays null."""
 
-        def back(t: Column, x: Column) -> Column:
-            full = t["full"] | ((F.size(t["kept"]) > 0) & (t["n"] + x["n"] > overlap))
-            return F.when(full, F.struct(t["kept"].alias("kept"), t["n"].alias("n"), F.lit(True).alias("full"))).otherwise(
-                F.struct(F.concat(F.array(x), t["kept"]).alias("kept"), (t["n"] + x["n"]).alias("n"), F.lit(False).alias("full"))
-            )
+    @F.arrow_udf(kind)
+    def work(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else f(t) for t in texts.to_pylist()], arrow)
 
-        return F.aggregate(F.reverse(a), begin, back, lambda t: t["kept"])
+    return work
 
-    start = F.struct(empty.alias("now"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("done"))
 
-    def step(s: Column, x: Column) -> Column:
-        over = (F.size(s["now"]) > 0) & (s["n"] + x["n"] > size)
-        kept = tail(s["now"])
-        new = F.struct(F.concat(kept, F.array(x)).alias("now"), (total(kept) + x["n"]).alias("n"), F.concat(s["done"], F.array(text(s["now"]))).alias("done"))
-        return F.when(over, new).otherwise(F.struct(F.concat(s["now"], F.array(x)).alias("now"), (s["n"] + x["n"]).alias("n"), s["done"].alias("done")))
+_STRINGS = pa.list_(pa.string())
+_SECTION = pa.list_(pa.struct([("path", _STRINGS), ("text", pa.string())]))
 
-    out = F.aggregate(parts, start, step, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(text(s["now"])))).otherwise(s["done"]))
-    return F.filter(out, lambda x: F.length(x) >= least)
+
+def sections(c: Column) -> Column:
+    """Array of ``path`` and ``text``: a text cut at its heading lines, each part with the headings in force. Parts
+    without text are left out; a text without any part gives itself with no path."""
+    return _mapped("array<struct<path:array<string>,text:string>>", _SECTION, lambda t: [{"path": p, "text": x} for p, x in sections_of(t)])(c)
+
+
+def fixed_chunks(c: Column, size: int = 450, overlap: int = 60, least: int = 20) -> Column:
+    """Sentences packed to ``size`` tokens. When the next one doesn't fit, a chunk ends, and the next begins with the
+    last sentences that have ``overlap`` tokens together, at least one. Chunks under ``least`` characters go."""
+    return _mapped("array<string>", _STRINGS, lambda t: fixed_of(t, size, overlap, least))(c)
 
 
 def semantic_chunks(c: Column, target: int = 450, most: int = 600, similar: float = 0.05, least: int = 20) -> Column:
     """Sentences packed until ``most`` distinct tokens a sentence, summed, would be passed, or ``target`` is reached
     and the next sentence has less than ``similar`` in common with the one before. Short chunks go."""
-    parts = F.transform(_counted(c, True), lambda x: F.struct(x["s"].alias("s"), F.array_distinct(x["t"]).alias("t")))
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("now"), F.lit(0).alias("n"), none.alias("last"), none.alias("done"))
+    return _mapped("array<string>", _STRINGS, lambda t: semantic_of(t, target, most, similar, least))(c)
 
-    def step(s: Column, x: Column) -> Column:
-        size = F.size(x["t"])
-        near = F.size(F.array_intersect(s["last"], x["t"])) / F.greatest(F.lit(1), F.size(F.array_union(s["last"], x["t"])))
-        cut = (F.size(s["now"]) > 0) & (((s["n"] >= target) & (near < similar)) | (s["n"] + size > most))
-        new = F.struct(F.array(x["s"]).alias("now"), size.alias("n"), x["t"].alias("last"), F.concat(s["done"], F.array(F.array_join(s["now"], "\n"))).alias("done"))
-        return F.when(cut, new).otherwise(F.struct(F.concat(s["now"], F.array(x["s"])).alias("now"), (s["n"] + size).alias("n"), x["t"].alias("last"), s["done"].alias("done")))
 
-    out = F.aggregate(parts, start, step, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(F.array_join(s["now"], "\n")))).otherwise(s["done"]))
-    return F.filter(out, lambda x: F.length(x) >= least)
+def _cut(mode: str, size: int, overlap: int):
+    """Paths and chunks of texts, of which some are rows of tables and stay whole."""
+    cut = (lambda t: fixed_of(t, size, overlap, 20)) if mode == "fixed" else (lambda t: semantic_of(t, 450, 600, 0.05, 20))
+
+    @F.arrow_udf("array<struct<path:array<string>,text:string>>")
+    def work(texts: pa.Array, whole: pa.Array) -> pa.Array:
+        out = []
+        for t, w in zip(texts.to_pylist(), whole.to_pylist()):
+            found = [] if t is None else [([], t)] if w else [(p, x) for p, body in sections_of(t) for x in cut(body)]
+            out.append([{"path": p, "text": x} for p, x in found])
+        return pa.array(out, _SECTION)
+
+    return work
 
 
 def build_chunks(pages: DataFrame, mode: str = "fixed", size: int = 450, overlap: int = 60) -> DataFrame:
@@ -107,21 +153,20 @@ def build_chunks(pages: DataFrame, mode: str = "fixed", size: int = 450, overlap
     ``pages``: ``doc_id, doc_name, page, order_no, text`` (``order_no`` orders the pages of a document, table rows
     after text; table rows are kept whole if a column ``representation`` says so). A chunk's text begins with its
     path. Numbers run within a document; they are shifted by per-page counts, so that a document of any size is
-    numbered without gathering it in one task."""
-    has_kind = "representation" in pages.columns
-    cut = fixed_chunks(F.col("sec.text"), size, overlap) if mode == "fixed" else semantic_chunks(F.col("sec.text"))
-    rows = pages.withColumn("_table", F.coalesce(F.col("representation") == "table_row", F.lit(False)) if has_kind else F.lit(False))
-    parts = F.when(F.col("_table"), F.array(F.struct(F.array().cast("array<string>").alias("path"), F.col("text").alias("text")))).otherwise(sections(F.col("text")))
-    cuts = rows.select("doc_id", "doc_name", "page", "order_no", "_table", F.posexplode(parts).alias("sec_no", "sec"))
-    cuts = cuts.select("doc_id", "doc_name", "page", "order_no", "sec_no", F.col("sec.path").alias("section_path"), F.posexplode(F.when(F.col("_table"), F.array("sec.text")).otherwise(cut)).alias("no", "body"))
-    prefix = F.when(F.size("section_path") > 0, F.concat(F.array_join("section_path", " > "), F.lit("\n"))).otherwise(F.lit(""))
-    cuts = cuts.withColumn("text", F.concat(prefix, F.col("body")))
-    counts = cuts.groupBy("doc_id", "order_no").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("doc_id", "order_no", (F.sum("n").over(W.partitionBy("doc_id").orderBy("order_no")) - F.col("n")).alias("before"))
-    inner = F.row_number().over(W.partitionBy("doc_id", "order_no").orderBy("sec_no", "no"))
-    numbered = cuts.withColumn("inner", inner).join(before, ["doc_id", "order_no"])
-    number = F.col("before") + F.col("inner")
-    return numbered.select(F.concat("doc_id", F.format_string("_%04d_%04d", F.col("page").cast("long"), number)).alias("chunk_id"), "doc_id", "doc_name", "page", "section_path", "text")
+    numbered without gathering it in one task. A null text gives no chunk. ``mode`` is ``fixed`` or ``semantic``."""
+    whole = F.coalesce(F.col("representation") == "table_row", F.lit(False)) if "representation" in pages.columns else F.lit(False)
+    cut = pages.select("doc_id", "doc_name", "page", "order_no", _cut(mode, size, overlap)(F.col("text"), whole).alias("parts"))
+    cut = checkpoint(cut)
+    before = running_before(cut.groupBy("doc_id", "order_no").agg(F.sum(F.size("parts")).alias("n")), "doc_id", "order_no", "n")
+    numbered = cut.join(before, ["doc_id", "order_no"]).select("doc_id", "doc_name", "page", "before", F.posexplode("parts").alias("no", "p"))
+    prefix = F.when(F.size("p.path") > 0, F.concat(F.array_join("p.path", " > "), F.lit("\n"))).otherwise(F.lit(""))
+    name = F.concat("doc_id", F.format_string("_%04d_%04d", F.col("page").cast("long"), F.col("before") + F.col("no") + 1))
+    return numbered.select(name.alias("chunk_id"), "doc_id", "doc_name", "page", F.col("p.path").alias("section_path"), F.concat(prefix, "p.text").alias("text"))
+
+
+def ingest_counts(chunks: DataFrame, mode: str) -> DataFrame:
+    """One row of what a build gave: ``documents, chunks, mode``."""
+    return chunks.agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("chunks")).withColumn("mode", F.lit(mode))
 
 
 def unique_headers(cells: Column) -> Column:
@@ -137,6 +182,16 @@ def row_text(title: Column, headers: Column, values: Column) -> Column:
     return F.when(F.size(pairs) > 0, F.concat(title, F.lit("\n表格行："), joined))
 
 
+def nearest_title(blocks: Column, top: Column, reach: float = 90.0, most: int = 160) -> Column:
+    """The title of a table whose box begins at ``top``: of the text ``blocks`` (array of ``y1, text``) that end at most
+    ``reach`` above it and are at most ``most`` characters long when clean, the lowest one, the first among equals; empty
+    if there is none."""
+    clean = F.transform(F.coalesce(blocks, F.array().cast("array<struct<y1:double,text:string>>")), lambda b: F.struct(b["y1"].alias("y1"), F.replace(T.clean_text(b["text"]), F.lit("\n"), F.lit(" ")).alias("text")))
+    near = F.filter(clean, lambda b: (b["y1"] <= top) & (top - b["y1"] <= reach) & (b["text"] != "") & (F.length(b["text"]) <= most))
+    lowest = F.array_max(F.transform(near, lambda b: b["y1"]))
+    return F.coalesce(F.try_element_at(F.transform(F.filter(near, lambda b: b["y1"] == lowest), lambda b: b["text"]), F.lit(1)), F.lit(""))
+
+
 def table_rows(tables: DataFrame) -> DataFrame:
     """Texts of the rows of proper tables.
 

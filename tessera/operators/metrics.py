@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MEANS = ("strict_recall", "recall", "hit", "mrr", "ndcg", "top1")
+
+
 def ranking_rows(hits: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     """One row for each query of ``gold`` (``query_id, doc_key``, each gold document): ``gold, found, first_rank,
     strict_recall, recall, hit, mrr, ndcg, top1`` at ``k``; ``hits``: ``query_id, doc_key, rank``. A query without
@@ -24,7 +27,7 @@ def ranking_rows(hits: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
 
 def ranking_summary(rows: DataFrame, by: str | None = None) -> DataFrame:
     """Means over queries, for each value of ``by`` and, with a null there, over all."""
-    means = [F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in ("strict_recall", "recall", "hit", "mrr", "ndcg", "top1")]]
+    means = [F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in MEANS]]
     means += [F.count_if(F.col("strict_recall") < 1).alias("missing"), F.count_if((F.col("strict_recall") == 1) & (F.col("top1") == 0)).alias("late")]
     return rows.rollup(by).agg(*means) if by else rows.agg(*means)
 
@@ -49,3 +52,17 @@ def nearest_rank(column: str, *shares: float) -> list:
 def rate(hits, total):
     """A ratio that is null where there is nothing to divide by."""
     return hits / F.nullif(total, F.lit(0))
+
+
+def compared_rounds(rows: dict[str, DataFrame]) -> DataFrame:
+    """Ranking means of several lists of the same queries (each of ``ranking_rows``), and how many queries each gains and
+    loses in strict recall against the first: ``list, queries, strict_recall, mrr, ndcg, top1, gained, lost``."""
+    base = next(iter(rows.values())).select("query_id", F.col("strict_recall").alias("_base"))
+    out = None
+    for name, df in rows.items():
+        one = df.join(base, "query_id").agg(
+            F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in ("strict_recall", "mrr", "ndcg", "top1")],
+            F.count_if(F.col("strict_recall") > F.col("_base")).alias("gained"), F.count_if(F.col("strict_recall") < F.col("_base")).alias("lost"),
+        ).withColumn("list", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import plain_unions
+
 #: Words of 64 bits: 2**19 of them are 4 MB of bits, and about 32 MB as a broadcast table.
 MAX_WORDS = 1 << 19
 BITS_A_KEY = 16
@@ -88,6 +90,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, *, parent_key: str =
     a null ``at`` or a parent without any time is not tested for that. Of repeated references with several times
     the latest counts. An empty parent table makes every reference an orphan; an empty ``refs`` gives no rows.
     """
+    plain_unions(refs.sparkSession)
     words = filter_words(parents.select(parent_key).count(), max_words)
     bloom = bloom_table(parents, parent_key, words)
     mask = _mask(F.col("chunk_id"))

@@ -10,11 +10,11 @@ from tessera.functions import text as T
 from tessera.operators import audit, chunking, lookup, sessions
 from tessera.operators.metrics import rate
 from tessera.plans.texts import _strip
-from tessera.sources.tables import table
+from tessera.sources.tables import table, table_once
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "document_pages").dropDuplicates(["page_id"]).withColumn("text", F.coalesce("text", F.lit("")))
+    return table_once(spark, d, "document_pages", "page_id", "doc_id", "doc_name", "page", "metadata", "text").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def chunk_headings(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +42,12 @@ def chunk_build(spark: SparkSession, d: str) -> DataFrame:
     return chunking.build_chunks(pages).select("chunk_id", "doc_id", "page", F.array_join("section_path", " > ").alias("path"), F.md5("text").alias("digest"))
 
 
+def ingest_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What building chunks of all pages gives: documents and chunks."""
+    pages = _pages(spark, d).select("doc_id", "doc_name", "page", F.col("page_id").alias("order_no"), "text", F.col("metadata.representation").alias("representation"))
+    return chunking.ingest_counts(chunking.build_chunks(pages), "fixed")
+
+
 def chunk_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """How alike neighbouring sentences of a chunk are, on average and at least."""
     s = F.transform(T.sentences(F.col("text")), lambda x: F.array_distinct(T.chunk_tokens(F.lower(x))))
@@ -175,7 +181,7 @@ def lookup_graph(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_headings, chunk_sections, chunk_fixed, chunk_semantic, chunk_build, chunk_neighbours, audit_lengths, audit_largest, audit_tables, audit_samples, audit_index, session_recent, session_followups,
+        chunk_headings, chunk_sections, chunk_fixed, chunk_semantic, chunk_build, ingest_counts, chunk_neighbours, audit_lengths, audit_largest, audit_tables, audit_samples, audit_index, session_recent, session_followups,
         session_summaries, session_sizes, event_limits, event_hours, usage_metrics, check_questions, check_repeats, check_gold, lookup_gold_texts, lookup_alarms, lookup_parameters, lookup_rows, lookup_graph,
     )
 }
@@ -203,14 +209,66 @@ _RULES = {
 _CODE = r"(?i)((?:16#|0x)[0-9a-f]{4})"
 _STATS = "count(*) AS chunks, count(DISTINCT doc_id) AS docs, min(chars) AS least, max(chars) AS most, quantile_disc(chars, 0.5) AS p50, quantile_disc(chars, 0.9) AS p90, quantile_disc(chars, 0.95) AS p95, quantile_disc(chars, 0.99) AS p99, quantile_disc(tokens, 0.9) AS tokens_p90, count_if(chars > 2000) AS over_2000_chars, count_if(tokens > 600) AS over_600_tokens"
 
+_PAGES = "page AS (SELECT page_id, any_value(coalesce(text, '')) AS text, any_value(doc_id) AS doc_id, any_value(page) AS page, any_value(coalesce(metadata.representation = 'table_row', false)) AS whole FROM document_pages GROUP BY 1)"
+_HEAD = f"""head AS (SELECT *, regexp_extract(s, '{L.MARKDOWN_HEADING}', 2) AS md, length(regexp_extract(s, '{L.MARKDOWN_HEADING}', 1)) AS ml, regexp_extract(s, '{L.NUMBERED_HEADING}', 1) AS num,
+  regexp_extract(s, '{L.NUMBERED_HEADING}', 2) AS rest, regexp_extract(s, '{L.CHINESE_HEADING}', 1) AS zh, regexp_matches(s, '\\.{{3,}}') AS dots FROM line),
+marked AS (SELECT *, md <> '' OR (num <> '' AND NOT dots) OR zh <> '' AS is_head, CASE WHEN md <> '' THEN ml WHEN num <> '' AND NOT dots THEN least(4, length(num) - length(replace(num, '.', '')) + 1) ELSE 1 END AS level,
+  substr(CASE WHEN md <> '' THEN {_strip('md')} WHEN num <> '' AND NOT dots THEN num || ' ' || rest ELSE zh END, 1, 100) AS title FROM head)"""
+#: Pages cut at their headings: ``part`` has ``page_id, no, path, text``.
+_PARTS = f"""{_PAGES},
+line AS (SELECT page_id, unnest(range(0, len(x))) AS line_no, unnest(x) AS line, {_strip('unnest(x)')} AS s FROM (SELECT page_id, regexp_split_to_array(regexp_replace(text, '{L.LINE_END}', chr(10), 'g'), '\\n') AS x FROM page WHERE NOT whole)),
+{_HEAD},
+counted AS (SELECT *, sum(CAST(is_head AS INT)) OVER (PARTITION BY page_id ORDER BY line_no) AS hn FROM marked),
+paths AS (SELECT page_id, CAST(0 AS HUGEINT) AS hn, CAST([] AS VARCHAR[]) AS path FROM page UNION ALL
+  SELECT p.page_id, h.hn, list_concat(CASE WHEN h.level = 1 THEN CAST([] AS VARCHAR[]) ELSE list_slice(p.path, 1, h.level - 1) END, [h.title]) FROM paths p JOIN counted h ON h.page_id = p.page_id AND h.is_head AND h.hn = p.hn + 1),
+body AS (SELECT page_id, hn, {_strip("string_agg(line, chr(10) ORDER BY line_no)")} AS text FROM counted WHERE NOT is_head GROUP BY 1, 2),
+found AS (SELECT page_id, hn, path, text FROM body JOIN paths USING (page_id, hn) WHERE text <> ''),
+part AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY hn) - 1 AS no, path, text FROM found UNION ALL
+  SELECT page_id, 0, CAST([] AS VARCHAR[]), {_strip('text')} FROM page WHERE NOT whole AND page_id NOT IN (SELECT page_id FROM found))"""
+
+
+def _said(source: str, key: str) -> str:
+    """``said``: the sentences of each text of ``source``, with running sums of their numbers of tokens."""
+    return f"""said0 AS (SELECT {key}, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([{L.SENTENCE_STOPS}])', '\\1' || chr(10), 'g'), '\\n+'), lambda x: {_strip('x')}), lambda x: x <> '') AS p FROM {source}),
+said1 AS (SELECT *, list_transform(p, lambda x: len(regexp_extract_all(x, '{L.CHUNK_TOKEN}'))) AS n FROM said0 WHERE len(p) > 0),
+said AS (SELECT *, len(p) AS m, list_transform(range(0, len(p) + 1), lambda i: CAST(coalesce(list_sum(n[1:i]), 0) AS BIGINT)) AS sums FROM said1)"""
+
+
+def _packed(key: str, named: str) -> str:
+    """``packed``: spans ``a..b`` of ``said`` by search in the sums, each from where the one before says."""
+    end = "least(m, greatest({f}, len(list_filter(sums, lambda x: x <= sums[{s} + 1] + 450)) - 1))"
+    start = "greatest(a, least(b - 1, len(list_filter(sums, lambda x: x < sums[b + 1] - 60))))"
+    return f"""spans AS (SELECT {key}, m, sums, 0 AS a, {end.format(f='1', s='0')} AS b FROM said UNION ALL
+  SELECT {named}, m, sums, nxt, least(m, greatest(b + 1, len(list_filter(sums, lambda x: x <= sums[nxt + 1] + 450)) - 1)) FROM (SELECT *, {start} AS nxt FROM spans WHERE b < m)),
+packed AS (SELECT {named}, a, array_to_string(p[a + 1:b], chr(10)) AS text FROM spans JOIN said USING ({key}) WHERE length(array_to_string(p[a + 1:b], chr(10))) >= 20)"""
+
+
 SQL = {
     "chunk_headings": f"""
 WITH l AS (SELECT page_id, unnest(range(0, len(x))) AS line_no, unnest(x) AS line FROM (SELECT page_id, regexp_split_to_array(text, '\\r?\\n') AS x FROM document_pages)),
 s AS (SELECT page_id, line_no, {_strip('line')} AS s FROM l),
-p AS (SELECT *, regexp_extract(s, '{chunking.MARKDOWN}', 2) AS md, length(regexp_extract(s, '{chunking.MARKDOWN}', 1)) AS ml, regexp_extract(s, '{chunking.NUMBERED}', 1) AS num, regexp_extract(s, '{chunking.NUMBERED}', 2) AS rest, regexp_extract(s, '{chunking.CHINESE}', 1) AS zh FROM s)
+p AS (SELECT *, regexp_extract(s, '{L.MARKDOWN_HEADING}', 2) AS md, length(regexp_extract(s, '{L.MARKDOWN_HEADING}', 1)) AS ml, regexp_extract(s, '{L.NUMBERED_HEADING}', 1) AS num, regexp_extract(s, '{L.NUMBERED_HEADING}', 2) AS rest, regexp_extract(s, '{L.CHINESE_HEADING}', 1) AS zh FROM s)
 SELECT DISTINCT page_id, line_no, CASE WHEN md <> '' THEN ml WHEN num <> '' AND NOT regexp_matches(s, '\\.{{3,}}') THEN least(4, length(num) - length(replace(num, '.', '')) + 1) ELSE 1 END AS level,
   substr(CASE WHEN md <> '' THEN {_strip('md')} WHEN num <> '' AND NOT regexp_matches(s, '\\.{{3,}}') THEN num || ' ' || rest ELSE {_strip('zh')} END, 1, 100) AS title
 FROM p WHERE md <> '' OR (num <> '' AND NOT regexp_matches(s, '\\.{{3,}}')) OR zh <> ''""",
+    "chunk_sections": f"WITH RECURSIVE {_PARTS.replace("metadata.representation = 'table_row'", 'false')} SELECT page_id, no, array_to_string(path, ' > ') AS path, md5(text) AS digest FROM part",
+    "chunk_fixed": f"""WITH RECURSIVE {_PAGES}, {_said('page', 'page_id')}, {_packed('page_id', 'page_id')}
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY a) - 1 AS no, len(regexp_extract_all(text, '{L.CHUNK_TOKEN}')) AS tokens, md5(text) AS digest FROM packed""",
+    "chunk_semantic": f"""WITH RECURSIVE {_PAGES}, {_said('page', 'page_id')},
+words AS (SELECT page_id, p, m, list_transform(p, lambda x: list_distinct(regexp_extract_all(lower(x), '{L.CHUNK_TOKEN}'))) AS w FROM said),
+near AS (SELECT *, list_transform(range(0, m + 1), lambda i: CAST(coalesce(list_sum(list_transform(w[1:i], lambda y: len(y))), 0) AS BIGINT)) AS d,
+  list_transform(range(1, m + 1), lambda i: CASE WHEN i = 1 THEN 0.0 ELSE len(list_intersect(w[i - 1], w[i])) / greatest(1, len(w[i - 1]) + len(w[i]) - len(list_intersect(w[i - 1], w[i]))) END) AS sim FROM words),
+cuts AS (SELECT page_id, 0 AS a FROM near UNION ALL
+  SELECT page_id, nxt FROM (SELECT page_id, list_min(list_filter(range(a + 1, m), lambda i: d[i + 2] - d[a + 1] > 600 OR (d[i + 1] - d[a + 1] >= 450 AND sim[i + 1] < 0.05))) AS nxt FROM cuts JOIN near USING (page_id)) WHERE nxt IS NOT NULL),
+ends AS (SELECT page_id, a, lead(a, 1) OVER (PARTITION BY page_id ORDER BY a) AS b FROM cuts),
+texts AS (SELECT page_id, a, array_to_string(p[a + 1:coalesce(b, m)], chr(10)) AS text FROM ends JOIN near USING (page_id))
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY a) - 1 AS no, len(regexp_extract_all(text, '{L.CHUNK_TOKEN}')) AS tokens, md5(text) AS digest FROM texts WHERE length(text) >= 20""",
+    "chunk_build": f"""WITH RECURSIVE {_PARTS}, {_said('part', 'page_id, no')}, {_packed('page_id, no', 'page_id, no')},
+every AS (SELECT page_id, no, a, path, packed.text FROM packed JOIN part USING (page_id, no) UNION ALL SELECT page_id, 0, 0, CAST([] AS VARCHAR[]), text FROM page WHERE whole),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_id, no, a) AS number FROM (SELECT e.*, doc_id, page FROM every e JOIN page USING (page_id)))
+SELECT doc_id || printf('_%04d_%04d', page, number) AS chunk_id, doc_id, page, array_to_string(path, ' > ') AS path, md5(CASE WHEN len(path) > 0 THEN array_to_string(path, ' > ') || chr(10) ELSE '' END || text) AS digest FROM numbered""",
+    "ingest_counts": f"""WITH RECURSIVE {_PARTS}, {_said('part', 'page_id, no')}, {_packed('page_id, no', 'page_id, no')}
+SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks, 'fixed' AS mode FROM (SELECT page_id FROM packed UNION ALL SELECT page_id FROM page WHERE whole) JOIN page USING (page_id)""",
     "chunk_neighbours": f"""
 WITH t AS (SELECT DISTINCT chunk_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([{L.SENTENCE_STOPS}])', '\\1' || chr(10), 'g'), '\\n+'), lambda x: {_strip('x')}), lambda x: x <> '') AS p FROM chunks),
 s AS (SELECT chunk_id, list_transform(p, lambda x: list_distinct(regexp_extract_all(lower(x), '{L.CHUNK_TOKEN}'))) AS s FROM t WHERE len(p) > 1),
@@ -233,6 +291,11 @@ l AS (SELECT *, list_filter([CASE WHEN t2 >= created_at - INTERVAL 24 HOURS THEN
 SELECT id, session_id, md5(array_to_string(lines, chr(10)) || chr(10) || '当前追问：' || q) AS digest, len(lines) AS used FROM l WHERE len(lines) > 0""",
     "session_summaries": f"WITH {_TURNS} SELECT session_id, id AS turn_id, model, version, md5(right(coalesce(answer, ''), 2000)) AS digest FROM turns QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY id DESC) = 1",
     "session_sizes": f"WITH {_TURNS} SELECT session_id, count(*) AS turns FROM turns GROUP BY 1",
+    "event_limits": """WITH RECURSIVE e AS (SELECT user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+state AS (SELECT user_id, 0 AS no, CAST([] AS DOUBLE[]) AS log, NULL::BOOLEAN AS allowed, 0 AS wait FROM e GROUP BY 1 UNION ALL
+  SELECT user_id, no, CASE WHEN len(kept) >= 3 THEN kept ELSE list_concat(kept, [t]) END, len(kept) < 3, CASE WHEN len(kept) >= 3 THEN greatest(1, CAST(trunc(86400 - (t - kept[1]) + 0.999) AS INT)) ELSE 0 END
+  FROM (SELECT e.user_id, CAST(e.no AS INT) AS no, e.t, list_filter(s.log, lambda x: x > e.t - 86400) AS kept FROM state s JOIN e ON e.user_id = s.user_id AND e.no = s.no + 1))
+SELECT user_id, count_if(allowed) AS allowed, count_if(NOT allowed) AS refused, max(wait) AS longest FROM state WHERE no > 0 GROUP BY 1""",
     "event_hours": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS value, quantile_disc(value, 0.95) AS p95, round(median(value), 6) AS median FROM events GROUP BY 1, 2",
     "usage_metrics": """
 WITH t AS (SELECT DISTINCT id, selected_tool, contains(coalesce(source_chunk_ids, ''), '_') AS sourced FROM conversation_turns)

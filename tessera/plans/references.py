@@ -25,6 +25,10 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_orphans(spark, d), table(spark, d, "removed_chunks"))
 
 
+#: The ids in ``source_chunk_ids``, whoever wrote them, trimmed and distinct, in order.
+_PIECES = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace(source_chunk_ids, '\\[nrt]|["''\[\]\\]', ' ', 'g'), '[,;]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND lower(x) <> 'null')"""
+LISTED = f"list_filter({_PIECES}, lambda x, i: list_position({_PIECES}, x) = i)"
+
 _REFS = r"""
 WITH listed AS (
   SELECT 'application_questions' AS ref_table, id AS ref_id, unnest(gold_chunk_ids) AS raw, added_at AS seen_at FROM application_questions

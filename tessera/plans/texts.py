@@ -115,6 +115,13 @@ def _search(x: str) -> str:
     return f"list_concat(regexp_extract_all({low}, '{L.WORD_TOKEN}'), regexp_extract_all({low}, '{L.TECH_TOKEN}'))"
 
 
+def _telling(c: str) -> str:
+    """Canonical terms of a text without generic ones, as a list."""
+    canon = f"list_filter(list_transform(list_transform(regexp_extract_all({c}, '{L.TECHNICAL_TERM}'), lambda t: {_V}), lambda v: {_canon('v')}), lambda v: v <> '')"
+    generic = ", ".join(repr(g) for g in L.GENERIC_TERMS)
+    return f"list_filter({_first(canon)}, lambda v: v IN ('ID', 'IP', 'DB') OR regexp_full_match(v, '16#[0-9A-F]+') OR NOT (regexp_full_match(v, '[0-9]') OR upper(v) IN ({generic}) OR length(v) < 2))"
+
+
 _PAIRED = "[\\p{L}\\p{N}_]"
 _EDGE = r"[，。！？；：,!?;:()\[\]{}]+"
 _V = f"regexp_replace(regexp_replace(t, '^{_EDGE}|{_EDGE}$', '', 'g'), '{L.WS}+', '', 'g')"
@@ -171,6 +178,11 @@ s AS (SELECT chunk_id, list_filter(list_transform(t, lambda x: {_strip("x")}), l
 SELECT chunk_id, len(s) AS n, {_join("s")} AS digest FROM s""",
     "text_generic_terms": f"SELECT * FROM ({_GENERIC}) WHERE chunks > 0",
     "text_links": "SELECT DISTINCT page_id FROM document_pages WHERE contains(lower(text), 'http://') OR contains(lower(text), 'https://') OR contains(lower(text), 'www.')",
+    "text_alarm_codes": f"""
+WITH t AS (SELECT DISTINCT id, question AS q FROM conversation_turns),
+c AS (SELECT id, coalesce(nullif(regexp_extract(q, '{L.PREFIXED_CODE}', 1), ''), list_filter(regexp_extract_all(q, '[0-9A-Za-z]+'), lambda x: regexp_full_match(x, '[0-9A-Fa-f]{{4}}') AND regexp_matches(x, '[A-Fa-f]'))[1],
+  CASE WHEN {" OR ".join(f"contains(lower(q), '{w}')" for w in L.ALARM_WORDS)} THEN list_filter(regexp_extract_all(replace(q, '{L.MODEL_NAME}', ''), '[0-9]+'), lambda x: length(x) = 4)[1] END) AS code FROM t)
+SELECT DISTINCT id, replace(replace(replace(upper(code), 'W#', ''), '16#', ''), '0X', '') AS code FROM c WHERE code IS NOT NULL""",
     "text_values": f"""
 SELECT DISTINCT id, CAST(v.value AS DOUBLE) AS value, nullif(v.unit, '') AS unit
 FROM (SELECT id, regexp_extract(replace(question, 'S7-1200', ''), '{L.VALUE_AND_UNIT}', ['value', 'unit']) AS v FROM conversation_turns) WHERE v.value <> ''""",

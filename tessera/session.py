@@ -13,6 +13,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Keep Spark from taking a union of frames with equal partitioning as partitioned that way itself. Adaptive
+    execution merges the partitions of each of them differently, so grouping such a union without a shuffle, as Spark
+    4.1 then does, gives a key several groups."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and tables that a query writes for itself.
 
@@ -57,15 +64,17 @@ def local_session(name: str = "tessera", cores: str = "*", partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    plain_unions(spark)
     return spark
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the Python workers where they would not find it by themselves (neither installed on the
+    """Set what the queries rely on, and send the package to the Python workers where they would not find it by themselves (neither installed on the
     path they inherit nor in the working folder)."""
     import os
     import zipfile
 
+    plain_unions(spark)
     package = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(package)
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.path.abspath(os.getcwd()) == root or getattr(spark.sparkContext, "_tessera_sent", False):

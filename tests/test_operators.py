@@ -53,16 +53,21 @@ def test_bm25_against_plain(spark, monkeypatch):
             if any(w in t for w in ts):
                 s.append((-round(score, 9), k))
         want[q] = [k for i, (v, k) in enumerate(sorted(s)[:5]) if v < 0 or i == 0]
-    for sent in (retrieval.SENT_WEIGHTS, 0):  # weights sent to the documents, and joined
-        monkeypatch.setattr(retrieval, "SENT_WEIGHTS", sent)
-        asked, all_docs = spark.createDataFrame(queries, "query_id string, tokens array<string>"), spark.createDataFrame(docs, "doc_key string, tokens array<string>")
-        got = retrieval.bm25_search(asked, all_docs, 5)
+    asked, all_docs = spark.createDataFrame([*queries, ("q4", []), (None, ["a"])], "query_id string, tokens array<string>"), spark.createDataFrame(docs, "doc_key string, tokens array<string>")
+    index = retrieval.build_index(all_docs)
+    for blocks in (8, 1):  # all queries in one pass, and a pass for each block
+        monkeypatch.setattr(retrieval, "BLOCKS_AT_ONCE", blocks)
+        monkeypatch.setattr(retrieval, "TERM_BLOCK", 256 if blocks > 1 else 1)
+        got = retrieval.bm25_search(asked, index, 5)
         for q in ("q1", "q2"):
             assert [x["doc_key"] for x in got.where(F.col("query_id") == q).orderBy("rank").collect()] == want[q]
-        assert got.where("query_id = 'q3'").count() == 0
-        strict = retrieval.bm25_search(asked.withColumn("model", F.lit("M")), all_docs.withColumn("model", F.when(F.col("doc_key") < "d20", "m").when(F.col("doc_key") < "d30", "").otherwise("x")), 40)
-        assert {r[0] for r in strict.select("doc_key").distinct().collect()} <= {f"d{i:02}" for i in range(30)} and strict.where("doc_key >= 'd20'").count() > 0
-        assert retrieval.bm25_search(asked.limit(0), all_docs).count() == 0 == retrieval.bm25_search(asked, all_docs.limit(0)).count()
+        # without any common term just the first document
+        assert rows(got.where("query_id in ('q3', 'q4')"), "query_id") == [("q3", "d00", 0.0, 1), ("q4", "d00", 0.0, 1)]
+    strict = retrieval.build_index(all_docs.withColumn("model", F.when(F.col("doc_key") < "d05", "x").when(F.col("doc_key") < "d20", "m").when(F.col("doc_key") < "d30", "").otherwise("x")))
+    got = retrieval.bm25_search(asked.withColumn("model", F.lit("M")), strict, 40)
+    assert {r[0] for r in got.select("doc_key").distinct().collect()} <= {f"d{i:02}" for i in range(5, 30)} and got.where("doc_key >= 'd20'").count() > 0
+    assert rows(got.where("query_id = 'q3'")) == [("q3", "d05", 0.0, 1)]
+    assert retrieval.bm25_search(asked.limit(0), index).count() == 0 == retrieval.bm25_search(asked, retrieval.build_index(all_docs.limit(0))).count()
 
 
 def test_dense_search(spark):
@@ -77,6 +82,43 @@ def test_dense_search(spark):
     order = [i for i in np.argsort(-(unit @ unit[1])) if i % 2 == 0][:5]
     assert [r["doc_key"] for r in strict] == [f"{i:03}" for i in order]
     assert retrieval.dense_search(asked.limit(0), docs).count() == 0
+    retrieval.BLOCK, retrieval.BLOCKS_AT_ONCE, kept = 1, 1, (retrieval.BLOCK, retrieval.BLOCKS_AT_ONCE)
+    try:  # one query a pass gives the same
+        assert rows(retrieval.dense_search(asked, docs, 5), "query_id", "rank") == rows(got, "query_id", "rank")
+    finally:
+        retrieval.BLOCK, retrieval.BLOCKS_AT_ONCE = kept
+
+
+def test_strategies_trace_and_hooks(spark):
+    docs = spark.createDataFrame([("a", ["x", "y"], [1.0, 0.0], "A", "xy"), ("b", ["y"], [0.0, 1.0], "B", "y"), ("c", ["z"], [0.6, 0.8], None, None)], "doc_key string, tokens array<string>, vector array<double>, name string, text string")
+    index = retrieval.build_index(docs)
+    asked = spark.createDataFrame([("1", "dense", ["z"], [1.0, 0.0]), ("2", "bm25", ["z"], [1.0, 0.0]), ("3", None, ["z"], [1.0, 0.0])], "query_id string, strategy string, tokens array<string>, vector array<double>")
+    got = rows(retrieval.search_with_strategy(asked, index, asked.select("query_id", "tokens"), 1).select("query_id", "strategy", "doc_key"), "query_id")
+    assert got == [("1", "dense", "a"), ("2", "bm25", "c"), ("3", "hybrid", "c")]
+    lists = retrieval.hybrid_search(asked, index, asked.select("query_id", "tokens"), top_k=2)
+    trace = retrieval.trace_hits(lists, docs.select("doc_key", "name", "text"))
+    assert rows(trace.groupBy("stage").count(), "stage") == [("bm25_topk", 3), ("dense_topk", 9), ("final_evidence", 6), ("rrf_topk", 9)]
+    q = spark.createDataFrame([("1", "long")], "query_id string, question string")
+    byte = retrieval.model_rerank(lists["rrf_topk"].where("query_id = '1'"), q, docs, lambda qs, ts: [float(-len(t)) for t in ts], 2)
+    assert [r[1] for r in rows(byte.select("rank", "doc_key"), "rank")] == ["c", "b"]
+    vectors, dim, name = retrieval.embedder("mini", model=lambda ts: np.ones((len(ts), 3)))
+    assert (dim, name) == (3, "mini") and docs.select(vectors(F.col("text"))).first()[0] == [1.0, 1.0, 1.0]
+    assert retrieval.embedder("mini")[1:] == (512, "hash")
+    first = retrieval.verified_first(spark.createDataFrame([("1", "c", 0)], "query_id string, doc_key string, place int"), lists["dense_topk"].where("query_id = '1'"), 2)
+    assert rows(first, "rank") == [("1", "c", True, 1), ("1", "a", False, 2)]
+    e = spark.createDataFrame([("1", "has MB_LEN and 16#80C8"), ("2", "no"), ("3", "x")], "query_id string, text string")
+    a = spark.createDataFrame([("1", "MB_LEN 16#80C8 1200"), ("2", "MB_LEN"), ("3", "what"), ("4", "what")], "query_id string, question string")
+    assert [r[3] for r in rows(retrieval.evidence_supports(a, e), "query_id")] == [True, False, True, False]
+
+
+def test_running_totals(spark):
+    from tessera.operators.running import running_before
+
+    r = random.Random(5)
+    data = [("hot" if r.random() < 0.6 else f"k{r.randint(0, 5)}", i, r.randint(0, 9)) for i in range(500)]
+    got = {(k, o): n for k, o, n in rows(running_before(spark.createDataFrame([*data, (None, 1, 1)], "k string, o long, v int"), "k", "o", "v"))}
+    assert got == {(k, o): sum(v for a, b, v in data if a == k and b < o) for k, o, _ in data}
+    assert running_before(spark.createDataFrame([], "k string, o long, v int"), "k", "o", "v").count() == 0
 
 
 def test_hashed_vectors(spark):
