@@ -30,11 +30,14 @@ def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame
     return rows.select(F.col(key), F.explode(broken).alias("rule")).distinct()
 
 
+def blank(name: str) -> Column:
+    return T.strip(F.coalesce(F.col(name).cast("string"), F.lit(""))) == ""
+
+
 def question_rules() -> dict[str, Column]:
     """Rules for evaluation questions."""
     gold = F.coalesce("gold_chunk_ids", F.array().cast("array<string>"))
     filled = F.filter(gold, lambda x: T.strip(F.coalesce(x, F.lit(""))) != "")
-    blank = lambda c: T.strip(F.coalesce(c, F.lit(""))) == ""
     return {
         "blank question": blank("question"), "blank split": blank("split"), "answerable without gold": F.col("answerable") & (F.size(filled) == 0), "gold though unanswerable": ~F.col("answerable") & (F.size(filled) > 0),
         "blank gold entry": F.size(filled) < F.size(gold), "padded gold entry": F.exists(filled, lambda x: x != T.strip(x)), "repeated gold entry": F.size(F.array_distinct(F.transform(filled, T.strip))) < F.size(filled),

@@ -86,6 +86,38 @@ def fact_similarity(a: Column, b: Column, normal: bool = False) -> Column:
     return F.when((x == "") | (y == "") | x.isNull() | y.isNull(), 0.0).otherwise(F.greatest(ratio(x, y), recall))
 
 
+def fact_met(atom: Column, text: Column, threshold: float) -> Column:
+    """Whether a text holds a fact: as part of it once both are normal; else, if all identifiers and numbers of the fact are in
+    it, by a segment that is at least ``threshold`` like it or by the share of the fact's pairs of characters that all of
+    the text has. Facts of four characters or fewer are met as parts only. Segments that can't reach the threshold, by the
+    letters they have in common, are never compared in full."""
+
+    @F.pandas_udf("double")
+    def nearest(facts_: pd.Series, segments: pd.Series) -> pd.Series:
+        out = []
+        for a, bs in zip(facts_, segments):
+            best = 0.0
+            m = SequenceMatcher(None)
+            m.set_seq2(a or "")
+            for b in bs if bs is not None else ():
+                m.set_seq1(b)
+                if m.real_quick_ratio() > best and m.quick_ratio() > best:
+                    # the ratio depends on the order of the two; it is taken from the fact to the segment
+                    best = max(best, SequenceMatcher(None, a, b).ratio())
+            out.append(best)
+        return pd.Series(out, dtype="float64")
+
+    a, t = normal_fact(atom), normal_fact(text)
+    tokens = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(L.FACT_TOKEN), F.lit(0)), F.lower))
+    segments = F.filter(F.transform(F.split(F.regexp_replace(text, SOURCE_MARK, ""), L.FACT_BREAKS, -1), normal_fact), lambda x: x != "")
+    pairs = T.bigrams(a)
+    share = lambda other: F.size(F.array_intersect(pairs, T.bigrams(other))) / F.greatest(F.lit(1), F.size(pairs))
+    recall = F.coalesce(F.array_max(F.transform(segments, share)), F.lit(0.0))
+    like = F.greatest(nearest(a, segments), recall) >= threshold
+    spread = share(t) >= min(0.78, threshold + 0.06)
+    return ((a != "") & F.contains(t, a)) | ((F.size(F.array_except(tokens(a), tokens(t))) == 0) & (F.length(a) > 4) & (like | spread))
+
+
 def group_coverage(answer: Column, groups: Column) -> Column:
     """Share of the groups of which the answer has any member, without regard to case and blanks; 0 without groups."""
     low = F.replace(F.lower(F.coalesce(answer, F.lit(""))), F.lit(" "), F.lit(""))
@@ -109,6 +141,16 @@ def affirmed(answer: Column, fact: Column, reach: int = 24) -> Column:
     return F.when((part != "") & (F.size(places) > 0), F.exists(places, lambda i: ~negated(i)))
 
 
+def forbidden_mentions(answer: Column, fact: Column, reach: int = 24) -> Column:
+    """How an answer mentions a forbidden fact: ``violation`` if some mention has no negation in the ``reach`` characters
+    before it, ``negated`` if all have one, null if it doesn't. Mentions are taken one after another, without overlap."""
+    low, part = tight(answer), tight(fact)
+    pieces = F.split(low, F.concat(F.lit("\\Q"), F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), F.lit(-1))
+    before = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.right(F.call_function("array_join", F.slice(pieces, F.lit(1), i), part), F.lit(reach)))
+    negated = lambda c: reduce(lambda a, b: a | b, [F.contains(c, F.lit(n)) for n in NEGATIONS])
+    return F.when((part == "") | part.isNull() | ~F.contains(low, part), None).when(F.exists(before, lambda c: ~negated(c)), "violation").otherwise("negated")
+
+
 def claims(answer: Column, least: int = 3) -> Column:
     """Sentences of an answer's narrative, between its first title and its list of sources."""
     body = F.regexp_replace(F.regexp_extract(answer, NARRATIVE, 1), SECTION_TITLES, "\n")
@@ -144,14 +186,6 @@ def requested_versions(c: Column) -> Column:
     return F.array_sort(F.array_union(marked, named))
 
 
-def context_blocks(evidence: DataFrame) -> DataFrame:
-    """Numbered evidence of each query as one text: ``query_id, context``; ``evidence``: ``query_id, place, name, page,
-    text``."""
-    block = F.concat(F.lit("[来源"), F.col("e.place").cast("string"), F.lit("："), F.col("e.name"), F.lit("，第"), F.col("e.page").cast("string"), F.lit("页]\n"), F.col("e.text"))
-    rows = evidence.select("query_id", F.struct("place", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("text", F.lit("")).alias("text")).alias("e")).withColumn("b", F.struct(F.col("e.place"), block.alias("t")))
-    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["t"]), "\n\n").alias("context"))
-
-
 def expected_terms(hits: DataFrame, terms: DataFrame, k: int = 5) -> DataFrame:
     """For each query whether a hit up to ``k`` has any expected term in its name or text, and the first rank that has:
     ``query_id, hit, mrr``. ``hits``: ``query_id, rank, name, text``; ``terms``: ``query_id, terms``."""

@@ -63,14 +63,8 @@ def with_previous(rows: DataFrame, key: str, order: str, value: Column, n: int,
     return joined.select(*[F.col(c) for c in rows.columns], *values)
 
 
-def followups(turns: DataFrame, hours: int = 24, most: int = 80, kept: int = 240) -> DataFrame:
-    """Questions that need their context, with it: ``id, session_id, query, used``.
-
-    ``turns``: ``id, session_id, question, created_at``. A question of at most ``most`` characters that begins or ends
-    like a follow-up, or points at something, gets the session's one or two questions before it (by id) of the last
-    ``hours``. Asking to write turns reads in them into writes, asking to read the other way. A question without any
-    such gives itself."""
-    q = T.strip(F.coalesce("question", F.lit("")))
+def is_followup(q: Column) -> Column:
+    """Whether a stripped question begins or ends like a follow-up or points at something said before."""
     low = F.lower(q)
     marked = F.lit(False)
     for x in L.FOLLOWUP_STARTS:
@@ -79,6 +73,18 @@ def followups(turns: DataFrame, hours: int = 24, most: int = 80, kept: int = 240
         marked = marked | low.endswith(x)
     for x in L.FOLLOWUP_INSIDE:
         marked = marked | low.contains(x)
+    return marked
+
+
+def followups(turns: DataFrame, hours: int = 24, most: int = 80, kept: int = 240) -> DataFrame:
+    """Questions that need their context, with it: ``id, session_id, query, used``.
+
+    ``turns``: ``id, session_id, question, created_at``. A question of at most ``most`` characters that begins or ends
+    like a follow-up, or points at something, gets the session's one or two questions before it (by id) of the last
+    ``hours``. Asking to write turns reads in them into writes, asking to read the other way. A question without any
+    such gives itself."""
+    q = T.strip(F.coalesce("question", F.lit("")))
+    marked = is_followup(q)
     kept_rows = turns.select("id", "session_id", q.alias("q"), (marked & (F.length(q) <= most)).alias("marked"), "created_at", F.substring(F.coalesce("question", F.lit("")), 1, kept).alias("question"))
     rows = with_previous(kept_rows, "session_id", "id", F.struct("question", "created_at"), 2)
     recent = lambda b: F.col(b).isNotNull() & (F.col(f"{b}.created_at") >= F.col("created_at") - F.expr(f"interval {hours} hours"))

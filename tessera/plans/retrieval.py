@@ -328,6 +328,17 @@ better AS (SELECT * FROM rounds QUALIFY row_number() OVER (PARTITION BY query_id
 placed AS (SELECT query_id, doc_key, round, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, round, rank) AS place FROM better),
 merged AS (SELECT query_id, doc_key, round, score, place AS rank FROM placed WHERE place <= 5)"""
 
+_BEST = f"""
+e AS (SELECT query_id, {_strip("array_to_string(list_concat([question], " + _first("x") + "), ' ')")} AS e FROM (SELECT query_id, question, {_expansion('question')} AS x FROM q)),
+t AS (SELECT query_id, list_distinct(regexp_extract_all(lower(e), '{L.CHUNK_TOKEN}')) AS q, list_filter(list_distinct(list_transform(regexp_extract_all(e, '{L.TECHNICAL_TERM}'), lambda x: lower(x))), lambda x: x NOT IN ('1200', '1500')) AS x FROM e),
+h AS (SELECT query_id, rank, doc_key, CASE WHEN lower(coalesce(doc_name, '')) LIKE 'project~_%' ESCAPE '~' THEN 0 ELSE 0.05 END AS worth, CASE WHEN representation = 'table_row' THEN [regexp_replace(text, '{L.WS}+', ' ', 'g')] ELSE {_CUT} END AS cut FROM bm JOIN docs USING (doc_key) WHERE rank <= 5),
+l AS (SELECT query_id, rank, doc_key, worth, unnest(range(0, len(cut))) AS no, unnest(list_transform(cut, lambda s: {_strip('s')})) AS sentence FROM h),
+c AS (SELECT l.*, round(len(list_intersect(q, list_distinct(regexp_extract_all(lower(sentence), '{L.CHUNK_TOKEN}')))) / greatest(1, len(q)) + len(list_intersect(x, list_distinct(list_transform(regexp_extract_all(sentence, '{L.TECHNICAL_TERM}'), lambda y: lower(y))))) / greatest(1, len(x)) + worth, 9) AS score,
+  regexp_replace(lower(sentence), '{L.WS}+', '', 'g') AS mark FROM l JOIN t USING (query_id) WHERE length(sentence) >= 18 AND NOT contains(sentence, ' > ')),
+f AS (SELECT *, rank = 1 AND row_number() OVER (PARTITION BY query_id ORDER BY rank <> 1, score DESC, rank, no) = 1 AS first FROM c),
+o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id, mark ORDER BY first DESC, score DESC, rank, no) = 1),
+best AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY first DESC, score DESC, rank, no) AS place, rank, doc_key, sentence FROM o)"""
+
 _SOLVED = f"""
 q AS (SELECT DISTINCT id AS query_id, coalesce(model, '') AS model, lower(question) AS p FROM application_questions WHERE CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) % 20 = 0),
 terms AS (SELECT *, list_distinct(list_concat(regexp_extract_all(coalesce(p, ''), '{L.SIMILARITY_TERM}'), flatten(list_transform(regexp_extract_all(coalesce(p, ''), '[\\x{{4e00}}-\\x{{9fff}}]+'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))))) AS t FROM q),
@@ -387,16 +398,7 @@ SELECT query_id, len(q) AS identifiers, coalesce(len(list_intersect(q, t)), 0) A
 terms AS (SELECT DISTINCT id AS query_id, flatten(list_transform(required_facts, lambda x: string_split(x, ' '))) AS t FROM formal_questions WHERE {_TWENTIETH}),
 r AS (SELECT query_id, min(rank) AS first FROM terms JOIN bm USING (query_id) JOIN docs USING (doc_key) WHERE rank <= 5 AND len(list_filter(t, lambda x: contains(lower(coalesce(doc_name, '') || ' ' || coalesce(text, '')), lower(x)))) > 0 GROUP BY 1)
 SELECT query_id, CAST(first IS NOT NULL AS INT) AS hit, coalesce(1.0 / first, 0.0) AS mrr FROM terms LEFT JOIN r USING (query_id) WHERE len(t) > 0""",
-    "search_sentences": f"""WITH {_BASE},
-e AS (SELECT query_id, {_strip("array_to_string(list_concat([question], " + _first("x") + "), ' ')")} AS e FROM (SELECT query_id, question, {_expansion('question')} AS x FROM q)),
-t AS (SELECT query_id, list_distinct(regexp_extract_all(lower(e), '{L.CHUNK_TOKEN}')) AS q, list_filter(list_distinct(list_transform(regexp_extract_all(e, '{L.TECHNICAL_TERM}'), lambda x: lower(x))), lambda x: x NOT IN ('1200', '1500')) AS x FROM e),
-h AS (SELECT query_id, rank, doc_key, CASE WHEN lower(coalesce(doc_name, '')) LIKE 'project~_%' ESCAPE '~' THEN 0 ELSE 0.05 END AS worth, CASE WHEN representation = 'table_row' THEN [regexp_replace(text, '{L.WS}+', ' ', 'g')] ELSE {_CUT} END AS cut FROM bm JOIN docs USING (doc_key) WHERE rank <= 5),
-l AS (SELECT query_id, rank, doc_key, worth, unnest(range(0, len(cut))) AS no, unnest(list_transform(cut, lambda s: {_strip('s')})) AS sentence FROM h),
-c AS (SELECT l.*, round(len(list_intersect(q, list_distinct(regexp_extract_all(lower(sentence), '{L.CHUNK_TOKEN}')))) / greatest(1, len(q)) + len(list_intersect(x, list_distinct(list_transform(regexp_extract_all(sentence, '{L.TECHNICAL_TERM}'), lambda y: lower(y))))) / greatest(1, len(x)) + worth, 9) AS score,
-  regexp_replace(lower(sentence), '{L.WS}+', '', 'g') AS mark FROM l JOIN t USING (query_id) WHERE length(sentence) >= 18 AND NOT contains(sentence, ' > ')),
-f AS (SELECT *, rank = 1 AND row_number() OVER (PARTITION BY query_id ORDER BY rank <> 1, score DESC, rank, no) = 1 AS first FROM c),
-o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id, mark ORDER BY first DESC, score DESC, rank, no) = 1)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY first DESC, score DESC, rank, no) AS place, rank, doc_key, sentence FROM o QUALIFY place <= 2""",
+    "search_sentences": f"WITH {_BASE},{_BEST} SELECT query_id, place, rank, doc_key, sentence FROM best WHERE place <= 2",
     "search_metrics": f"""WITH {_BASE}{_GOLD}
 SELECT category, count(*) AS queries, round(avg(strict_recall), 6) AS strict_recall, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(top1), 6) AS top1,
   count_if(strict_recall < 1) AS missing, count_if(strict_recall = 1 AND top1 = 0) AS late FROM m GROUP BY ROLLUP (category)""",

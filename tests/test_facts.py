@@ -31,7 +31,6 @@ def test_frames(spark):
     hits = spark.createDataFrame([("q", 1, "N", 3, "no"), ("q", 2, "Manual", None, "has MB_LEN")], "query_id string, rank int, name string, page int, text string")
     terms = spark.createDataFrame([("q", ["mb_len"]), ("r", ["x"])], "query_id string, terms array<string>")
     assert sorted(tuple(r) for r in facts.expected_terms(hits, terms).collect()) == [("q", 1, 0.5), ("r", 0, 0.0)]
-    assert facts.context_blocks(hits.withColumnRenamed("rank", "place")).first()["context"] == "[来源1：N，第3页]\nno\n\n[来源2：Manual，第0页]\nhas MB_LEN"
     rows = spark.createDataFrame([("a", "old"), ("b", "old")], "id string, v string")
     assert sorted(tuple(r) for r in facts.with_overrides(rows, spark.createDataFrame([("a", "new")], "id string, v string"), ["id"]).collect()) == [("a", "new"), ("b", "old")]
     m = lambda *x: spark.createDataFrame(list(x), "metric string, value double")

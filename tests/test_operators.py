@@ -145,6 +145,7 @@ def test_rounds_solutions_sentences(spark):
     q = spark.createDataFrame([("a", "M", "fault of pump 16#80c8"), ("b", "M", "other"), ("c", "", None)], "query_id string, model string, question string")
     assert rows(retrieval.similar_solutions(q, s).select("query_id", "solution_id")) == [("a", 2)]
     h = spark.createDataFrame([("q", "valve pressure", 1, "The valve holds pressure well. Short."), ("q", "valve pressure", 2, "the valve holds  pressure well. valve pressure is measured here daily")], "query_id string, question string, rank int, text string")
+    h = h.select("*", F.lit("d").alias("doc_key"), F.lit(None).cast("string").alias("doc_name"), F.lit("").alias("representation"))
     got = retrieval.best_sentences(h).orderBy("place").collect()
     assert [x["sentence"] for x in got] == ["The valve holds pressure well.", "valve pressure is measured here daily"]
 
