@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from tessera.functions import lexicon as L
 
@@ -72,6 +73,11 @@ def search_terms(c: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(F.concat(F.array(strip(c)), find_all(c, L.SEARCH_TERM)), F.lower)), lambda t: t != "")
 
 
+def row_terms(c: Column) -> Column:
+    """What a table-row look-up looks for: the whole query and its codes, words and versions, each once."""
+    return F.filter(F.array_distinct(F.transform(F.concat(F.array(strip(c)), find_all(c, L.ROW_TERM)), F.lower)), lambda t: t != "")
+
+
 def sentences(c: Column) -> Column:
     """Parts after each stop and between line ends, stripped, without empty ones."""
     parts = F.split(F.regexp_replace(c, f"([{L.SENTENCE_STOPS}])", "$1\n"), "\n+", -1)
@@ -156,13 +162,48 @@ def secret_kinds(c: Column) -> Column:
     return F.filter(F.array(*[F.when(c.rlike(rx), F.lit(i)) for i, rx in enumerate(L.SECRET_TEXTS)]), lambda x: x.isNotNull())
 
 
+def is_secret_key(name: str | Column) -> bool | Column:
+    """Whether a name is one of credentials."""
+    if isinstance(name, str):
+        return any(x in name.lower().replace("-", "_") for x in L.SECRET_KEYS)
+    low = F.replace(F.lower(name), F.lit("-"), F.lit("_"))
+    return reduce(lambda a, b: a | b, [low.contains(x) for x in L.SECRET_KEYS])
+
+
 def without_secret_keys(m: Column) -> Column:
     """A map without keys that name credentials, values redacted."""
-    name = lambda k: F.replace(F.lower(k), F.lit("-"), F.lit("_"))
-    kept = F.map_filter(m, lambda k, v: ~reduce(lambda a, b: a | b, [name(k).contains(x) for x in L.SECRET_KEYS]))
+    kept = F.map_filter(m, lambda k, v: ~is_secret_key(k))
     return F.transform_values(kept, lambda k, v: redacted(v))
 
 
+def sanitised(c: Column, kind: DataType) -> Column:
+    """A value of any type, however nested, without fields and keys that name credentials, its texts redacted."""
+    if isinstance(kind, StringType):
+        return redacted(c)
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: sanitised(x, kind.elementType))
+    if isinstance(kind, MapType):
+        kept = F.map_filter(c, lambda k, v: ~is_secret_key(k)) if isinstance(kind.keyType, StringType) else c
+        return F.transform_values(kept, lambda k, v: sanitised(v, kind.valueType))
+    if isinstance(kind, StructType):
+        fields = [sanitised(c[f.name], f.dataType).alias(f.name) for f in kind if not is_secret_key(f.name)]
+        return F.when(c.isNotNull(), F.struct(*fields)) if fields else F.lit(None)
+    return c
+
+
+def release_faults(path: Column, content: Column) -> Column:
+    """What forbids a file to be published: ``path`` for a private path, and the names of the secrets that its text holds. A
+    text with a zero byte isn't looked into."""
+    private = reduce(lambda a, b: a | b, [path.rlike(rx) for rx in L.PRIVATE_PATHS]) & ~path.rlike(L.PUBLIC_PATHS)
+    found = [F.when(private, F.lit("path"))] + [F.when(~F.contains(content, F.lit("\x00")) & content.rlike(rx), F.lit(name)) for name, rx in L.RELEASE_SECRETS]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def log_secrets(c: Column) -> Column:
+    """Names of the marks of credentials in a log's text."""
+    return F.filter(F.array(*[F.when(c.rlike(rx), F.lit(name)) for name, rx in L.LOG_SECRETS]), lambda x: x.isNotNull())
+
+
 def source_indexes(c: Column, most: Column | None = None) -> Column:
     """Cited source numbers, distinct and sorted, of 1..most only if ``most`` is given."""
     found = F.transform(F.regexp_extract_all(c, F.lit(L.CITED_SOURCE), F.lit(1)), lambda x: x.cast("int"))

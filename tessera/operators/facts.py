@@ -148,7 +148,7 @@ def forbidden_mentions(answer: Column, fact: Column, reach: int = 24) -> Column:
     pieces = F.split(low, F.concat(F.lit("\\Q"), F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), F.lit(-1))
     before = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.right(F.call_function("array_join", F.slice(pieces, F.lit(1), i), part), F.lit(reach)))
     negated = lambda c: reduce(lambda a, b: a | b, [F.contains(c, F.lit(n)) for n in NEGATIONS])
-    return F.when((part == "") | part.isNull() | ~F.contains(low, part), None).when(F.exists(before, lambda c: ~negated(c)), "violation").otherwise("negated")
+    return F.when((part == "") | part.isNull() | low.isNull() | ~F.contains(low, part), None).when(F.exists(before, lambda c: ~negated(c)), "violation").otherwise("negated")
 
 
 def claims(answer: Column, least: int = 3) -> Column:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import lexicon as L
 from tessera.functions import text as T
 
-#: Columns of a table-row store that are returned, and those that are searched, as far as they exist.
+# Columns of a table-row store that are returned, and those that are searched, as far as they exist.
 ROW_COLUMNS = ("chunk_id", "source", "doc_name", "page", "section", "section_path", "table_id", "row_id", "row_index", "headers", "header", "parameter_name", "text", "content", "row_text", "model", "version")
 SEARCHED = ("headers", "header", "parameter_name", "text", "content", "row_text", "source", "doc_name")
 
@@ -27,45 +26,80 @@ def lookup_codes(queries: DataFrame, codes: DataFrame) -> DataFrame:
     return joined.groupBy("query_id").agg(F.min_by(F.struct(*rest), "no").alias("_r")).select("query_id", "_r.*")
 
 
-def names_in_texts(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """The longest name that each text contains: ``text_id, name_id, name``; the first ``name_id`` among equals.
+#: Names that are sent to all workers at most; more are joined by a shuffle.
+SENT_NAMES = 200_000
+
+
+def names_contained(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """All names that each text contains, without regard to case: ``text_id, name_id, name``, distinct.
 
-    ``texts``: ``text_id, text``; ``names``: ``name_id, name`` (a row for each alias). Containment ignores case. A text
-    meets only names whose first three characters it has, by an equi-join on them, instead of every name. An empty or
-    null name matches nothing; a text without a match is left out."""
-    # every name has pieces of three characters, and a text that contains it has them too: the piece is the join key
+    ``texts``: ``text_id, text``; ``names``: ``name_id, name`` (a row for each alias). A text meets only names whose first
+    three characters it has, by an equi-join on them, instead of every name; the names are sent to the texts if there are
+    at most ``SENT_NAMES``. Empty and null names and texts match nothing."""
     low = names.select("name_id", "name", F.lower("name").alias("_n")).where("_n != ''").withColumn("_g", F.substring("_n", 1, 3))
     text = texts.select("text_id", F.lower("text").alias("_t")).where("_t != ''")
-    sizes = [r[0] for r in low.select(F.least(F.length("_n"), F.lit(3))).distinct().collect()] or [3]  # three values at most
+    head = low.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.least(F.length("_n"), F.lit(3)))).alias("sizes")).first()
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("_t")), lambda i: F.substr(F.col("_t"), i, F.lit(n)))
-    pieces = text.select("text_id", "_t", F.explode(F.array_distinct(F.concat(*[grams(n) for n in sizes]))).alias("_g")).join(low.select("_g").distinct(), "_g", "left_semi")
-    hits = pieces.join(low, "_g").where(F.contains("_t", F.col("_n"))).select("text_id", "name_id", "name").distinct()
+    pieces = text.select("text_id", "_t", F.explode(F.array_distinct(F.concat(*[grams(n) for n in head["sizes"] or [3]]))).alias("_g"))
+    known = F.broadcast(low) if head["n"] <= SENT_NAMES else low
+    return pieces.join(known, "_g").where(F.contains("_t", F.col("_n"))).select("text_id", "name_id", "name").distinct()
+
+
+def names_in_texts(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """The longest name that each text contains (``names_contained``): ``text_id, name_id, name``; the first ``name_id`` among
+    equals. A text without a match is left out."""
     best = F.max_by(F.struct("name_id", "name"), F.struct(F.length("name"), -F.col("name_id")))
-    return hits.groupBy("text_id").agg(best.alias("b")).select("text_id", "b.name_id", "b.name")
+    return names_contained(texts, names).groupBy("text_id").agg(best.alias("b")).select("text_id", "b.name_id", "b.name")
 
 
-def lookup_rows(rows: DataFrame, query: str, model: str = "", limit: int = 5, order: str = "chunk_id") -> DataFrame:
-    """Rows of a table-row store of any of the known columns that contain a term of the query.
+def names_like(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """The first name, by ``name_id``, that contains each query's whole text, without regard to case: ``query_id, name_id, name``.
 
-    The predicate is put together from the columns that exist and reaches the scan; ``model`` matches rows of it or of
-    none, a version in the query has to be in the row's. At most 20 rows, by ``order``."""
-    import re
+    ``queries``: ``query_id, text``. The look-up of ``names_contained`` with the sides changed, so a name of any length is found;
+    blank queries match nothing."""
+    asked = queries.select(F.col("query_id").alias("name_id"), T.strip(F.col("text")).alias("name"))
+    hits = names_contained(names.select(F.struct("name_id", "name").alias("text_id"), F.col("name").alias("text")), asked)
+    first = hits.groupBy(F.col("name_id").alias("query_id")).agg(F.min(F.struct("text_id.name_id", "text_id.name")).alias("b"))
+    return first.select("query_id", "b.name_id", "b.name")
+
+
+def lookup_parameters(queries: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Each query's parameter: the longest whose name or alias its text contains, else the first whose name or alias contains
+    its whole text: ``query_id, found, way, parameter_id``. ``way`` is ``in text``, ``like`` or null.
+
+    ``queries``: ``query_id, text, model``; ``parameters``: ``parameter_id`` (a whole number, in order of record), ``name,
+    aliases, model``. A record of no model fits any."""
+    named = parameters.select("parameter_id", F.coalesce("model", F.lit("")).alias("_own"), F.explode(F.array_union(F.array("name"), F.coalesce("aliases", T.strings(())))).alias("name"))
+    fits = lambda df: df.join(queries.select("query_id", F.coalesce("model", F.lit("")).alias("_m")), "query_id").join(named.select(F.col("parameter_id").alias("name_id"), "_own").distinct(), "name_id").where((F.col("_own") == "") | (F.col("_own") == F.col("_m")))
+    names = named.select(F.col("parameter_id").alias("name_id"), "name")
+    inside = fits(names_contained(queries.select(F.col("query_id").alias("text_id"), "text"), names).withColumnRenamed("text_id", "query_id"))
+    best = inside.groupBy("query_id").agg(F.max_by("name_id", F.struct(F.length("name"), -F.col("name_id"))).alias("p"))
+    asked = queries.select(F.col("query_id").alias("name_id"), T.strip(F.col("text")).alias("name"))
+    like = fits(names_contained(names.select(F.struct("name_id").alias("text_id"), F.col("name").alias("text")), asked).select(F.col("name_id").alias("query_id"), F.col("text_id.name_id").alias("name_id")))
+    spare = like.groupBy("query_id").agg(F.min("name_id").alias("l"))
+    rows = queries.select("query_id").join(best, "query_id", "left").join(spare, "query_id", "left")
+    way = F.when(F.col("p").isNotNull(), "in text").when(F.col("l").isNotNull(), "like")
+    return rows.select("query_id", way.isNotNull().alias("found"), way.alias("way"), F.coalesce("p", "l").alias("parameter_id"))
 
-    columns = [c for c in ROW_COLUMNS if c in rows.columns]
-    searched = [c for c in SEARCHED if c in rows.columns]
-    terms = list(dict.fromkeys(t.lower() for t in [query.strip(), *re.findall(r"16#[0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9_#.-]+|\d+(?:\.\d+)+", query)] if t)) or [""]
 
-    def text(c: str) -> Column:
-        col = F.array_join(c, " ") if rows.schema[c].dataType.typeName() == "array" else F.col(c).cast("string")
-        return F.lower(F.coalesce(col, F.lit("")))
+def lookup_rows(queries: DataFrame, rows: DataFrame, limit: int = 5, order: str = "chunk_id") -> DataFrame:
+    """Rows of a table-row store that contain a term of a query in any of the known columns: ``query_id, place`` and the columns of
+    ``ROW_COLUMNS`` that the store has; the first ``limit`` (1 to 20) by ``order``.
 
-    where = reduce(lambda a, b: a | b, [text(c).contains(t) for t in terms for c in searched], F.lit(False))
-    if model and "model" in rows.columns:
-        where = where & (F.coalesce("model", F.lit("")).isin("", model))
-    version = re.search(r"(?<![A-Za-z0-9])V?\d+(?:\.\d+)+", query, re.I)
-    if version and "version" in rows.columns:
-        where = where & text("version").contains(version[0].lower())
-    return rows.where(where).select(*columns).distinct().orderBy(order).limit(min(max(limit, 1), 20))
+    ``queries``: ``query_id, query, model``. ``model`` matches rows of it or of none, a version in the query has to be in the row's.
+    Terms are looked for as in ``names_contained``; only keys take part until the best are known."""
+    columns = [c for c in ROW_COLUMNS if c in rows.columns]
+    searched = [c for c in SEARCHED if c in rows.columns]
+    cell = lambda c: F.array_join(c, " ") if rows.schema[c].dataType.typeName() == "array" else F.col(c).cast("string")
+    asked = queries.select("query_id", F.coalesce("model", F.lit("")).alias("_m"), F.lower(F.regexp_extract("query", L.ROW_VERSION, 0)).alias("_v"), F.explode(T.row_terms(F.col("query"))).alias("name"))
+    once = rows.dropDuplicates([order])
+    texts = once.select(F.col(order).alias("text_id"), F.concat_ws("\x00", *[cell(c) for c in searched]).alias("text"))
+    hits = names_contained(texts, asked.select(F.col("query_id").alias("name_id"), "name")).select(F.col("text_id").alias(order), F.col("name_id").alias("query_id")).distinct()
+    facts = once.select(order, (F.coalesce("model", F.lit("")) if "model" in rows.columns else F.lit("")).alias("_own"), (F.lower(F.coalesce(F.col("version").cast("string"), F.lit(""))) if "version" in rows.columns else F.lit(None).cast("string")).alias("_version"))
+    good = hits.join(asked.select("query_id", "_m", "_v").distinct(), "query_id").join(facts, order).where(((F.col("_m") == "") | F.col("_own").isin("") | (F.col("_own") == F.col("_m"))) & ((F.col("_v") == "") | F.col("_version").isNull() | F.contains("_version", F.col("_v"))))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(order))
+    best = good.select("query_id", order).withColumn("place", place).where(F.col("place") <= min(max(limit, 1), 20))
+    return best.join(once.select(*columns), order).select("query_id", "place", *columns)
 
 
 def by_ids(ids: DataFrame, docs: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -73,20 +107,30 @@ def by_ids(ids: DataFrame, docs: DataFrame, key: str = "chunk_id") -> DataFrame:
     return ids.select("query_id", F.posexplode("ids").alias("place", key)).join(docs, key)
 
 
-def expand_graph(texts: DataFrame, nodes: DataFrame, edges: DataFrame, most_nodes: int = 4, most_edges: int = 12) -> DataFrame:
-    """One hop from the entities a text names: ``text_id, source, relation, target``.
+def expand_graph(texts: DataFrame, nodes: DataFrame, edges: DataFrame, most_nodes: int = 4, most_edges: int = 12, most_terms: int = 8) -> tuple[DataFrame, DataFrame]:
+    """One hop in a graph from the entities that texts name: the relations ``text_id, edge_id, source, relation, target``, and the
+    texts' ``text_id, entities, terms``.
 
-    ``texts``: ``text_id, entities`` (node ids in node order); ``nodes``: ``node_id, label``; ``edges``: ``edge_id,
-    source, relation, target``. Edges come from two equi-joins, by source and by target, merged, instead of a join on
-    either; the first ``most_edges`` by id. A node without a label shows its id."""
-    seeds = texts.select("text_id", F.explode(F.slice("entities", 1, most_nodes)).alias("node"))
+    ``texts``: ``text_id, text``; ``nodes``: ``node_id, label, aliases``; ``edges``: ``edge_id, source, relation, target``. A node is
+    named if its label or an alias is in the text (``names_contained``); the first ``most_nodes`` by id count. Edges come
+    from two equi-joins, by source and by target, merged, instead of a join on either; the first ``most_edges`` by id. A
+    node without a label shows its id. ``terms`` are the labels of the relations, in order, that the text does not have."""
+    names = nodes.select(F.col("node_id").alias("name_id"), F.explode(F.array_union(F.array("label"), F.coalesce("aliases", T.strings(())))).alias("name"))
+    named = names_contained(texts, names).select("text_id", F.col("name_id").alias("node")).distinct()
+    seeds = named.withColumn("_n", F.row_number().over(W.partitionBy("text_id").orderBy("node"))).where(F.col("_n") <= most_nodes).drop("_n")
     out = seeds.join(edges.withColumnRenamed("source", "node"), "node").select("text_id", "edge_id", F.col("node").alias("source"), "relation", "target")
     into = seeds.join(edges.withColumnRenamed("target", "node"), "node").select("text_id", "edge_id", "source", "relation", F.col("node").alias("target"))
     found = out.unionByName(into).distinct()
     found = found.withColumn("_n", F.row_number().over(W.partitionBy("text_id").orderBy("edge_id"))).where(F.col("_n") <= most_edges)
     label = lambda side: nodes.select(F.col("node_id").alias(side), F.col("label").alias(f"_{side}"))
-    named = found.join(label("source"), "source", "left").join(label("target"), "target", "left")
-    return named.select("text_id", "edge_id", F.coalesce("_source", "source").alias("source"), "relation", F.coalesce("_target", "target").alias("target"))
+    labelled = found.join(label("source"), "source", "left").join(label("target"), "target", "left")
+    relations = labelled.select("text_id", "edge_id", F.coalesce("_source", "source").alias("source"), "relation", F.coalesce("_target", "target").alias("target"))
+    ends = relations.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("edge_id", "source", "target"))).alias("e"))
+    said = F.array_distinct(F.flatten(F.transform("e", lambda x: F.array(x["source"], x["target"]))))
+    entities = seeds.groupBy("text_id").agg(F.array_sort(F.collect_list("node")).alias("entities"))
+    terms = texts.select("text_id", F.lower("text").alias("_t")).join(entities, "text_id").join(ends.select("text_id", said.alias("said")), "text_id", "left")
+    new = F.slice(F.filter(F.coalesce("said", T.strings(())), lambda x: ~F.contains("_t", F.lower(x))), 1, most_terms)
+    return relations, terms.select("text_id", "entities", new.alias("terms"))
 
 
 def missing_gold(rows: DataFrame, docs: DataFrame, ids: str, key: str = "chunk_id") -> DataFrame:
@@ -100,3 +144,8 @@ def gathered_texts(rows: DataFrame, docs: DataFrame, ids: str, key: str = "chunk
     listed = rows.select("id", F.posexplode(ids).alias("place", key))
     joined = listed.join(docs.select(key, "text"), key, "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("text", F.lit("")).alias("text")))).alias("_t"))
     return joined.select("id", F.array_join(F.transform("_t", lambda x: x["text"]), "\n").alias("text"))
+
+
+def refused_references(requests: DataFrame, docs: DataFrame, ids: str, key: str = "chunk_id") -> DataFrame:
+    """Requests that name documents which don't exist, and these: ``id, unknown`` (sorted). Others may be saved."""
+    return missing_gold(requests, docs, ids, key).groupBy("id").agg(F.array_sort(F.collect_set(key)).alias("unknown"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lexicon as L
 from tessera.functions import text as T
+from tessera.operators.running import running_before
 from tessera.session import shuffle_partitions
 
 
@@ -100,6 +100,21 @@ def followups(turns: DataFrame, hours: int = 24, most: int = 80, kept: int = 240
     return rows.select("id", "session_id", query.alias("query"), F.size(lines).alias("used"))
 
 
+def cleared(turns: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns without those of the named sessions (``session_id``), and how many each of these had: ``session_id, removed``."""
+    gone = sessions.select("session_id").where("session_id is not null").distinct()
+    removed = turns.join(gone, "session_id", "left_semi").groupBy("session_id").agg(F.count(F.lit(1)).alias("removed"))
+    return turns.join(gone, "session_id", "left_anti"), gone.join(removed, "session_id", "left").select("session_id", F.coalesce("removed", F.lit(0)).alias("removed"))
+
+
+def with_next_ids(existing: DataFrame, new: DataFrame, order: str, key: str = "id") -> DataFrame:
+    """``new`` with ids that go on from the highest of ``existing``, in the order of the distinct values of ``order``. The
+    numbers come from counts by range, so no task gets all rows."""
+    highest = existing.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    place = running_before(new.select(order, F.lit(0).alias("_all"), F.lit(1).alias("_one")), "_all", order, "_one")
+    return new.join(place.select(order, (F.col("before") + 1 + highest).alias(key)), order)
+
+
 class Limiter:
     """Sliding log of one key: at most ``limit`` accepted calls in any ``seconds``; refused ones are not logged."""
 
@@ -118,24 +133,34 @@ class Limiter:
 def rate_limited(events: DataFrame, key: str, at: str, order: str, limit: int, seconds: float = 60.0) -> DataFrame:
     """Each call of a key in the order of ``at, order``, with ``allowed`` and ``retry_after`` seconds.
 
-    Whether a call is refused depends on those accepted before it, so a key's calls follow one another; but they are
-    sorted by the shuffle and streamed with a log of ``limit`` times in memory, never gathered. Rows with a null key or
-    time are left out."""
-    rows = events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, order, at)
-    sorted_rows = rows.repartition(shuffle_partitions(events.sparkSession), key).sortWithinPartitions(key, at, order)
+    Whether a call is refused depends on those accepted in the ``seconds`` before it, so calls that follow one another
+    closer than that are taken in turn; but a silence of that length makes the log empty, so a key is cut there
+    into runs, which spread over tasks. Calls are sorted by the shuffle and streamed with a log of ``limit`` times in
+    memory, never gathered. What stays in one task is a run without any silence: a key that never rests has only one,
+    which is what a log that depends on order means. Rows with a null key or time are left out."""
+    micros = F.unix_micros(F.col(at).cast("timestamp")) if dict(events.dtypes)[at].startswith("timestamp") else (F.col(at) * 1_000_000).cast("long")
+    rows = events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, order, at, micros.alias("_us"))
+    rows = rows.withColumn("_cell", F.floor(F.col("_us") / F.lit(int(seconds * 1e6))).cast("long"))
+    # an empty cell between two is a silence of its length at least; cells are counted before they are sorted
+    cells = rows.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    along = W.partitionBy(key).orderBy("_cell")
+    starts = cells.select(key, "_cell", F.coalesce((F.col("_cell") - F.lag("_cell").over(along) > 1).cast("int"), F.lit(1)).alias("_new"))
+    runs = starts.select(key, "_cell", F.sum("_new").over(along).alias("_run"))
+    placed = rows.join(runs, [key, "_cell"]).select(key, order, at, "_us", "_run")
+    sorted_rows = placed.repartition(shuffle_partitions(events.sparkSession), key, "_run").sortWithinPartitions(key, "_run", at, order)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, limiter = None, Limiter(limit, seconds)
         for b in batches:
-            times = np.array(b.column(at).cast(pa.int64()).to_pylist()) / 1e6
+            times = b.column("_us").to_numpy() / 1e6
             allowed, retry = [], []
-            for k, t in zip(b.column(key).to_pylist(), times.tolist()):
-                if k != last:
-                    last, limiter = k, Limiter(limit, seconds)
+            for k, run, t in zip(b.column(key).to_pylist(), b.column("_run").to_pylist(), times.tolist()):
+                if (k, run) != last:
+                    last, limiter = (k, run), Limiter(limit, seconds)
                 ok, wait = limiter.check(t)
                 allowed.append(ok)
                 retry.append(wait)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(allowed), pa.array(retry, pa.int32())], [*b.schema.names, "allowed", "retry_after"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (key, order, at)), pa.array(allowed), pa.array(retry, pa.int32())], [key, order, at, "allowed", "retry_after"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema if f.name in (key, order, at))
     return sorted_rows.mapInArrow(work, f"{kinds}, allowed boolean, retry_after int")

@@ -9,7 +9,8 @@ from tessera.functions import lexicon as L
 from tessera.functions import text as T
 from tessera.operators import audit, chunking, lookup, sessions
 from tessera.operators.metrics import rate
-from tessera.plans.texts import _strip
+from tessera.operators.references import cleaned_ids
+from tessera.plans.texts import _first, _strip
 from tessera.sources.tables import table, table_once
 
 
@@ -64,6 +65,11 @@ def audit_largest(spark: SparkSession, d: str) -> DataFrame:
     return audit.sized_chunks(table(spark, d, "chunks")).orderBy(F.desc("chars"), "chunk_id").limit(20)
 
 
+def audit_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of each document."""
+    return audit.sized_chunks(table(spark, d, "chunks")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("chars").alias("chars"))
+
+
 def audit_tables(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "chunks").where("metadata.representation = 'table_row'").select("chunk_id", "doc_id", "page", F.col("metadata.table_id").alias("table_id"), T.looks_like_links(F.col("text")).alias("links")).distinct()
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("table_id").alias("tables"), F.count_distinct("page").alias("pages"), F.count_if("links").alias("links"))
@@ -80,7 +86,7 @@ def audit_index(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks")
     return c.agg(
         F.count_distinct("chunk_id").alias("chunks"), F.count_distinct("doc_id").alias("docs"), F.count_distinct("metadata.table_id").alias("tables"), F.max("ingested_at").alias("newest"),
-        F.count_distinct(F.when(F.col("metadata.status") == "current", F.col("doc_id"))).alias("current_docs"),
+        F.count_distinct(F.when(F.col("metadata.status").startswith("current"), F.col("doc_id"))).alias("current_docs"),
     )
 
 
@@ -140,7 +146,9 @@ def check_repeats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def check_gold(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.missing_gold(table(spark, d, "formal_questions"), table(spark, d, "chunks"), "gold_chunk_ids")
+    """Gold chunks of application questions that don't exist."""
+    rows = table(spark, d, "application_questions").select("id", cleaned_ids(F.col("gold_chunk_ids")).alias("gold"))
+    return lookup.missing_gold(rows, table(spark, d, "chunks"), "gold")
 
 
 def lookup_gold_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -150,39 +158,76 @@ def lookup_gold_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lookup_alarms(spark: SparkSession, d: str) -> DataFrame:
-    """For each solved problem that names a code the first chunk that does."""
-    code = F.nullif(F.regexp_extract("text", r"(?i)((?:16#|0x)[0-9a-f]{4})", 1), F.lit(""))
-    codes = table(spark, d, "chunks").select(F.col("chunk_id").alias("no"), code.alias("code"), F.lit("").alias("model"), "chunk_id").where("code is not null")
-    asked = table(spark, d, "verified_solutions").select(F.col("id").alias("query_id"), F.nullif(F.regexp_extract("problem", r"(?i)((?:16#|0x)[0-9a-f]{4})", 1), F.lit("")).alias("code"), "model").distinct()
+    """For each solved problem that names a code the first chunk that does, among all the codes of each chunk."""
+    codes = table(spark, d, "chunks").select("chunk_id", F.explode(F.regexp_extract_all("text", F.lit(_CODE), F.lit(1))).alias("code")).distinct().select(F.col("chunk_id").alias("no"), "code", F.lit("").alias("model"), "chunk_id")
+    asked = table(spark, d, "verified_solutions").select(F.col("id").alias("query_id"), F.nullif(F.regexp_extract("problem", _CODE, 1), F.lit("")).alias("code"), "model").distinct()
     return lookup.lookup_codes(asked, codes).select("query_id", "chunk_id")
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """The names of parameters that formal questions ask about, by the number of the first question."""
+    number = F.regexp_extract("id", "([0-9]+)$", 1).cast("long")
+    rows = table(spark, d, "formal_questions").select(number.alias("no"), F.explode(F.regexp_extract_all("question", F.lit(_NAME), F.lit(1))).alias("name"))
+    return rows.groupBy("name").agg(F.min("no").alias("name_id"))
+
+
 def lookup_parameters(spark: SparkSession, d: str) -> DataFrame:
-    """The longest part name that each solved problem's text contains (any case)."""
-    names = table(spark, d, "formal_questions").select(F.regexp_extract("id", "([0-9]+)$", 1).cast("long").alias("name_id"), F.regexp_extract("question", r"([A-Z]{2}_[A-Z]+_[0-9]+)", 1).alias("name")).where("name != ''").distinct()
+    """The longest parameter name that each solution contains (any case)."""
     texts = table(spark, d, "verified_solutions").select(F.col("id").alias("text_id"), F.col("solution").alias("text")).distinct()
-    return lookup.names_in_texts(texts, names)
+    return lookup.names_in_texts(texts, _names(spark, d))
+
+
+def lookup_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters of problems by the names in them, and of beginnings of names by the names that go on from them."""
+    names = _names(spark, d)
+    parameters = names.select(F.col("name_id").alias("parameter_id"), "name", F.array(F.concat("name", F.lit("-alias"))).alias("aliases"), F.when(F.length("name") > 11, "ZV-1200").otherwise("").alias("model"))
+    solved = table(spark, d, "verified_solutions").select(F.concat(F.lit("s"), F.col("id")).alias("query_id"), F.col("problem").alias("text"), "model").distinct()
+    short = names.select(F.concat(F.lit("n"), F.col("name_id"), F.lit("_"), "name").alias("query_id"), F.lower(F.substring("name", 1, 7)).alias("text"), F.lit("ZV-1200").alias("model"))
+    return lookup.lookup_parameters(solved.unionByName(short), parameters)
 
 
 def lookup_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Table rows for each application question asked, by its words, model and version."""
     rows = table(spark, d, "chunks").where("metadata.representation = 'table_row'").select("chunk_id", "doc_name", "text", "model", "version")
-    return lookup.lookup_rows(rows, "Default 16#60", "ZV-1200", 20)
+    asked = table(spark, d, "application_questions").where(F.regexp_extract("id", "([0-9]+)$", 1).cast("long") % 20 == 0).select(F.col("id").alias("query_id"), F.col("question").alias("query"), "model").distinct()
+    return lookup.lookup_rows(asked, rows, 5).select("query_id", "place", "chunk_id", "doc_name", "model", "version", F.md5("text").alias("digest"))
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The manuals' graph: makers, models and manuals, and who makes and describes what; questions with the model they are about."""
+    m = table_once(spark, d, "chunks", "chunk_id", "doc_id", "manufacturer", "model").select("doc_id", F.initcap(F.trim("manufacturer")).alias("maker"), "model").where("maker is not null and model != ''").distinct()
+    m = m.groupBy("doc_id").agg(F.min("maker").alias("maker"), F.min("model").alias("model"))
+    node = lambda c, kind: F.concat(F.lit(f"{kind}:"), F.col(c))
+    first = F.regexp_extract("maker", "^([A-Za-z]+)", 1)
+    nodes = (
+        m.select(node("maker", "a").alias("node_id"), F.col("maker").alias("label"), F.array(first).alias("aliases")).unionByName(m.select(node("model", "b").alias("node_id"), F.col("model").alias("label"), F.array().cast("array<string>").alias("aliases")))
+        .unionByName(m.select(node("doc_id", "c").alias("node_id"), F.col("doc_id").alias("label"), F.array().cast("array<string>").alias("aliases"))).distinct()
+    )
+    about = m.select(F.concat(F.lit("1"), F.col("doc_id")).alias("edge_id"), node("doc_id", "c").alias("source"), F.lit("describes").alias("relation"), node("model", "b").alias("target"))
+    made = m.select(F.concat(F.lit("0"), F.col("maker"), F.col("model")).alias("edge_id"), node("maker", "a").alias("source"), F.lit("makes").alias("relation"), node("model", "b").alias("target")).distinct()
+    asked = table(spark, d, "formal_questions").select(F.col("id").alias("text_id"), F.concat_ws(" ", "question", "device_model").alias("text")).distinct()
+    return asked, nodes, about.unionByName(made)
 
 
 def lookup_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Nations and regions as a graph: one hop from each customer segment's first nations."""
-    nations = table(spark, d, "nation")
-    nodes = nations.select(F.concat(F.lit("n"), F.format_string("%02d", "n_nationkey")).alias("node_id"), F.col("n_name").alias("label")).unionByName(table(spark, d, "region").select(F.concat(F.lit("r"), F.format_string("%02d", "r_regionkey")).alias("node_id"), F.col("r_name").alias("label")))
-    edges = nations.select(F.format_string("%03d", "n_nationkey").alias("edge_id"), F.concat(F.lit("n"), F.format_string("%02d", "n_nationkey")).alias("source"), F.lit("in").alias("relation"), F.concat(F.lit("r"), F.format_string("%02d", "n_regionkey")).alias("target"))
-    texts = table(spark, d, "region").select(F.col("r_name").alias("text_id"), F.array(F.concat(F.lit("r"), F.format_string("%02d", "r_regionkey")), F.concat(F.lit("n"), F.format_string("%02d", "r_regionkey"))).alias("entities"))
-    return lookup.expand_graph(texts, nodes, edges)
+    """One hop from the makers and models that each formal question names."""
+    return lookup.expand_graph(*_graph(spark, d))[0]
+
+
+def lookup_graph_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The entities that each formal question names, and the terms that the graph adds to them."""
+    found = lookup.expand_graph(*_graph(spark, d))[1]
+    return found.select("text_id", F.array_join("entities", " | ").alias("entities"), F.array_join("terms", " | ").alias("terms"))
+
+
+_CODE, _NAME = r"(?i)((?:16#|0x)[0-9a-f]{4})", "([A-Z]{2}_[A-Z]+_[0-9]+)"
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_headings, chunk_sections, chunk_fixed, chunk_semantic, chunk_build, ingest_counts, chunk_neighbours, audit_lengths, audit_largest, audit_tables, audit_samples, audit_index, session_recent, session_followups,
-        session_summaries, session_sizes, event_limits, event_hours, usage_metrics, check_questions, check_repeats, check_gold, lookup_gold_texts, lookup_alarms, lookup_parameters, lookup_rows, lookup_graph,
+        chunk_headings, chunk_sections, chunk_fixed, chunk_semantic, chunk_build, ingest_counts, chunk_neighbours, audit_lengths, audit_largest, audit_docs, audit_tables, audit_samples, audit_index, session_recent, session_followups,
+        session_summaries, session_sizes, event_limits, event_hours, usage_metrics, check_questions, check_repeats, check_gold, lookup_gold_texts, lookup_alarms, lookup_parameters, lookup_fallback, lookup_rows, lookup_graph, lookup_graph_terms,
     )
 }
 
@@ -206,7 +251,6 @@ _RULES = {
     "padded gold entry": f"len(list_filter({_FILLED}, lambda y: y <> {_strip('y')})) > 0",
     "repeated gold entry": f"len(list_distinct(list_transform({_FILLED}, lambda y: {_strip('y')}))) < len({_FILLED})",
 }
-_CODE = r"(?i)((?:16#|0x)[0-9a-f]{4})"
 _STATS = "count(*) AS chunks, count(DISTINCT doc_id) AS docs, min(chars) AS least, max(chars) AS most, quantile_disc(chars, 0.5) AS p50, quantile_disc(chars, 0.9) AS p90, quantile_disc(chars, 0.95) AS p95, quantile_disc(chars, 0.99) AS p99, quantile_disc(tokens, 0.9) AS tokens_p90, count_if(chars > 2000) AS over_2000_chars, count_if(tokens > 600) AS over_600_tokens"
 
 _PAGES = "page AS (SELECT page_id, any_value(coalesce(text, '')) AS text, any_value(doc_id) AS doc_id, any_value(page) AS page, any_value(coalesce(metadata.representation = 'table_row', false)) AS whole FROM document_pages GROUP BY 1)"
@@ -243,6 +287,16 @@ def _packed(key: str, named: str) -> str:
 packed AS (SELECT {named}, a, array_to_string(p[a + 1:b], chr(10)) AS text FROM spans JOIN said USING ({key}) WHERE length(array_to_string(p[a + 1:b], chr(10))) >= 20)"""
 
 
+_NAMES = f"n AS (SELECT name, min(no) AS name_id FROM (SELECT CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) AS no, unnest(regexp_extract_all(question, '{_NAME}', 1)) AS name FROM formal_questions) GROUP BY 1)"
+_HOP = """c AS (SELECT DISTINCT doc_id, array_to_string(list_transform(string_split(trim(manufacturer), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS maker, model FROM chunks WHERE manufacturer IS NOT NULL AND model <> ''),
+m AS (SELECT doc_id, min(maker) AS maker, min(model) AS model FROM c GROUP BY 1),
+node AS (SELECT DISTINCT 'a:' || maker AS node_id, maker AS label, regexp_extract(maker, '^([A-Za-z]+)', 1) AS alias FROM m UNION SELECT 'b:' || model, model, model FROM m UNION SELECT 'c:' || doc_id, doc_id, doc_id FROM m),
+edge AS (SELECT '1' || doc_id AS edge_id, 'c:' || doc_id AS source, 'describes' AS relation, 'b:' || model AS target FROM m UNION SELECT '0' || maker || model, 'a:' || maker, 'makes', 'b:' || model FROM m),
+q AS (SELECT DISTINCT id AS text_id, concat_ws(' ', question, device_model) AS t FROM formal_questions),
+seed AS (SELECT text_id, node_id FROM q JOIN node ON contains(lower(t), lower(label)) OR (alias <> '' AND contains(lower(t), lower(alias))) QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY node_id) <= 4),
+hop AS (SELECT DISTINCT text_id, edge.* FROM seed JOIN edge ON node_id = source OR node_id = target),
+rel AS (SELECT * FROM hop QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY edge_id) <= 12)"""
+
 SQL = {
     "chunk_headings": f"""
 WITH l AS (SELECT page_id, unnest(range(0, len(x))) AS line_no, unnest(x) AS line FROM (SELECT page_id, regexp_split_to_array(text, '\\r?\\n') AS x FROM document_pages)),
@@ -276,13 +330,14 @@ b AS (SELECT chunk_id, list_transform(range(1, len(s)), lambda i: len(list_inter
 SELECT chunk_id, round(list_sum(b) / len(b), 6) AS mean, round(list_min(b), 6) AS least FROM b""",
     "audit_lengths": f"WITH {_SIZED} SELECT kind, {_STATS} FROM sized GROUP BY ROLLUP (kind)",
     "audit_largest": f"WITH {_SIZED} SELECT * FROM sized ORDER BY chars DESC, chunk_id LIMIT 20",
+    "audit_docs": f"WITH {_SIZED} SELECT doc_id, count(*) AS chunks, CAST(sum(chars) AS BIGINT) AS chars FROM sized GROUP BY 1",
     "audit_tables": """
 WITH r AS (SELECT DISTINCT chunk_id, doc_id, page, metadata.table_id AS table_id, contains(lower(text), 'http://') OR contains(lower(text), 'https://') OR contains(lower(text), 'www.') AS links FROM chunks WHERE metadata.representation = 'table_row')
 SELECT doc_id, count(*) AS rows, count(DISTINCT table_id) AS tables, count(DISTINCT page) AS pages, count_if(links) AS links FROM r GROUP BY 1""",
     "audit_samples": """
 WITH r AS (SELECT DISTINCT doc_id, chunk_id, substr(text, 1, 80) AS text FROM chunks WHERE metadata.representation = 'table_row')
 SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) AS place FROM r QUALIFY place <= 3""",
-    "audit_index": "SELECT count(DISTINCT chunk_id) AS chunks, count(DISTINCT doc_id) AS docs, count(DISTINCT metadata.table_id) AS tables, max(ingested_at) AS newest, count(DISTINCT CASE WHEN metadata.status = 'current' THEN doc_id END) AS current_docs FROM chunks",
+    "audit_index": "SELECT count(DISTINCT chunk_id) AS chunks, count(DISTINCT doc_id) AS docs, count(DISTINCT metadata.table_id) AS tables, max(ingested_at) AS newest, count(DISTINCT CASE WHEN starts_with(metadata.status, 'current') THEN doc_id END) AS current_docs FROM chunks",
     "session_recent": f"WITH {_TURNS} SELECT id, session_id FROM turns QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY id DESC) <= 20",
     "session_followups": f"""
 WITH {_TURNS},
@@ -305,23 +360,29 @@ SELECT selected_tool, count(*) AS turns, count_if(sourced) AS sourced, round(cou
         for t in ("formal_questions", "application_questions") for rule, where in _RULES.items()
     ),
     "check_repeats": "\nUNION ALL\n".join(f"SELECT '{t}' AS src_table, CAST({k} AS VARCHAR) AS key, count(*) AS n FROM {t} GROUP BY {k} HAVING count(*) > 1" for t, k in _KEYS.items()),
-    "check_gold": "SELECT DISTINCT id, chunk_id FROM (SELECT id, unnest(gold_chunk_ids) AS chunk_id FROM formal_questions) WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM chunks)",
+    "check_gold": f"SELECT DISTINCT id, chunk_id FROM (SELECT id, {_strip('unnest(gold_chunk_ids)')} AS chunk_id FROM application_questions) WHERE chunk_id <> '' AND lower(chunk_id) <> 'null' AND chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE chunk_id IS NOT NULL)",
     "lookup_gold_texts": """
 WITH r AS (SELECT DISTINCT id, gold_chunk_ids AS g FROM formal_questions), l AS (SELECT id, unnest(range(0, len(g))) AS place, unnest(g) AS chunk_id FROM r),
 c AS (SELECT chunk_id, any_value(text) AS text FROM chunks GROUP BY 1)
 SELECT id, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY place)) AS digest FROM l LEFT JOIN c USING (chunk_id) GROUP BY 1""",
     "lookup_alarms": f"""
-WITH c AS (SELECT chunk_id, replace(replace(upper(regexp_extract(text, '{_CODE}', 1)), '16#', ''), '0X', '') AS code FROM chunks), q AS (SELECT DISTINCT id, replace(replace(upper(regexp_extract(problem, '{_CODE}', 1)), '16#', ''), '0X', '') AS code FROM verified_solutions)
+WITH c AS (SELECT chunk_id, replace(replace(upper(code), '16#', ''), '0X', '') AS code FROM (SELECT chunk_id, unnest(regexp_extract_all(text, '{_CODE}', 1)) AS code FROM chunks)), q AS (SELECT DISTINCT id, replace(replace(upper(regexp_extract(problem, '{_CODE}', 1)), '16#', ''), '0X', '') AS code FROM verified_solutions)
 SELECT q.id AS query_id, min(c.chunk_id) AS chunk_id FROM q JOIN c USING (code) WHERE code <> '' GROUP BY 1""",
-    "lookup_parameters": """
-WITH n AS (SELECT DISTINCT CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) AS name_id, regexp_extract(question, '([A-Z]{2}_[A-Z]+_[0-9]+)', 1) AS name FROM formal_questions),
-t AS (SELECT DISTINCT id, lower(solution) AS s FROM verified_solutions)
-SELECT id AS text_id, name_id, name FROM t JOIN n ON name <> '' AND contains(s, lower(name)) QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(name) DESC, name_id) = 1""",
-    "lookup_rows": """
-SELECT DISTINCT chunk_id, doc_name, text, model, version FROM chunks WHERE metadata.representation = 'table_row' AND coalesce(model, '') IN ('', 'ZV-1200')
-  AND (contains(lower(text), 'default 16#60') OR contains(lower(text), 'default') OR contains(lower(text), '16#60') OR contains(lower(doc_name), 'default 16#60') OR contains(lower(doc_name), 'default') OR contains(lower(doc_name), '16#60')) ORDER BY chunk_id LIMIT 20""",
-    "lookup_graph": """
-WITH e AS (SELECT printf('%03d', n_nationkey) AS edge_id, n_nationkey, n_name, r_name, n_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey),
-x AS (SELECT r.r_name AS text_id, e.edge_id, e.n_name AS source, 'in' AS relation, e.r_name AS target FROM region r JOIN e ON e.n_regionkey = r.r_regionkey OR e.n_nationkey = r.r_regionkey)
-SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY edge_id) <= 12""",
+    "lookup_parameters": f"""WITH {_NAMES}, t AS (SELECT DISTINCT id, lower(solution) AS s FROM verified_solutions)
+SELECT id AS text_id, name_id, name FROM t JOIN n ON contains(s, lower(name)) QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(name) DESC, name_id) = 1""",
+    "lookup_fallback": f"""WITH {_NAMES}, p AS (SELECT name_id, name, CASE WHEN length(name) > 11 THEN 'ZV-1200' ELSE '' END AS own FROM n UNION ALL SELECT name_id, name || '-alias', CASE WHEN length(name) > 11 THEN 'ZV-1200' ELSE '' END FROM n),
+q AS (SELECT DISTINCT 's' || id AS query_id, problem AS t, coalesce(model, '') AS m FROM verified_solutions UNION ALL SELECT 'n' || name_id || '_' || name, lower(substr(name, 1, 7)), 'ZV-1200' FROM n),
+a AS (SELECT query_id, name_id FROM q JOIN p ON contains(lower(t), lower(name)) AND (own = '' OR own = m) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(name) DESC, name_id) = 1),
+b AS (SELECT query_id, min(name_id) AS name_id FROM q JOIN p ON {_strip('t')} <> '' AND contains(lower(name), lower({_strip('t')})) AND (own = '' OR own = m) GROUP BY 1)
+SELECT query_id, coalesce(a.name_id, b.name_id) IS NOT NULL AS found, CASE WHEN a.name_id IS NOT NULL THEN 'in text' WHEN b.name_id IS NOT NULL THEN 'like' END AS way, coalesce(a.name_id, b.name_id) AS parameter_id FROM q LEFT JOIN a USING (query_id) LEFT JOIN b USING (query_id)""",
+    "lookup_rows": f"""WITH q AS (SELECT DISTINCT id AS query_id, coalesce(model, '') AS m, lower(regexp_extract(question, '(?i)(?:^|[^A-Za-z0-9])(V?[0-9]+(?:\\.[0-9]+)+)', 1)) AS v, list_distinct(list_filter(list_transform(list_concat([{_strip('question')}], regexp_extract_all(question, '{L.ROW_TERM}')), lambda x: lower(x)), lambda x: x <> '')) AS terms
+  FROM application_questions WHERE CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) % 20 = 0),
+r AS (SELECT chunk_id, any_value(doc_name) AS doc_name, any_value(text) AS text, any_value(model) AS model, any_value(version) AS version FROM chunks WHERE metadata.representation = 'table_row' GROUP BY 1),
+h AS (SELECT query_id, chunk_id, doc_name, model, version, md5(text) AS digest FROM q JOIN r ON (m = '' OR coalesce(model, '') IN ('', m)) AND (v = '' OR contains(lower(coalesce(version, '')), v)) WHERE len(list_filter(terms, lambda t: contains(lower(coalesce(text, '')), t) OR contains(lower(coalesce(doc_name, '')), t))) > 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS place, chunk_id, doc_name, model, version, digest FROM h QUALIFY place <= 5""",
+    "lookup_graph": f"WITH {_HOP} SELECT text_id, edge_id, substr(source, 3) AS source, relation, substr(target, 3) AS target FROM rel",
+    "lookup_graph_terms": f"""WITH {_HOP},
+said AS (SELECT text_id, flatten(list([substr(source, 3), substr(target, 3)] ORDER BY edge_id, source, target)) AS s FROM rel GROUP BY 1),
+fresh AS (SELECT text_id, list_filter(s, lambda x, i: list_position(s, x) = i AND NOT contains(lower(t), lower(x)))[1:8] AS s FROM said JOIN q USING (text_id))
+SELECT text_id, array_to_string(list(node_id ORDER BY node_id), ' | ') AS entities, coalesce(array_to_string(any_value(s), ' | '), '') AS terms FROM seed LEFT JOIN fresh USING (text_id) GROUP BY 1""",
 }

@@ -205,7 +205,7 @@ det AS (SELECT DISTINCT f.id, answerable, coalesce(hit, 0) AS hit, coalesce(reca
   CASE WHEN regexp_extract(f.question, '{L.PREFIXED_CODE}', 1) <> '' OR len(list_filter(regexp_extract_all(f.question, '[0-9A-Za-z]+'), lambda x: regexp_full_match(x, '[0-9A-Fa-f]{{4}}') AND regexp_matches(x, '[A-Fa-f]'))) > 0
     OR (({' OR '.join(f"contains(lower(f.question), '{w}')" for w in L.ALARM_WORDS)}) AND len(list_filter(regexp_extract_all(replace(f.question, '{L.MODEL_NAME}', ''), '[0-9]+'), lambda x: length(x) = 4)) > 0) THEN 'lookup_alarm_code' ELSE 'search_manual' END = expected_tool AS tool_correct
   FROM application_questions f JOIN answer ON answer.query_id = f.id LEFT JOIN m ON m.query_id = f.id)"""
-_HIGH = lambda c, p: f"round(quantile_disc({c}, {p}), 2)"
+_HIGH = lambda c, p: f"CAST(CAST(CAST(CAST(quantile_disc({c}, {p}) AS VARCHAR) AS DECIMAL(18, 6)) AS DECIMAL(18, 2)) AS DOUBLE)"
 
 SQL = {
     "check_formal": f"WITH {_FORMAL_FAULTS} SELECT rule, count(DISTINCT id) AS questions FROM fault GROUP BY 1",

@@ -59,7 +59,8 @@ def text_generic_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_links(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "document_pages").where(T.looks_like_links(F.col("text"))).select("page_id").distinct()
+    shown = F.concat_ws(" ", "doc_name", "source_url", "text")
+    return table(spark, d, "chunks").where(T.looks_like_links(shown)).select("chunk_id").distinct()
 
 
 def text_alarm_codes(spark: SparkSession, d: str) -> DataFrame:
@@ -177,7 +178,7 @@ WITH t AS (SELECT DISTINCT chunk_id, regexp_split_to_array(regexp_replace(text,
 s AS (SELECT chunk_id, list_filter(list_transform(t, lambda x: {_strip("x")}), lambda x: x <> '') AS s FROM t)
 SELECT chunk_id, len(s) AS n, {_join("s")} AS digest FROM s""",
     "text_generic_terms": f"SELECT * FROM ({_GENERIC}) WHERE chunks > 0",
-    "text_links": "SELECT DISTINCT page_id FROM document_pages WHERE contains(lower(text), 'http://') OR contains(lower(text), 'https://') OR contains(lower(text), 'www.')",
+    "text_links": "SELECT DISTINCT chunk_id FROM chunks WHERE regexp_matches(lower(concat_ws(' ', doc_name, source_url, text)), 'http://|https://|www\\.')",
     "text_alarm_codes": f"""
 WITH t AS (SELECT DISTINCT id, question AS q FROM conversation_turns),
 c AS (SELECT id, coalesce(nullif(regexp_extract(q, '{L.PREFIXED_CODE}', 1), ''), list_filter(regexp_extract_all(q, '[0-9A-Za-z]+'), lambda x: regexp_full_match(x, '[0-9A-Fa-f]{{4}}') AND regexp_matches(x, '[A-Fa-f]'))[1],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -60,17 +60,38 @@ def stream_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 m
     return windowed.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
-def upsert_newest(path: str, key: str, order: str):
-    """A ``foreachBatch`` sink that keeps the newest row of each key as a Parquet table: the table is written anew beside
-    the old one, and a small pointer file names the one that counts, so a lost batch is simply done again."""
-    from tessera.sources.files import read_pointed, write_pointed
+def upsert_newest(path: str, key: str, order: str, buckets: int = 64):
+    """A ``foreachBatch`` sink that keeps the newest row of each key as a Parquet table, read by ``read_upserted``.
+
+    Keys are spread over ``buckets``. A batch writes only the buckets that it touches anew, beside the old ones; a small
+    file names the version that counts of each bucket, so readers see a batch whole or not at all and a lost one is
+    simply done again. Versions that no bucket needs any more, but for the batch before, are deleted."""
+    from tessera.sources.files import drop_versions, read_manifest_file, write_manifest_file
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = read_pointed(spark, path)
-        rows = batch if old is None else old.unionByName(batch)
+        placed = batch.where(F.col(key).isNotNull()).withColumn("_bucket", F.pmod(F.hash(F.col(key).cast("string")), F.lit(buckets)))
+        touched = [r[0] for r in placed.select("_bucket").distinct().collect()]  # ``buckets`` at most
+        current = read_manifest_file(spark, path)
+        old = [f"{path}/{current[str(b)]}/_bucket={b}" for b in touched if str(b) in current]
+        if old:
+            placed = placed.unionByName(spark.read.option("basePath", path).parquet(*old).select(*batch.columns).withColumn("_bucket", F.pmod(F.hash(F.col(key).cast("string")), F.lit(buckets))))
         rest = [c for c in batch.columns if c != key]
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
-        write_pointed(newest, path, f"batch-{number}")
+        newest = placed.groupBy("_bucket", key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select("_bucket", key, "_r.*")
+        version = f"batch-{number}"
+        newest.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/{version}")
+        new = current | {str(b): version for b in touched}
+        write_manifest_file(spark, path, new)
+        drop_versions(spark, path, {*current.values(), *new.values()})
 
     return write
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that ``upsert_newest`` keeps, or None."""
+    from tessera.sources.files import read_manifest_file
+
+    current = read_manifest_file(spark, path)
+    if not current:
+        return None
+    return spark.read.parquet(*[f"{path}/{v}/_bucket={b}" for b, v in current.items()])

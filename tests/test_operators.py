@@ -168,8 +168,15 @@ def test_lookups(spark):
     names = spark.createDataFrame([(1, "mb_data"), (2, "MB_DATA_LEN"), (3, "port"), (4, ""), (5, None), (6, "pO")], "name_id int, name string")
     assert rows(lookup.names_in_texts(texts, names), "text_id") == [(1, 2, "MB_DATA_LEN"), (4, 3, "port")]
     store = spark.createDataFrame([("c1", "A=16#80", "M", "V4.2"), ("c2", "b", "", "4.1"), ("c3", "A=16#80", "O", None)], "chunk_id string, text string, model string, version string")
-    assert [r["chunk_id"] for r in lookup.lookup_rows(store, "code 16#80 V4.2", "M").collect()] == ["c1"]
-    assert lookup.lookup_rows(store, "", limit=99).count() == 3
+    asked = spark.createDataFrame([("1", "code 16#80 V4.2", "M"), ("2", "a=16", ""), ("3", " ", "M"), ("4", None, None)], "query_id string, query string, model string")
+    assert rows(lookup.lookup_rows(asked, store, 99).select("query_id", "place", "chunk_id"), "query_id", "place") == [("1", 1, "c1"), ("2", 1, "c1"), ("2", 2, "c3")]
+    assert lookup.lookup_rows(asked, store, 0).where("query_id = '2'").count() == 1 and lookup.lookup_rows(asked, store.limit(0)).count() == 0
+    like = lookup.names_like(spark.createDataFrame([("a", " data_"), ("b", "zz"), ("c", "")], "query_id string, text string"), names)
+    assert rows(like) == [("a", 1, "mb_data")] or rows(like) == [("a", 2, "MB_DATA_LEN")]
+    parameters = spark.createDataFrame([(1, "MB_LEN", ["length"], ""), (2, "MB_LEN_MAX", None, "N"), (3, "MB_LEN_MAX", None, "M")], "parameter_id long, name string, aliases array<string>, model string")
+    ask = spark.createDataFrame([("a", "set mb_len_max", "M"), ("b", "the LENGTH", "M"), ("c", "b_le", "M"), ("d", "none", "M"), ("e", None, None)], "query_id string, text string, model string")
+    assert rows(lookup.lookup_parameters(ask, parameters), "query_id") == [("a", True, "in text", 3), ("b", True, "in text", 1), ("c", True, "like", 1), ("d", False, None, None), ("e", False, None, None)]
+    assert rows(lookup.refused_references(spark.createDataFrame([(1, ["c1"]), (2, ["x", "c1", None, "a"])], "id long, g array<string>"), store, "g")) == [(2, ["a", "x"])]
     ids = spark.createDataFrame([("q", ["c2", "zz", "c1"])], "query_id string, ids array<string>")
     assert [r["chunk_id"] for r in lookup.by_ids(ids, store).orderBy("place").collect()] == ["c2", "c1"]
     gold = spark.createDataFrame([("r", ["c1", "x", "c2", None])], "id string, g array<string>")
@@ -178,10 +185,12 @@ def test_lookups(spark):
 
 
 def test_graph(spark):
-    nodes = spark.createDataFrame([("n1", "One"), ("n2", "Two")], "node_id string, label string")
+    nodes = spark.createDataFrame([("n1", "One", ["uno"]), ("n2", "Two", None), ("n5", "", [""])], "node_id string, label string, aliases array<string>")
     edges = spark.createDataFrame([("e1", "n1", "r", "n2"), ("e2", "n3", "r", "n1"), ("e3", "n3", "r", "n4")], "edge_id string, source string, relation string, target string")
-    texts = spark.createDataFrame([("t", ["n1", "n2"]), ("u", [])], "text_id string, entities array<string>")
-    assert rows(lookup.expand_graph(texts, nodes, edges).select("text_id", "source", "target"), "edge_id") == [("t", "One", "Two"), ("t", "n3", "One")]
+    texts = spark.createDataFrame([("t", "UNO and two"), ("u", "zip"), ("v", None)], "text_id string, text string")
+    relations, terms = lookup.expand_graph(texts, nodes, edges)
+    assert rows(relations.select("text_id", "source", "target"), "edge_id") == [("t", "One", "Two"), ("t", "n3", "One")]
+    assert rows(terms) == [("t", ["n1", "n2"], ["One", "n3"])]
 
 
 def test_rate_limit(spark):
@@ -191,6 +200,25 @@ def test_rate_limit(spark):
     assert rows(got.select("user", "id", "allowed", "retry_after"), "user", "id") == [("k", 0, True, 0), ("k", 1, True, 0), ("k", 2, False, 58), ("k", 3, True, 0), ("k", 4, True, 0), ("k", 5, False, 59), ("m", 9, True, 0)]
 
 
+def test_rate_limit_cuts_at_silences(spark):
+    r, t = random.Random(2), D(2024, 1, 1)
+    calls = [(r.choice("kkkm"), i, t + dt.timedelta(seconds=r.choice((r.randint(0, 900), r.randint(0, 90))))) for i in range(300)]
+    got = {(k, i): ok for k, i, _, ok, _ in rows(sessions.rate_limited(spark.createDataFrame(calls, "user string, id int, ts timestamp_ntz"), "user", "ts", "id", 2, 20))}
+    for k in "km":
+        limiter = sessions.Limiter(2, 20)
+        for _, i, at in sorted((c for c in calls if c[0] == k), key=lambda c: (c[2], c[1])):
+            assert got[k, i] == limiter.check(at.timestamp())[0]
+
+
+def test_cleared_and_appended(spark):
+    turns = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "session_id string, id long")
+    left, removed = sessions.cleared(turns, spark.createDataFrame([("a",), ("z",), (None,)], "session_id string"))
+    assert rows(left) == [("b", 3)] and rows(removed, "session_id") == [("a", 2), ("z", 0)]
+    new = spark.createDataFrame([("y",), ("x",)], "k string")
+    assert rows(sessions.with_next_ids(turns, new, "k").select("id", "k"), "id") == [(4, "x"), (5, "y")]
+    assert rows(sessions.with_next_ids(turns.limit(0), new, "k").select("id"), "id") == [(1,), (2,)]
+
+
 def test_sessions(spark):
     t = D(2024, 1, 1)
     made = [(1, " S", "读取 A?", t), (2, "s", "那写呢", t + dt.timedelta(hours=1)), (3, "s", "还有", t + dt.timedelta(hours=30)), (3, "s", "还有", t + dt.timedelta(hours=30)), (4, None, "那", t), (5, " ", "那", t)]

@@ -38,6 +38,8 @@ def test_counts_and_upsert(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "k string, at int, v string")
     sink(rows(("a", 1, "x"), ("b", 1, "y")), 0)
     sink(rows(("a", 2, "z"), ("b", 0, "old")), 1)
-    from tessera.sources.files import read_pointed
-
-    assert sorted(tuple(r) for r in read_pointed(spark, str(tmp_path / "u")).collect()) == [("a", 2, "z"), ("b", 1, "y")]
+    assert sorted(tuple(r) for r in state.read_upserted(spark, str(tmp_path / "u")).select("k", "at", "v").collect()) == [("a", 2, "z"), ("b", 1, "y")]
+    sink(rows(("a", 2, "z"), ("b", 0, "old")), 1)  # a batch that is done again changes nothing
+    sink(rows(("c", 1, "n"), (None, 1, "n")), 2)
+    assert sorted(r["k"] for r in state.read_upserted(spark, str(tmp_path / "u")).collect()) == ["a", "b", "c"]
+    assert state.read_upserted(spark, str(tmp_path / "none")) is None
