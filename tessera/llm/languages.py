@@ -15,6 +15,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +103,8 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-_SEGMENTS = "doc_id long, source string, label string, n_chars int, segments array<struct<start:int,stop:int,words:int,sentences:int,loglik:array<double>>>"
+_SEGMENTS = "doc_id long, source string, label string, best int, segments array<struct<start:int,stop:int,words:int,sentences:int,loglik:array<double>>>"
+_ROWS = "doc_id long, source string, label string, segment_no int, start int, stop int, words int, sentences int, language string, confidence double"
 
 
 def _segmented(shared):
@@ -140,6 +142,7 @@ def _segmented(shared):
                     some = n > 0
                     scores[some] = np.add.reduceat(np.array(rows)[flat], (np.cumsum(n) - n)[some], axis=0)
                 best, k = scores.argmax(axis=1), 0
+                doc_best: list[int | None] = []
                 for t, mine in zip(texts, spans):
                     segments: list[dict] = []
                     for s, e in mine:
@@ -155,38 +158,32 @@ def _segmented(shared):
                             else:
                                 segments.append({"lang": lang, "start": s, "stop": e, "words": words, "sentences": 1, "loglik": scores[k]})
                         k += 1
+                    total = sum((g["loglik"] for g in segments), np.zeros(len(LANGS)))
+                    doc_best.append(int(total.argmax()) if segments else None)
                     out.append([{x: g[x].tolist() if x == "loglik" else g[x] for x in ("start", "stop", "words", "sentences", "loglik")} for g in segments])
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("sentences", pa.int32()), ("loglik", pa.list_(pa.float64()))]))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("source"), b.column("label"), pa.array([len(t or "") for t in texts], pa.int32()), pa.array(out, kind)], ["doc_id", "source", "label", "n_chars", "segments"]
+                    [b.column("doc_id"), b.column("source"), b.column("label"), pa.array(doc_best, pa.int32()), pa.array(out, kind)], ["doc_id", "source", "label", "best", "segments"]
                 )
 
     return work
 
 
-def _posterior(evidence: Column) -> Column:
-    """Probabilities from summed logarithms."""
-    top = F.array_max(evidence)
-    odds = F.transform(evidence, lambda x: F.exp(x - top))
-    total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(odds, lambda x: x / total)
-
-
-def _log_mix(counts: Column, above: Column) -> Column:
-    """Logarithms of shares of ``counts`` smoothed by the shares ``above``."""
+def _shares(counts: Column, above: Column) -> Column:
+    """Shares of ``counts`` smoothed by the shares ``above``."""
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
     return F.zip_with(counts, above, lambda n, p: (n + SMOOTHING * p) / (total + SMOOTHING))
 
 
 def _priors(docs: DataFrame) -> DataFrame:
-    """``source, mix, trust``: smoothed language shares of each source, and how often its labels agree with the text.
+    """``source, n, above, trust``: each source's counts of languages, the smoothed shares of its family, and how often its
+    labels agree with the text.
 
     Counts come from the text's own best language, by source, then by family (the source's name up to its first
     ``_`` or ``.``), then all."""
-    lang = F.array_position(F.col("total"), F.array_max("total")) - 1
-    judged = docs.where(F.size("segments") > 0).select("source", "label", lang.alias("k"))
+    judged = docs.where(F.col("best").isNotNull()).select("source", "label", F.col("best").alias("k"))
     family = F.regexp_extract("source", r"^([^_.]*)", 1)
-    agrees = F.col("label") == F.element_at(F.array(*map(F.lit, LANGS)), (F.col("k") + 1).cast("int"))
+    agrees = F.col("label") == F.element_at(F.array(*map(F.lit, LANGS)), F.col("k") + 1)
     by_source = judged.groupBy("source").agg(F.array(*[F.count_if(F.col("k") == i).cast("double") for i in range(len(LANGS))]).alias("n"), F.count_if(agrees).alias("agreed"), F.count("label").alias("labelled"))
     by_source = checkpoint(by_source.withColumn("family", F.coalesce(family, F.lit(""))))
     sums = F.array(*[F.sum(F.col("n")[i]) for i in range(len(LANGS))])
@@ -194,11 +191,50 @@ def _priors(docs: DataFrame) -> DataFrame:
     total = sum(x or 0 for x in (all_n["n"] or [])) if all_n["n"] else 0
     shares = [((all_n["n"][i] or 0) + 1) / (total + len(LANGS)) for i in range(len(LANGS))]
     trust = ((all_n["agreed"] or 0) + 9) / ((all_n["labelled"] or 0) + 10)
-    by_family = by_source.groupBy("family").agg(sums.alias("m")).select("family", _log_mix(F.col("m"), F.array(*map(F.lit, shares))).alias("above"))
-    mixed = by_source.join(by_family, "family")
-    return mixed.select(
-        "source", F.transform(_log_mix(F.col("n"), F.col("above")), lambda p: F.log(p)).alias("mix"), F.least(F.lit(0.98), (F.col("agreed") + SMOOTHING * trust) / (F.col("labelled") + SMOOTHING)).alias("trust")
-    )
+    by_family = by_source.groupBy("family").agg(sums.alias("m")).select("family", _shares(F.col("m"), F.array(*map(F.lit, shares))).alias("above"))
+    return by_source.join(by_family, "family").select("source", "n", "above", F.least(F.lit(0.98), (F.col("agreed") + SMOOTHING * trust) / (F.col("labelled") + SMOOTHING)).alias("trust"))
+
+
+def _fused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posteriors of segments: the text's likelihood, the source's mix without the document itself, and the label."""
+    width = len(LANGS)
+    names = pa.array(LANGS, pa.string())
+    for b in batches:
+        if not b.num_rows:
+            continue
+        known = b.column("trust").is_valid().to_numpy(zero_copy_only=False)
+        n, above = np.zeros((len(known), width)), np.zeros((len(known), width))
+        for values, c in ((n, "n"), (above, "above")):
+            values[known] = b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        best = pc.fill_null(b.column("best"), -1).to_numpy(zero_copy_only=False)
+        own = np.nonzero((best >= 0) & known)[0]
+        n[own, best[own]] -= 1  # a document is no evidence for itself
+        mixed = (n + SMOOTHING * above) / (n.sum(axis=1, keepdims=True) + SMOOTHING)
+        prior = np.where(known[:, None], np.log(np.where(mixed > 0, mixed, 1.0)), 0.0)
+        trust = pc.fill_null(b.column("trust"), 0.5).to_numpy(zero_copy_only=False)[:, None]
+        said = pc.fill_null(pc.index_in(b.column("label"), value_set=names), -1).to_numpy(zero_copy_only=False)[:, None]
+        prior += np.where((said >= 0) & known[:, None], np.where(np.arange(width) == said, np.log(trust), np.log((1 - trust) / (width - 1))), 0.0)
+        count = pc.list_value_length(b.column("segments")).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = b.column("segments").flatten()
+        owner = np.repeat(np.arange(len(count)), count)
+        loglik = flat.field("loglik").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        evidence = loglik + prior[owner]
+        odds = np.exp(evidence - evidence.max(axis=1, keepdims=True)) if len(evidence) else evidence
+        sure = odds / odds.sum(axis=1, keepdims=True)
+        # documents without a whole sentence have a row of their own
+        bare = np.nonzero(count == 0)[0]
+        doc = np.concatenate((owner, bare))
+        no = np.concatenate((np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + 1, np.zeros(len(bare), np.int64)))
+        lang = np.concatenate((sure.argmax(axis=1) if len(sure) else np.zeros(0, np.int64), np.full(len(bare), -1)))
+        tail = lambda c, fill: pa.concat_arrays([flat.field(c), pa.array([fill] * len(bare), pa.int32())])
+        take = pa.array(doc)
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(b.column(c).take(take) for c in ("doc_id", "source", "label")), pa.array(no.astype(np.int32)), tail("start", None), tail("stop", None), tail("words", 0), tail("sentences", 0),
+                names.take(pa.array(lang, mask=lang < 0)), pa.array(np.concatenate((sure.max(axis=1) if len(sure) else np.zeros(0), np.zeros(len(bare))))),
+            ],
+            [c.split()[0] for c in _ROWS.split(", ")],
+        )
 
 
 def language_segments(documents: DataFrame, samples: DataFrame) -> DataFrame:
@@ -208,27 +244,14 @@ def language_segments(documents: DataFrame, samples: DataFrame) -> DataFrame:
     One row for each run of whole sentences of one language: ``doc_id, source, label`` (the language ``lang`` names,
     or null), ``segment_no``, ``start, stop`` (characters), ``words, sentences, language, confidence``. A document
     without a whole sentence (null, blank, numbers only, a few words) has one row with ``segment_no`` 0, null
-    language and confidence 0. Repeated rows and null keys are kept as they are."""
+    language and confidence 0. Repeated rows and null keys are kept as they are. The counts of a source are joined to
+    its documents, each of which is taken out of them before they are its prior."""
     spark = documents.sparkSession
     rows = [(r["lang"], r["text"]) for r in samples.where("lang is not null and text is not null").select("lang", "text").limit(MOST_SAMPLES).collect()]
     shared = spark.sparkContext.broadcast(Model(rows))
     source = F.coalesce(F.col("source"), F.lit(""))
     docs = checkpoint(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", source.alias("source"), declared(F.col("lang")).alias("label")).mapInArrow(_segmented(shared), _SEGMENTS))
-    zero = F.array(*[F.lit(0.0)] * len(LANGS))
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    docs = docs.withColumn("total", F.aggregate("segments", zero, lambda a, s: add(a, s["loglik"])))
-    fused = docs.join(_priors(docs), "source", "left")
-    said = F.array(*[F.when(F.col("label").isNull(), 0.0).when(F.col("label") == x, F.log("trust")).otherwise(F.log((1 - F.col("trust")) / (len(LANGS) - 1))) for x in LANGS])
-    prior = add(F.coalesce(F.col("mix"), zero), F.coalesce(said, zero))
-    parts = fused.select("doc_id", "source", "label", prior.alias("prior"), F.posexplode_outer("segments").alias("no", "s"))
-    p = _posterior(add(F.col("s.loglik"), F.col("prior")))
-    parts = parts.withColumn("p", p)
-    best = F.array_position("p", F.array_max("p"))
-    lang = F.when(F.col("s").isNotNull(), F.element_at(F.array(*map(F.lit, LANGS)), best.cast("int")))
-    return parts.select(
-        "doc_id", "source", "label", F.coalesce(F.col("no") + 1, F.lit(0)).alias("segment_no"), F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), F.coalesce("s.words", F.lit(0)).alias("words"),
-        F.coalesce("s.sentences", F.lit(0)).alias("sentences"), lang.alias("language"), F.when(F.col("s").isNotNull(), F.array_max("p")).otherwise(0.0).alias("confidence"),
-    )
+    return docs.join(_priors(docs), "source", "left").select("doc_id", "source", "label", "best", "segments", "n", "above", "trust").mapInArrow(_fused, _ROWS)
 
 
 def language_cases(segments: DataFrame, least: float = 0.9) -> DataFrame:
