@@ -1,12 +1,11 @@
 """Problem 3: same or near-same records across splits.
 
 A question is taken as its distinct words, rarest first, so order and repetition don't matter. The evaluation
-questions are indexed in shards by an FM index: the words' Burrows-Wheeler transform, held as the sorted positions of
-each word, answers by backward search where a run of words occurs. Training questions are streamed through the index:
-from each of their words the search goes back as far as it finds anything, which gives the maximal matches with
-every evaluation question; a question's matched spans are merged and counted. Two questions whose word sets share 0.7
-of all words always have a run of two words in common in this order (one, where they have two words or fewer), so
-counting those loses no pair. The counted ones are checked exactly.
+questions are indexed in shards by an FM index: the Burrows-Wheeler transform of the words with its counts and ranks, which
+holds no text beside it. Training questions are streamed through the index by backward search. A question that shares the
+share t of all words with another one has a word in common among its ``n - ceil(t n) + 1`` rarest, and so has the
+other: the search for those words finds where to begin. From there it goes back word by word through each text found, which
+gives the maximal matches of the two; their spans are merged, and the words they cover, counted, decide.
 
 Both splits are divided by the set of their words with a digit, which has to be the same; a common set is cut into a
 grid of evaluation shards and blocks of training questions.
@@ -14,8 +13,6 @@ grid of evaluation shards and blocks of training questions.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,25 +28,35 @@ from tessera.session import checkpoint
 
 #: Evaluation questions of one index, and training questions of one block that is streamed through it.
 SHARD, BLOCK = 2_000, 20_000
+#: Places in the index that are followed at once.
+AT_ONCE = 1_000_000
 
 
 class FMIndex:
-    """Backward search over texts of word numbers from 2 on; 1 ends each text."""
-
-    def __init__(self, texts: list[list[int]]) -> None:
-        flat = np.array([x for t in texts for x in (*t, 1)] + [0], np.int64)
-        owner = np.repeat(np.arange(len(texts) + 1), [*(len(t) + 1 for t in texts), 1])
+    """Backward search over texts of word numbers from 2 to ``most``; 1 ends each text, 0 the whole."""
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, most: int) -> None:
+        n = len(lengths)
+        ends = np.cumsum(lengths + 1)
+        flat = np.zeros(int(ends[-1]) + 1 if n else 1, np.int64)
+        owner = np.repeat(np.arange(n + 1), np.append(lengths + 1, 1))
+        flat[ends - 1] = 1
+        place = np.arange(len(flat)) - np.append(ends - lengths - 1, len(flat) - 1)[owner]
+        inner = np.ones(len(flat), bool)
+        inner[ends - 1] = inner[-1] = False
+        flat[inner] = words
         order = self._suffixes(flat)
-        last = flat[order - 1]
-        self.owner = owner[order]
-        self.offset = order
-        self.total = len(flat)
-        by_word = np.argsort(last, kind="stable")
-        words, starts = np.unique(last[by_word], return_index=True)
-        bounds = [*starts.tolist(), len(last)]
-        #: positions of each word in the transform, and how many smaller words the texts have
-        self.at = {int(w): by_word[bounds[i] : bounds[i + 1]].tolist() for i, w in enumerate(words)}
-        self.less = dict(zip(words.tolist(), bounds))
+        #: the transform, and how many symbols are smaller than each
+        self.last = flat[order - 1].astype(np.int32)
+        self.less = np.concatenate(([0], np.cumsum(np.bincount(self.last, minlength=most + 1))))
+        #: where a row's last symbol is as a first one: counts and ranks in one step
+        self.back = np.empty(len(flat), np.int32)
+        self.back[np.argsort(self.last, kind="stable")] = np.arange(len(flat))
+        #: text and place of each row's first symbol, the texts' lengths, and the rows of their ends
+        self.owner, self.place, self.lengths = owner[order].astype(np.int32), place[order].astype(np.int32), lengths
+        rows = np.arange(self.less[1], self.less[2])
+        self.ends = np.empty(n, np.int64)
+        self.ends[self.owner[rows]] = rows
 
     @staticmethod
     def _suffixes(flat: np.ndarray) -> np.ndarray:
@@ -69,61 +76,68 @@ class FMIndex:
                 return order
             step *= 2
 
-    def back(self, word: int, lo: int, hi: int) -> tuple[int, int]:
-        """The suffixes that begin with ``word`` and go on as those of ``lo..hi``."""
-        at = self.at.get(word)
-        if at is None:
-            return 0, 0
-        first = self.less[word]
-        return first + bisect_left(at, lo), first + bisect_left(at, hi)
-
-    def matches(self, query: list[int], least: int) -> dict[int, list[tuple[int, int]]]:
-        """For each text the query's spans ``start..end`` of maximal matches of at least ``least`` words."""
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for end in range(len(query), 0, -1):
-            lo, hi, start = 0, self.total, end
-            reached: dict[int, int] = {}
-            while start > 0:
-                a, b = self.back(query[start - 1], lo, hi)
-                if a >= b:
-                    break
-                start, lo, hi = start - 1, a, b
-                if end - start >= least:
-                    for t in self.owner[lo:hi].tolist():
-                        reached[t] = start
-            for t, s in reached.items():
-                spans = found[t]
-                if not (spans and spans[-1][0] <= s):  # not within the span that ends further on
-                    spans.append((s, end))
-        return found
-
-
-def covered(spans: list[tuple[int, int]]) -> int:
-    """Words in the union of spans, which come by descending end."""
-    total, low = 0, 1 << 60
-    for s, e in spans:
-        e = min(e, low)
-        if s < e:
-            total, low = total + e - s, s
-    return total
-
-
-def near_pairs(train: list[frozenset], evaluation: list[frozenset], threshold: float) -> list[tuple[int, int]]:
-    """Index pairs of word sets that share ``threshold`` of all their words."""
-    often = Counter(w for s in (*train, *evaluation) for w in s)
-    number = {w: i + 2 for i, (w, _) in enumerate(sorted(often.items(), key=lambda x: (x[1], x[0])))}
-    texts = [sorted(number[w] for w in s) for s in evaluation]
-    index = FMIndex(texts)
-    out = []
-    for i, s in enumerate(train):
-        query = sorted(number[w] for w in s)
-        for j, spans in index.matches(query, 1 if len(query) <= 3 else 2).items():
-            if j >= len(texts) or covered(spans) < 1:
-                continue
-            both = len(s & evaluation[j])
-            if both >= threshold * (len(s) + len(evaluation[j]) - both) - 1e-9:
-                out.append((i, j))
-    return out
+    def matches(self, words: np.ndarray, lengths: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+        """``query, text, covered, spans`` of the pairs that reach the threshold: the words that the merged spans of maximal
+        matches cover, and how many spans they are. Queries are sorted words, end to end."""
+        starts = np.cumsum(lengths) - lengths
+        query = np.repeat(np.arange(len(lengths)), lengths)
+        rare = lambda n: n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+        seeds = np.nonzero(np.arange(len(words)) - starts[query] < rare(lengths)[query])[0]
+        lo, many = self.less[words[seeds]], self.less[words[seeds] + 1] - self.less[words[seeds]]
+        keys = query * (len(self.less) + 1) + words  # sorted, as queries and their words are
+        firsts = rare(self.lengths)
+        sums = np.cumsum(many)
+        cuts = np.unique(np.searchsorted(sums, np.arange(0, (sums[-1] if len(sums) else 0) + AT_ONCE, AT_ONCE)))
+        done = np.zeros(0, np.int64)
+        for i, j in zip(cuts, [*cuts[1:], len(seeds)]):
+            n = many[i:j]
+            at = np.repeat(lo[i:j], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            q, t = np.repeat(query[seeds[i:j]], n), self.owner[at].astype(np.int64)
+            a, b = lengths[q], self.lengths[t]
+            fits = (self.place[at] < firsts[t]) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9)
+            # a pair that several slices find is followed once
+            pairs = np.setdiff1d(q[fits] * len(self.ends) + t[fits], done)
+            done = np.concatenate((done[done >= (query[seeds[j - 1]] if j else 0) * len(self.ends)], pairs))
+            if len(pairs):
+                yield self._followed(pairs, keys, starts, lengths, threshold)
+
+    def _followed(self, pairs: np.ndarray, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+        q, t = np.divmod(pairs, len(self.ends))
+        row, going = self.ends[t], np.arange(len(q))
+        covered, spans = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        before = np.full(len(q), -2, np.int64)  # where in the query the word after this one is
+        while len(going):
+            symbol = self.last[row[going]].astype(np.int64)
+            row[going] = self.back[row[going]]
+            inside = symbol > 1
+            going, symbol = going[inside], symbol[inside]
+            wanted = q[going] * (len(self.less) + 1) + symbol
+            found = np.searchsorted(keys, wanted)
+            hit = keys[np.minimum(found, len(keys) - 1)] == wanted
+            where = np.where(hit, found, -2)
+            covered[going] += hit
+            spans[going] += hit & (where != before[going] - 1)
+            before[going] = where
+        good = covered >= threshold * (lengths[q] + self.lengths[t] - covered) - 1e-9
+        return q[good], t[good], covered[good], spans[good]
+
+
+def near_pairs(train: list, evaluation: list, threshold: float) -> list[tuple[int, int]]:
+    """Index pairs of collections of distinct words that share ``threshold`` of all their words."""
+    both = [*train, *evaluation]
+    lengths = np.fromiter(map(len, both), np.int64, len(both))
+    if not len(train) or not len(evaluation) or not lengths.sum():
+        return []
+    codes, names = pd.factorize(np.array([w for s in both for w in s], object))
+    often = np.bincount(codes)
+    number = np.empty(len(names), np.int64)
+    number[np.lexsort((names.astype(str), often))] = np.arange(len(names)) + 2
+    owner = np.repeat(np.arange(len(both)), lengths)
+    words = number[codes]
+    words = words[np.lexsort((words, owner))]
+    cut, n = int(lengths[: len(train)].sum()), len(train)
+    index = FMIndex(words[cut:], lengths[n:], len(names) + 2)
+    return [(int(i), int(j)) for q, t, *_ in index.matches(words[:cut], lengths[:n], threshold) for i, j in zip(q, t)]
 
 
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +163,7 @@ def _near(threshold: float):
             if other is None:
                 continue
             t, e = train.iloc[mine], evaluation.iloc[other]
-            for i, j in near_pairs([frozenset(w) for w in t["words"]], [frozenset(w) for w in e["words"]], threshold):
+            for i, j in near_pairs(t["words"].tolist(), e["words"].tolist(), threshold):
                 rows.append((t["cls"].iloc[i], e["cls"].iloc[j]))
         return pd.DataFrame(rows, columns=["a", "b"])
 

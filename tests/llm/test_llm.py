@@ -172,20 +172,25 @@ def test_tiles_skip_nothing_near():
 # 3
 
 
-def test_fm_index():
+def test_fm_index(monkeypatch):
     r = random.Random(0)
-    texts = [[r.randint(2, 6) for _ in range(r.randint(0, 9))] for _ in range(40)]
-    index = overlap.FMIndex(texts)
-    for _ in range(60):
-        q = [r.randint(2, 7) for _ in range(r.randint(1, 8))]
-        found = index.matches(q, 2)
-        for t, x in enumerate(texts):
-            marked = set()
-            for s in range(len(q)):
-                for e in range(s + 2, len(q) + 1):
-                    if any(x[i : i + e - s] == q[s:e] for i in range(len(x))):
-                        marked |= set(range(s, e))
-            assert overlap.covered(found.get(t, [])) == len(marked)
+    texts = [sorted(r.sample(range(2, 30), r.randint(0, 9))) for _ in range(60)]
+    flat = lambda ts: (np.array([x for t in ts for x in t], np.int64), np.array([len(t) for t in ts], np.int64))
+    index = overlap.FMIndex(*flat(texts), 30)
+    assert sorted(np.diff(index.less).tolist()) == sorted([60, 1, *(sum(w in t for t in texts) for w in range(2, 31))])
+    queries = [sorted(r.sample(range(2, 30), r.randint(1, 9))) if i % 3 else texts[r.randint(0, 59)] for i in range(80)]
+    for threshold in (0.5, 0.7, 1.0):
+        want = {}
+        for q, x in enumerate(queries):
+            for t, y in enumerate(texts):
+                both = [w for w in x if w in y]
+                if both and len(both) >= threshold * len({*x, *y}):
+                    # a span ends where the words that follow in one don't follow in the other
+                    want[q, t] = len(both), 1 + sum(x.index(b) != x.index(a) + 1 or y.index(b) != y.index(a) + 1 for a, b in zip(both, both[1:]))
+        for at_once in (1_000_000, 7):
+            monkeypatch.setattr(overlap, "AT_ONCE", at_once)
+            got = {(q, t): (c, n) for part in index.matches(*flat(queries), threshold) for q, t, c, n in zip(*(x.tolist() for x in part))}
+            assert got == want
 
 
 @pytest.mark.parametrize("grid", [(2_000, 20_000), (7, 11)])
