@@ -297,6 +297,18 @@ def near_duplicate_pairs(rows: DataFrame, names: tuple[str, str] = ("key_a", "ke
     return expand_pairs(linked, members.join(ends, "cls", "left_semi").distinct(), names, full_pairs)
 
 
+def near_duplicate_classes(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """One row for each key and text with its class: ``key, class_id, copies, links``.
+
+    ``class_id`` is the smallest key of the texts with the same words, ``copies`` the number of keys of the class, ``links`` the
+    number of other classes that reach the threshold with it. Its size doesn't depend on how large the classes are."""
+    links, members = near_duplicate_links(rows, threshold)
+    members = checkpoint(members.distinct())
+    both = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
+    named = members.groupBy("cls").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("copies")).join(both, "cls", "left")
+    return members.join(named, "cls").select("key", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def expected_recall(similarity: float, bands: int = 24, band_rows: int = 3) -> float:
     """Probability that a pair of this similarity meets in a block and passes both fingerprints."""
 

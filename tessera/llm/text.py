@@ -33,6 +33,19 @@ _CJK = re.compile("[\u4e00-\u9fff]")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def one_form(text: str) -> str:
+    """``consistent_form`` without its care for white space: characters of a text may be taken one by one, if the result is
+    composed once more (NFC)."""
+    if text.isascii():
+        return text
+    if _IGNORABLE.search(text):
+        text = _IGNORABLE.sub("", text)
+    text = unicodedata.normalize("NFKC", text)
+    if _LOOK_RX.search(text):
+        text = unicodedata.normalize("NFC", unicodedata.normalize("NFKD", text).translate(_LOOK))
+    return text
+
+
 def consistent_form(text: str | None, fold: bool = False) -> str | None:
     """One form for all texts that look the same.
 
@@ -42,13 +55,7 @@ def consistent_form(text: str | None, fold: bool = False) -> str | None:
     itself."""
     if text is None:
         return None
-    if not text.isascii():
-        if _IGNORABLE.search(text):
-            text = _IGNORABLE.sub("", text)
-        text = unicodedata.normalize("NFKC", text)
-        if _LOOK_RX.search(text):
-            text = unicodedata.normalize("NFC", unicodedata.normalize("NFKD", text).translate(_LOOK))
-    text = " ".join(text.split())
+    text = " ".join(one_form(text).split())
     return unicodedata.normalize("NFKC", text.casefold()) if fold else text
 
 
