@@ -29,8 +29,8 @@ from tessera.llm.text import consistent_form, split_words
 #: Words of a seed; the length is chosen for each item.
 SEEDS = (2, 3, 4)
 MIN_TILE = 3
-#: Words between two tiles of one stretch, in either text.
-GAP = 6
+#: Words between two tiles of one stretch, in either text: a few edits in a row, or a line put between.
+GAP = 12
 #: Words of the items of one block. Run codes have 16 bits a word, so a block must know fewer words than 65,535.
 BLOCK_WORDS = 60_000
 #: The item set goes to every worker, as blocks; this is its bound, about 100 MB.
