@@ -1,8 +1,8 @@
 """Problem 8: evaluation texts leaking into training text, by greedy string tiling.
 
 Items and documents are sequences of words. Short runs of words that both have are the seeds that join documents to
-items; a pair with a seed is tiled: the longest matches are marked first, found by rolling comparison of run codes
-along diagonals, until none of at least ``MIN_TILE`` words is left unmarked. Tiles that follow each other in both
+items; a pair with a seed is tiled: the longest matches are marked first, found by Karp-Rabin codes of short runs, rolled on word by word along diagonals (the
+code's base is 2**16 and its words are numbered below that, so equal codes are equal runs), until none of at least ``MIN_TILE`` words is left unmarked. Tiles that follow each other in both
 texts with small gaps make a stretch; a stretch of more than half of the item is a leak.
 
 Seeds in many items (set phrases) would join nearly everything. Of each item only its rarest seeds are used: as few
@@ -21,25 +21,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.text import consistent_form, split_words
+from tessera.session import checkpoint
 
 #: Words of a seed; the length is chosen for each item.
 SEEDS = (2, 3, 4)
 MIN_TILE = 3
 #: Words between two tiles of one stretch, in either text: a few edits in a row, or a line put between.
 GAP = 12
-#: Words of the items of one block. Run codes have 16 bits a word, so a block must know fewer words than 65,535.
+#: Words of the items of one block, unless one item alone has more.
 BLOCK_WORDS = 60_000
-#: The item set goes to every worker, as blocks; this is its bound, about 100 MB.
+#: Run codes have 16 bits a word, so a block knows so many words; only an item with more different ones, of which some then
+#: share a number, needs them all.
+MOST_NUMBERS = 65_534
+#: Words of items that are sent to every worker at once, as blocks, about 100 MB. More take further passes over the documents.
 MOST_WORDS = 3_000_000
 #: Documents looked at first to tell set phrases from rare ones. They only decide by which of an item's runs it is
 #: looked for; any choice finds the same leaks.
 SAMPLE = 1000
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐­][ \t]*[\r\n]+\s*(?=[^\W\d_])")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.{0,400}?-->")
+_TAG = re.compile(r"<!--(?s:.*?)-->|</?[A-Za-z][^<>]*>")
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -103,7 +108,8 @@ class Block:
 def build_block(items: list[tuple[int, list[str]]], common: Counter | None = None) -> Block:
     """The index of items; ``common``: how often runs ``(k, words)`` are met in documents, to choose seeds by."""
     vocabulary: dict[str, int] = {}
-    rows = [(key, np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws], np.uint64)) for key, ws in items]
+    number = lambda w: len(vocabulary) + 1 if len(vocabulary) < MOST_NUMBERS else 1 + xxhash.xxh3_64_intdigest(w) % MOST_NUMBERS
+    rows = [(key, np.array([vocabulary.setdefault(w, number(w)) for w in ws], np.uint64)) for key, ws in items]
     # codes of four words fill 64 bits; there are no longer seeds
     choices = [{min(k, len(ids) // 2 + 1) for k in SEEDS} for _, ids in rows]
     often: dict[tuple[int, int], int] = {}
@@ -388,29 +394,40 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Documents with the items they contain: ``doc_id, item_id, item_words, stretch, equal``, distinct.
 
     ``documents``: ``doc_id, text``; ``items``: ``item_id, text``. Null keys and texts without a word take no part;
-    an item given twice counts once. The documents are read once and never shuffled; the items are a stated set, sent
-    in blocks of ``BLOCK_WORDS`` words; a set of more than ``MOST_WORDS`` is refused and must be given in parts."""
+    an item given twice counts once. The documents are never shuffled; the items are a stated set of any size, sent in
+    blocks of ``BLOCK_WORDS`` words, ``MOST_WORDS`` words at a time. Beyond that the documents are read once more for each
+    further part, and a part's leaks are written before the next is sent."""
     spark = documents.sparkSession
-    common = _common([r["text"] for r in documents.where("text is not null").select("text").limit(SAMPLE).toLocalIterator()])
-    rows, words, total, blocks = [], 0, 0, []
+    named = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    common = _common([r["text"] for r in named.select("text").limit(SAMPLE).toLocalIterator()])
+    schema = "doc_id long, item_id long, item_words int, stretch int, equal int"
+    rows, words, sent, blocks = [], 0, 0, []
+    parts: list[DataFrame] = []
+
+    def close() -> None:
+        nonlocal rows, words
+        if rows:
+            blocks.append(spark.sparkContext.broadcast(build_block(rows, common)))
+            rows, words = [], 0
+
     for r in items.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id").toLocalIterator():
         ws = plain_words(r["text"])
         if not ws:
             continue
-        total += len(ws)
-        if total > MOST_WORDS:
-            raise ValueError(f"the items have more than {MOST_WORDS} words; give them in parts")
         if rows and words + len(ws) > BLOCK_WORDS:
-            blocks.append(spark.sparkContext.broadcast(build_block(rows, common)))
-            rows, words = [], 0
-        if len(ws) > BLOCK_WORDS:
-            raise ValueError(f"item {r['item_id']} has more than {BLOCK_WORDS} words")
+            close()
+        if blocks and not rows and sent + len(ws) > MOST_WORDS:
+            parts.append(checkpoint(named.mapInArrow(_scan(list(blocks)), schema).distinct()))
+            for b in blocks:
+                b.destroy()
+            blocks.clear()
+            sent = 0
         rows.append((r["item_id"], ws))
-        words += len(ws)
-    if rows:
-        blocks.append(spark.sparkContext.broadcast(build_block(rows, common)))
-    schema = "doc_id long, item_id long, item_words int, stretch int, equal int"
-    if not blocks:
-        return spark.createDataFrame([], schema)
-    return documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(blocks), schema).distinct()
-
+        words, sent = words + len(ws), sent + len(ws)
+    close()
+    if blocks:
+        parts.append(named.mapInArrow(_scan(blocks), schema).distinct())
+    out = parts[0] if parts else spark.createDataFrame([], schema)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -230,25 +230,33 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("rid"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(short))], ["rid", "runs"]).filter(pa.array(mine, pa.bool_()))
 
 
-def _verified(threshold: float):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for s, t in zip(b.column("s"), b.column("t")):
-                s, t = s.values.to_numpy(), t.values.to_numpy()
-                both = len(np.intersect1d(s, t))
-                keep.append(both >= threshold * (len(s) + len(t) - both) - 1e-9)
-            yield b.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+#: Texts up to which blocks share three minimum hashes; from there on, one more for each tenfold.
+THREE_ROWS = 2_000_000
+#: Probability that a pair of similarity 0.63 meets in a block.
+MET = 0.9986
 
-    return work
+
+def banding(texts: int) -> tuple[int, int]:
+    """Bands and minimum hashes a band for a collection of so many texts.
+
+    Unlike texts meet by chance in a number that grows with the collection and falls with every further hash of a band; so
+    a collection ten times as large gets one more, and as many bands as keep the probability that like ones meet."""
+    rows = 3
+    while texts > THREE_ROWS * 10 ** (rows - 3):
+        rows += 1
+    bands = math.ceil(math.log(1 - MET) / math.log(1 - 0.63**rows) - 1e-9)
+    return bands + bands % 2, rows
 
 
-def near_duplicate_links(rows: DataFrame, threshold: float = 0.6, bands: int = 24, band_rows: int = 3) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_links(rows: DataFrame, threshold: float = 0.6, bands: int | None = None, band_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Links between classes of equal word sequences, and the classes' members.
 
     ``rows``: ``key, text``. Result: ``a, b`` (distinct pairs of different classes that reach the threshold) and
     ``cls, key`` (distinct). Null keys and texts without a word take no part. Copies share a class, and only one
-    row of a class goes into blocks, so masses of copies make no block large."""
+    row of a class goes into blocks, so masses of copies make no block large. Bands follow from the number of rows
+    (``banding``) unless given."""
+    if bands is None or band_rows is None:
+        bands, band_rows = banding(rows.count())
     parts = shuffle_partitions(rows.sparkSession)
     named = rows.where(F.col("key").isNotNull() & (F.length("text") > 0)).select("key", "text")
     signed = checkpoint(named.mapInArrow(_signatures(bands, band_rows), _SCHEMA))
@@ -278,7 +286,8 @@ def near_duplicate_links(rows: DataFrame, threshold: float = 0.6, bands: int = 2
     # texts of the key that are of another class go; the others give the same set, of which the aggregate keeps one
     sets = texts.mapInArrow(_sets, "rid long, runs array<int>").groupBy("rid").agg(F.first("runs").alias("runs"))
     paired = links.join(sets.select(F.col("rid").alias("x"), F.col("runs").alias("s")), "x").join(sets.select(F.col("rid").alias("y"), F.col("runs").alias("t")), "y")
-    true = paired.select("x", "y", "s", "t").mapInArrow(_verified(threshold), "x long, y long")
+    both = F.size(F.array_intersect("s", "t"))
+    true = paired.select("x", "y", both.alias("both"), (F.size("s") + F.size("t")).alias("sizes")).where(F.col("both") >= threshold * (F.col("sizes") - F.col("both")) - 1e-9).select("x", "y")
     names = needed.select("rid", "cls")
     named_links = true.join(names.select(F.col("rid").alias("x"), F.col("cls").alias("a")), "x").join(names.select(F.col("rid").alias("y"), F.col("cls").alias("b")), "y").select("a", "b")
     return named_links, signed.select("cls", "key")

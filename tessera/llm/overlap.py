@@ -122,22 +122,27 @@ class FMIndex:
         return q[good], t[good], covered[good], spans[good]
 
 
-def near_pairs(train: list, evaluation: list, threshold: float) -> list[tuple[int, int]]:
-    """Index pairs of collections of distinct words that share ``threshold`` of all their words."""
+def near_pairs(train: list, evaluation: list, threshold: float, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of collections of distinct words that share ``threshold`` of all their words. ``kinds``: a number for each of
+    both, end to end; only those of one kind are pairs, as words of different kinds count as different."""
     both = [*train, *evaluation]
     lengths = np.fromiter(map(len, both), np.int64, len(both))
+    none = np.zeros(0, np.int64)
     if not len(train) or not len(evaluation) or not lengths.sum():
-        return []
-    codes, names = pd.factorize(np.array([w for s in both for w in s], object))
-    often = np.bincount(codes)
-    number = np.empty(len(names), np.int64)
-    number[np.lexsort((names.astype(str), often))] = np.arange(len(names)) + 2
+        return none, none
+    codes = pd.factorize(np.concatenate([np.asarray(w, object) for w in both]))[0].astype(np.int64)
     owner = np.repeat(np.arange(len(both)), lengths)
+    if kinds is not None:
+        codes = np.unique(np.unique(kinds, return_inverse=True)[1][owner] * (codes.max() + 1) + codes, return_inverse=True)[1]
+    often = np.bincount(codes)
+    number = np.empty(len(often), np.int64)
+    number[np.argsort(often, kind="stable")] = np.arange(len(often)) + 2
     words = number[codes]
     words = words[np.lexsort((words, owner))]
     cut, n = int(lengths[: len(train)].sum()), len(train)
-    index = FMIndex(words[cut:], lengths[n:], len(names) + 2)
-    return [(int(i), int(j)) for q, t, *_ in index.matches(words[:cut], lengths[:n], threshold) for i, j in zip(q, t)]
+    index = FMIndex(words[cut:], lengths[n:], len(often) + 2)
+    found = [(q, t) for q, t, *_ in index.matches(words[:cut], lengths[:n], threshold)]
+    return tuple(np.concatenate([f[i] for f in found]) if found else none for i in (0, 1))
 
 
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,18 +159,10 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _near(threshold: float):
     def work(group: pd.DataFrame) -> pd.DataFrame:
-        train, evaluation = group[group["side"] == "train"], group[group["side"] == "eval"]
-        rows = []
         # one group may hold several sets of words with digits
-        groups = evaluation.groupby("digits").indices
-        for key, mine in train.groupby("digits").indices.items():
-            other = groups.get(key)
-            if other is None:
-                continue
-            t, e = train.iloc[mine], evaluation.iloc[other]
-            for i, j in near_pairs(t["words"].tolist(), e["words"].tolist(), threshold):
-                rows.append((t["cls"].iloc[i], e["cls"].iloc[j]))
-        return pd.DataFrame(rows, columns=["a", "b"])
+        t, e = group[group["side"] == "train"], group[group["side"] == "eval"]
+        i, j = near_pairs(t["words"].tolist(), e["words"].tolist(), threshold, np.concatenate((t["digits"].to_numpy(), e["digits"].to_numpy())))
+        return pd.DataFrame({"a": t["cls"].to_numpy()[i], "b": e["cls"].to_numpy()[j]})
 
     return work
 

@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,7 +89,7 @@ _PIECES = "doc_id long, piece_no int, start_token int, n_tokens int, part int, r
 
 def _measured(path: str, capacity: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(SparkFiles.get(os.path.basename(path))).encode_ordinary
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
@@ -144,11 +144,13 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: s
 
     ``documents``: ``doc_id, text``. Each row is one item; repeated rows are items of their own. Only a document
     of more than ``capacity`` tokens is cut: into full containers and a rest. A null or empty text has no tokens,
-    one row with ``n_tokens`` 0 and no container. Containers are numbered from 0 without gaps.
+    one row with ``n_tokens`` 0 and no container. Containers are numbered from 0 without gaps. The vocabulary file is
+    sent from the driver to the workers.
 
     To the driver goes the histogram only, at most ``capacity`` rows, and back the plan. Ranks within a length are
     counted within each partition and shifted by the numbers of the partitions before, so no length, however
     common, is gathered in one task."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
     pieces = checkpoint(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measured(vocabulary, capacity), _PIECES))
     by_part = pieces.groupBy("n_tokens", "part").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["n_tokens"]: r["n"] for r in by_part.where("n_tokens > 0").groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}

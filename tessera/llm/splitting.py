@@ -27,7 +27,7 @@ _SCHEMA = "src_table string, item_id string, piece_no int, n_tokens int, overlap
 def heading_of(line: str) -> tuple[int, str] | None:
     """Level and title of a heading line, or None."""
     s = line.strip()
-    if not s or len(s) > 400:
+    if not s:
         return None
     if m := MARKDOWN_HEADING.fullmatch(s):
         return len(s) - len(s.lstrip("#")), m[1].strip()[:100]

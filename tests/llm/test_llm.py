@@ -389,6 +389,44 @@ def test_leaks(spark):
     assert leakage.plain_words("regis-\nter <b>two</b> &amp; Über-\r\n wachung") == ["register", "two", "überwachung"]
 
 
+def test_many_and_long_items(spark, monkeypatch):
+    r = random.Random(4)
+    items = [(i, " ".join(r.choice(WORDS) for _ in range(r.randint(30, 60)))) for i in range(12)]
+    docs = [(i, " ".join(r.choice(WORDS) for _ in range(20)) + " " + items[i % 12][1]) for i in range(30)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = pairs_of(leakage.leaked_items(df, it).select("doc_id", "item_id"))
+    assert want >= {(i, i % 12) for i in range(30)}
+    # in blocks of an item or two, sent one after another; with items longer than a block; with words that share numbers
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(leakage, "MOST_WORDS", 120)
+    assert pairs_of(leakage.leaked_items(df, it).select("doc_id", "item_id")) == want
+    monkeypatch.setattr(leakage, "MOST_NUMBERS", 40)
+    assert pairs_of(leakage.leaked_items(df, it).select("doc_id", "item_id")) >= {(i, i % 12) for i in range(30)}
+
+
+def test_clusters_of_edits_and_long_marks():
+    item = np.arange(1, 101, dtype=np.uint64)
+    doc = np.concatenate((item[:40], np.zeros(9, np.uint64), item[46:90]))
+    assert leakage.is_leak(100, *leakage.best_stretch(item, doc)) and leakage.best_stretch(item, doc)[0] == 90
+    assert leakage.plain_words("a <b " + "x" * 900 + ">c</b><!-- " + "y" * 900 + " -->d") == ["a", "c", "d"]
+    assert splitting.heading_of("# " + "long " * 200) == (1, ("long " * 200).strip()[:100])
+
+
+def test_banding_keeps_recall():
+    assert neardup.banding(0) == neardup.banding(2_000_000) == (24, 3)
+    for n in (2_000_001, 10**8, 10**9):
+        assert neardup.banding(n)[0] % 2 == 0 and neardup.expected_recall(0.63, *neardup.banding(n)) > 0.998 and neardup.expected_recall(0.7, *neardup.banding(n)) > 0.9999
+
+
+def test_near_duplicate_classes(spark):
+    base = " ".join(WORDS[:40])
+    rows = [("a", base), ("b", base.upper()), ("c", base + " more"), ("d", "alone here today"), ("e", None), ("f", " "), (None, base), ("a", base)]
+    got = pairs_of(neardup.near_duplicate_classes(spark.createDataFrame(rows, "key string, text string")))
+    assert got == {("a", "a", 2, 1), ("b", "a", 2, 1), ("c", "c", 1, 1), ("d", "d", 1, 0)}
+    bands = pairs_of(neardup.near_duplicate_links(spark.createDataFrame(rows, "key string, text string"), bands=40, band_rows=4)[0])
+    assert len(bands) == 1
+
+
 def test_clean_stretch_beside_loose_one(spark):
     # the whole item loosely, with every fourth to sixth word changed and words added, and more than half of it cleanly
     item = [f"v{i}" for i in range(90)]
