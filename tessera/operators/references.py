@@ -95,9 +95,10 @@ def orphan_references(refs: DataFrame, parents: DataFrame, *, parent_key: str =
     bloom = bloom_table(parents, parent_key, words)
     mask = _mask(F.col("chunk_id"))
     tested = refs.withColumn("word", _word(F.col("chunk_id"), words)).join(F.broadcast(bloom), "word", "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False))).drop("word", "bits")
-    # ``maybe`` depends on the id only; as an aggregate it can't be filtered before the shuffle, so both uses of this share one
+    # both uses of this share one scan and shuffle: ``maybe``, which depends on the id only, is an aggregate, so that no filter
+    # goes before the shuffle, and the first use has a condition on ``at`` that always holds, so that neither drops a column
     once = tested.groupBy("ref_table", "ref_id", "chunk_id").agg(F.max("at").alias("at"), F.bool_or("maybe").alias("maybe"))
-    absent = once.where("not maybe").select("ref_table", "ref_id", "chunk_id", "at", F.lit("missing").alias("reason"))
+    absent = once.where(~F.col("maybe") & F.coalesce(F.year("at") > -1_000_000, F.lit(True))).select("ref_table", "ref_id", "chunk_id", "at", F.lit("missing").alias("reason"))
     first = parents.where(F.col(parent_key).isNotNull()).groupBy(F.col(parent_key).alias("chunk_id")).agg(F.min(F.col(since).cast("timestamp_ntz")).alias("first_seen"), F.lit(True).alias("found"))
     checked = once.where("maybe").join(first, "chunk_id", "left")
     reason = F.when(F.col("found").isNull(), "missing").when(F.col("first_seen") > F.col("at"), "later")
