@@ -176,6 +176,11 @@ def without_secret_keys(m: Column) -> Column:
     return F.transform_values(kept, lambda k, v: redacted(v))
 
 
+def survives(kind: DataType) -> bool:
+    """Whether anything is left of a value of this type without fields that name credentials."""
+    return not isinstance(kind, StructType) or any(not is_secret_key(f.name) and survives(f.dataType) for f in kind)
+
+
 def sanitised(c: Column, kind: DataType) -> Column:
     """A value of any type, however nested, without fields and keys that name credentials, its texts redacted."""
     if isinstance(kind, StringType):
@@ -186,8 +191,8 @@ def sanitised(c: Column, kind: DataType) -> Column:
         kept = F.map_filter(c, lambda k, v: ~is_secret_key(k)) if isinstance(kind.keyType, StringType) else c
         return F.transform_values(kept, lambda k, v: sanitised(v, kind.valueType))
     if isinstance(kind, StructType):
-        fields = [sanitised(c[f.name], f.dataType).alias(f.name) for f in kind if not is_secret_key(f.name)]
-        return F.when(c.isNotNull(), F.struct(*fields)) if fields else F.lit(None)
+        fields = [sanitised(c[f.name], f.dataType).alias(f.name) for f in kind if not is_secret_key(f.name) and survives(f.dataType)]
+        return F.when(c.isNotNull(), F.struct(*fields))
     return c
 
 

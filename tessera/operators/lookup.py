@@ -87,6 +87,7 @@ def lookup_rows(queries: DataFrame, rows: DataFrame, limit: int = 5, order: str
     ``ROW_COLUMNS`` that the store has; the first ``limit`` (1 to 20) by ``order``.
 
     ``queries``: ``query_id, query, model``. ``model`` matches rows of it or of none, a version in the query has to be in the row's.
+    A blank or null query finds every row that fits.
     Terms are looked for as in ``names_contained``; only keys take part until the best are known."""
     columns = [c for c in ROW_COLUMNS if c in rows.columns]
     searched = [c for c in SEARCHED if c in rows.columns]
@@ -97,8 +98,13 @@ def lookup_rows(queries: DataFrame, rows: DataFrame, limit: int = 5, order: str
     hits = names_contained(texts, asked.select(F.col("query_id").alias("name_id"), "name")).select(F.col("text_id").alias(order), F.col("name_id").alias("query_id")).distinct()
     facts = once.select(order, (F.coalesce("model", F.lit("")) if "model" in rows.columns else F.lit("")).alias("_own"), (F.lower(F.coalesce(F.col("version").cast("string"), F.lit(""))) if "version" in rows.columns else F.lit(None).cast("string")).alias("_version"))
     good = hits.join(asked.select("query_id", "_m", "_v").distinct(), "query_id").join(facts, order).where(((F.col("_m") == "") | F.col("_own").isin("") | (F.col("_own") == F.col("_m"))) & ((F.col("_v") == "") | F.col("_version").isNull() | F.contains("_version", F.col("_v"))))
+    # a blank query takes the first rows of all that fit: of its model's and none's first ones, or of every model's
+    most = min(max(limit, 1), 20)
+    blank = queries.where(F.size(T.row_terms(F.coalesce("query", F.lit("")))) == 0).select("query_id", F.explode(F.when(F.coalesce("model", F.lit("")) == "", F.array(F.lit("*"))).otherwise(F.array("model", F.lit("")))).alias("_own"))
+    first = facts.withColumn("_n", F.row_number().over(W.partitionBy("_own").orderBy(order))).where(F.col("_n") <= most).select(order, F.explode(F.array("_own", F.lit("*"))).alias("_own"))
+    good = good.select("query_id", order).unionByName(blank.join(first, "_own").select("query_id", order).distinct())
     place = F.row_number().over(W.partitionBy("query_id").orderBy(order))
-    best = good.select("query_id", order).withColumn("place", place).where(F.col("place") <= min(max(limit, 1), 20))
+    best = good.select("query_id", order).withColumn("place", place).where(F.col("place") <= most)
     return best.join(once.select(*columns), order).select("query_id", "place", *columns)
 
 

@@ -162,7 +162,7 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def append_traces(traces: DataFrame, path: str, secrets: tuple[str, ...] = ()) -> None:
     """Append JSON lines. Columns, fields and keys named like credentials, at any depth, are dropped, texts redacted; ``secrets``
     names more columns to drop."""
-    kept = [f for f in traces.schema if not T.is_secret_key(f.name) and not any(x in f.name.lower() for x in secrets)]
+    kept = [f for f in traces.schema if not T.is_secret_key(f.name) and T.survives(f.dataType) and not any(x in f.name.lower() for x in secrets)]
     traces.select(*[T.sanitised(F.col(f.name), f.dataType).alias(f.name) for f in kept]).write.mode("append").json(path)
 
 
