@@ -84,8 +84,8 @@ def _best_by_terms(blocks: list, mean_length: float, top_k: int, cols: list[str]
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
                 tokens = b.column("tokens")
                 length = np.nan_to_num(pc.list_value_length(tokens).to_numpy(zero_copy_only=False)).astype(np.float64)
                 flat = tokens.flatten()
@@ -93,7 +93,7 @@ def _best_by_terms(blocks: list, mean_length: float, top_k: int, cols: list[str]
                 owner = np.repeat(np.arange(len(keys)), length.astype(np.int64))
                 meta = [np.array([(x or "").lower() for x in b.column(c).to_pylist()], object) for c in cols]
                 for k, shared in enumerate(blocks):
-                    names, terms, w, wanted = shared.value
+                    names, terms, (first, query, w), wanted = shared.value
                     place = pc.fill_null(pc.index_in(flat, value_set=terms), -1).to_numpy(zero_copy_only=False)
                     has = place >= 0
                     if not has.any():
@@ -101,10 +101,13 @@ def _best_by_terms(blocks: list, mean_length: float, top_k: int, cols: list[str]
                     cells, counts = np.unique(owner[has] * len(terms) + place[has], return_counts=True)
                     doc, term = np.divmod(cells, len(terms))
                     some, row = np.unique(doc, return_inverse=True)
-                    tf = np.zeros((len(some), len(terms)))
-                    tf[row, term] = counts * (K1 + 1) / (counts + K1 * (1 - B + B * length[doc] / mean_length))
-                    scores = tf @ w
-                    common = (tf > 0).astype(np.float32) @ (w != 0).astype(np.float32) > 0
+                    tf = counts * (K1 + 1) / (counts + K1 * (1 - B + B * length[doc] / mean_length))
+                    # each document's term meets the queries that have it
+                    many = first[term + 1] - first[term]
+                    at_w = np.repeat(first[term] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    cell, shape = np.repeat(row, many) * len(names) + query[at_w], (len(some), len(names))
+                    scores = np.bincount(cell, np.repeat(tf, many) * w[at_w], len(some) * len(names)).reshape(shape)
+                    common = np.bincount(cell, minlength=len(some) * len(names)).reshape(shape) > 0
                     for c, values in enumerate(meta):
                         mine, want = values[some][:, None], np.array([x[c] for x in wanted], object)[None, :]
                         common &= (mine == "") | (want == "") | (mine == want)
@@ -180,13 +183,12 @@ def bm25_search(queries: DataFrame, index: Index, top_k: int = 30) -> DataFrame:
     asked = weighted.join(meta, "query_id") if cols else weighted
 
     def block(rows: list) -> tuple:
-        terms = sorted({t["term"] for r in rows for t in r["terms"]})
+        entries = sorted((t["term"], j, t["w"]) for j, r in enumerate(rows) for t in r["terms"] if t["w"])
+        terms = sorted({t for t, _, _ in entries})
         number = {t: i for i, t in enumerate(terms)}
-        w = np.zeros((len(terms), len(rows)))
-        for j, r in enumerate(rows):
-            for t in r["terms"]:
-                w[number[t["term"]], j] = t["w"]
-        return [r["query_id"] for r in rows], pa.array(terms, pa.string()), w, [[r[f"_{c}"] for c in cols] for r in rows]
+        counts = np.bincount([number[t] for t, _, _ in entries], minlength=len(terms)) if entries else np.zeros(0, np.int64)
+        by_term = np.concatenate(([0], np.cumsum(counts))), np.array([j for _, j, _ in entries], np.int64), np.array([w for _, _, w in entries], np.float64)
+        return [r["query_id"] for r in rows], pa.array(terms, pa.string()), by_term, [[r[f"_{c}"] for c in cols] for r in rows]
 
     docs = index.docs.where("doc_key is not null and tokens is not null").select(F.col("doc_key").cast("string").alias("doc_key"), "tokens", *cols)
     best = _in_passes(asked.orderBy("query_id"), TERM_BLOCK, block, lambda blocks: docs.mapInArrow(_best_by_terms(blocks, index.mean_length, top_k, cols), _SCORES))

@@ -13,7 +13,7 @@ from tessera.operators import facts, lookup, metrics, retrieval
 from tessera.operators.references import cleaned_ids, id_list
 from tessera.plans.references import LISTED
 from tessera.plans.texts import _expansion, _first, _search, _strip, _telling
-from tessera.session import scratch_path
+from tessera.session import scratch_path, shuffle_partitions
 from tessera.sources import vectors as stored
 from tessera.sources.tables import table, table_once
 
@@ -34,7 +34,10 @@ def _docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 def _index(spark: SparkSession, d: str, vectors: bool = False) -> retrieval.Index:
     """The chunks with their tokens, model and version, and with vectors if asked; one scan for all that use it."""
     more = [retrieval.hashed_vectors(T.embedding_tokens(F.coalesce("text", F.lit(""))), 64, "md5").alias("vector")] if vectors else []
-    return retrieval.build_index(_docs(spark, d, "model", "version").select("doc_key", T.search_tokens(F.col("text")).alias("tokens"), *more, "model", "version"))
+    docs = _docs(spark, d, "model", "version")
+    if len(table(spark, d, "chunks").inputFiles()) < shuffle_partitions(spark):
+        docs = docs.repartition(shuffle_partitions(spark))  # a few files, so a few tasks, would do all the cutting
+    return retrieval.build_index(docs.select("doc_key", T.search_tokens(F.col("text")).alias("tokens"), *more, "model", "version"))
 
 
 def _plain(index: retrieval.Index) -> retrieval.Index:
