@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import defaultdict
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import lexicon as L
 from tessera.functions import text as T
+from tessera.session import checkpoint
 
 # Columns of a table-row store that are returned, and those that are searched, as far as they exist.
 ROW_COLUMNS = ("chunk_id", "source", "doc_name", "page", "section", "section_path", "table_id", "row_id", "row_index", "headers", "header", "parameter_name", "text", "content", "row_text", "model", "version")
@@ -28,21 +32,69 @@ def lookup_codes(queries: DataFrame, codes: DataFrame) -> DataFrame:
 
 #: Names that are sent to all workers at most; more are joined by a shuffle.
 SENT_NAMES = 200_000
+#: Characters at the beginning of a name by which places in texts are chosen.
+HEAD = 3
+
+
+class _Names:
+    """Names by their beginnings. At a place of a text only names of the lengths that its beginning has can stand, so a
+    place costs a look-up for each such length, however many names begin alike."""
+
+    def __init__(self, names: list[str]):
+        self.names, lengths = frozenset(names), defaultdict(set)
+        for n in names:
+            lengths[n[:HEAD]].add(len(n))
+        self.lengths = {g: tuple(sorted(x)) for g, x in lengths.items()}
+        self.short = any(len(g) < HEAD for g in lengths)
+
+    def inside(self, text: str) -> list[str]:
+        found, names, lengths = set(), self.names, self.lengths
+        for i in range(len(text)):
+            for size in range(1 if self.short else HEAD, HEAD + 1):
+                for n in lengths.get(text[i : i + size], ()):
+                    if (x := text[i : i + n]) in names:
+                        found.add(x)
+        return list(found)
+
+
+def _inside(spark: SparkSession, names: list[str]):
+    """A column function: the distinct ones of ``names`` that a text contains. Both are in lower case."""
+    sent = spark.sparkContext.broadcast(_Names(names))
+
+    @F.arrow_udf("array<string>")
+    def work(texts: pa.Array) -> pa.Array:
+        inside = sent.value.inside
+        return pa.array([None if t is None else inside(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return work
+
+
+def _parts(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """The columns of ``texts`` but ``_t``, and a row for each different name ``_n`` of ``names`` that ``_t`` contains. Both are in
+    lower case."""
+    keep = [c for c in texts.columns if c != "_t"]
+    names = names.select("_n").where("_n != ''").distinct()
+    sent = [r["_n"] for r in names.limit(SENT_NAMES + 1).collect()]
+    if len(sent) <= SENT_NAMES:
+        return texts.select(*keep, F.explode(_inside(texts.sparkSession, sent)(F.col("_t"))).alias("_n"))
+    sizes = names.agg(F.array_sort(F.collect_set(F.least(F.length("_n"), F.lit(HEAD))))).first()[0]
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("_t")), lambda i: F.struct(i.alias("i"), F.substr(F.col("_t"), i, F.lit(n)).alias("g")))
+    lengths = names.groupBy(F.substring("_n", 1, HEAD).alias("_g")).agg(F.collect_set(F.length("_n")).alias("_sizes"))
+    places = texts.where("_t != ''").select(*keep, "_t", F.explode(F.concat(*[grams(n) for n in sizes])).alias("_p")).select(*keep, "_t", F.col("_p.i").alias("_i"), F.col("_p.g").alias("_g"))
+    parts = places.join(lengths, "_g").select(*keep, F.explode(F.transform("_sizes", lambda n: F.substr(F.col("_t"), F.col("_i"), n))).alias("_n")).distinct()
+    return parts.join(names, "_n").select(*keep, "_n")
 
 
 def names_contained(texts: DataFrame, names: DataFrame) -> DataFrame:
     """All names that each text contains, without regard to case: ``text_id, name_id, name``, distinct.
 
-    ``texts``: ``text_id, text``; ``names``: ``name_id, name`` (a row for each alias). A text meets only names whose first
-    three characters it has, by an equi-join on them, instead of every name; the names are sent to the texts if there are
-    at most ``SENT_NAMES``. Empty and null names and texts match nothing."""
-    low = names.select("name_id", "name", F.lower("name").alias("_n")).where("_n != ''").withColumn("_g", F.substring("_n", 1, 3))
-    text = texts.select("text_id", F.lower("text").alias("_t")).where("_t != ''")
-    head = low.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.least(F.length("_n"), F.lit(3)))).alias("sizes")).first()
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("_t")), lambda i: F.substr(F.col("_t"), i, F.lit(n)))
-    pieces = text.select("text_id", "_t", F.explode(F.array_distinct(F.concat(*[grams(n) for n in head["sizes"] or [3]]))).alias("_g"))
-    known = F.broadcast(low) if head["n"] <= SENT_NAMES else low
-    return pieces.join(known, "_g").where(F.contains("_t", F.col("_n"))).select("text_id", "name_id", "name").distinct()
+    ``texts``: ``text_id, text``; ``names``: ``name_id, name`` (a row for each alias). At each place of a text only the parts
+    that are as long as a name of the same first three characters are looked up, as whole names, so work doesn't grow with
+    the number of names that begin alike. Up to ``SENT_NAMES`` different names are sent to the texts, which then take part in
+    no shuffle; more meet them by equi-joins. Empty and null names and texts match nothing."""
+    low = names.select("name_id", "name", F.lower("name").alias("_n")).where("_n != ''").distinct()
+    hits = _parts(texts.select("text_id", F.lower("text").alias("_t")), low)
+    return hits.join(low, "_n").select("text_id", "name_id", "name").distinct()
 
 
 def names_in_texts(texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -118,23 +170,25 @@ def expand_graph(texts: DataFrame, nodes: DataFrame, edges: DataFrame, most_node
     texts' ``text_id, entities, terms``.
 
     ``texts``: ``text_id, text``; ``nodes``: ``node_id, label, aliases``; ``edges``: ``edge_id, source, relation, target``. A node is
-    named if its label or an alias is in the text (``names_contained``); the first ``most_nodes`` by id count. Edges come
-    from two equi-joins, by source and by target, merged, instead of a join on either; the first ``most_edges`` by id. A
-    node without a label shows its id. ``terms`` are the labels of the relations, in order, that the text does not have."""
+    named if its label or an alias is in the text (``names_contained``); the first ``most_nodes`` by id count, and of their
+    edges the first ``most_edges`` by id. So no more than that of a node's edges can count, and only these leave it, however
+    many it has; texts that name the same nodes share one hop. A node without a label shows its id. ``terms`` are the labels
+    of the relations, in order, that the text does not have."""
     names = nodes.select(F.col("node_id").alias("name_id"), F.explode(F.array_union(F.array("label"), F.coalesce("aliases", T.strings(())))).alias("name"))
-    named = names_contained(texts, names).select("text_id", F.col("name_id").alias("node")).distinct()
-    seeds = named.withColumn("_n", F.row_number().over(W.partitionBy("text_id").orderBy("node"))).where(F.col("_n") <= most_nodes).drop("_n")
-    out = seeds.join(edges.withColumnRenamed("source", "node"), "node").select("text_id", "edge_id", F.col("node").alias("source"), "relation", "target")
-    into = seeds.join(edges.withColumnRenamed("target", "node"), "node").select("text_id", "edge_id", "source", "relation", F.col("node").alias("target"))
-    found = out.unionByName(into).distinct()
-    found = found.withColumn("_n", F.row_number().over(W.partitionBy("text_id").orderBy("edge_id"))).where(F.col("_n") <= most_edges)
+    named = names_contained(texts, names).groupBy("text_id").agg(F.slice(F.array_sort(F.collect_set("name_id")), 1, most_nodes).alias("entities")).where(F.size("entities") > 0)
+    seeds = checkpoint(named)
+    once = edges.select("edge_id", "source", "relation", "target").distinct()
+    ends = once.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("node"), F.struct("edge_id", "source", "relation", "target").alias("x"))
+    first = ends.withColumn("_n", F.row_number().over(W.partitionBy("node").orderBy("x"))).where(F.col("_n") <= most_edges).select("node", "x")
+    sets = seeds.select("entities").distinct()
+    hop = sets.select("entities", F.explode("entities").alias("node")).join(first, "node").groupBy("entities").agg(F.slice(F.array_sort(F.collect_set("x")), 1, most_edges).alias("e"))
     label = lambda side: nodes.select(F.col("node_id").alias(side), F.col("label").alias(f"_{side}"))
-    labelled = found.join(label("source"), "source", "left").join(label("target"), "target", "left")
-    relations = labelled.select("text_id", "edge_id", F.coalesce("_source", "source").alias("source"), "relation", F.coalesce("_target", "target").alias("target"))
-    ends = relations.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("edge_id", "source", "target"))).alias("e"))
+    found = hop.select("entities", F.explode("e").alias("x")).select("entities", "x.*").join(label("source"), "source", "left").join(label("target"), "target", "left")
+    shown = F.struct("edge_id", F.coalesce("_source", "source").alias("source"), "relation", F.coalesce("_target", "target").alias("target"))
+    hops = checkpoint(found.groupBy("entities").agg(F.array_sort(F.collect_list(shown)).alias("e")))
+    relations = seeds.join(hops, "entities").select("text_id", F.explode("e").alias("x")).select("text_id", "x.*")
     said = F.array_distinct(F.flatten(F.transform("e", lambda x: F.array(x["source"], x["target"]))))
-    entities = seeds.groupBy("text_id").agg(F.array_sort(F.collect_list("node")).alias("entities"))
-    terms = texts.select("text_id", F.lower("text").alias("_t")).join(entities, "text_id").join(ends.select("text_id", said.alias("said")), "text_id", "left")
+    terms = texts.select("text_id", F.lower("text").alias("_t")).join(seeds, "text_id").join(hops.select("entities", said.alias("said")), "entities", "left")
     new = F.slice(F.filter(F.coalesce("said", T.strings(())), lambda x: ~F.contains("_t", F.lower(x))), 1, most_terms)
     return relations, terms.select("text_id", "entities", new.alias("terms"))
 

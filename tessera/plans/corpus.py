@@ -11,6 +11,7 @@ from tessera.operators import audit, chunking, lookup, sessions
 from tessera.operators.metrics import rate
 from tessera.operators.references import cleaned_ids
 from tessera.plans.texts import _first, _strip
+from tessera.session import checkpoint
 from tessera.sources.tables import table, table_once
 
 
@@ -196,7 +197,7 @@ def lookup_rows(spark: SparkSession, d: str) -> DataFrame:
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The manuals' graph: makers, models and manuals, and who makes and describes what; questions with the model they are about."""
     m = table_once(spark, d, "chunks", "chunk_id", "doc_id", "manufacturer", "model").select("doc_id", F.initcap(F.trim("manufacturer")).alias("maker"), "model").where("maker is not null and model != ''").distinct()
-    m = m.groupBy("doc_id").agg(F.min("maker").alias("maker"), F.min("model").alias("model"))
+    m = checkpoint(m.groupBy("doc_id").agg(F.min("maker").alias("maker"), F.min("model").alias("model")))
     node = lambda c, kind: F.concat(F.lit(f"{kind}:"), F.col(c))
     first = F.regexp_extract("maker", "^([A-Za-z]+)", 1)
     nodes = (

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -193,6 +194,31 @@ def test_graph(spark):
     assert rows(terms) == [("t", ["n1", "n2"], ["One", "n3"])]
 
 
+def test_names_of_any_number(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "Zel_1 zel_12"), (2, "a b"), (3, "zel_"), (4, ""), (5, None), (6, "xİß 阀b")], "text_id int, text string")
+    names = spark.createDataFrame([(1, "zel_1"), (2, "ZEL_12"), (3, "zel_123"), (4, "b"), (5, " B"), (6, ""), (7, None), (8, "b"), (9, "阀"), (1, "zel_1")], "name_id int, name string")
+    want = [(1, 1, "zel_1"), (1, 2, "ZEL_12"), (2, 4, "b"), (2, 5, " B"), (2, 8, "b"), (6, 4, "b"), (6, 8, "b"), (6, 9, "阀")]
+    assert rows(lookup.names_contained(texts, names), "text_id", "name_id") == want
+    monkeypatch.setattr(lookup, "SENT_NAMES", 3)
+    assert rows(lookup.names_contained(texts, names), "text_id", "name_id") == want
+
+
+def test_graph_of_hot_nodes(spark):
+    """Names that begin alike, and a node that all texts name, with an edge to every other: pairs of texts and names or edges
+    would be a hundred million."""
+    n = 20_000
+    ids = spark.range(n).select(F.format_string("zel_%06d", "id").alias("d"))
+    nodes = ids.select(F.concat(F.lit("c:"), "d").alias("node_id"), F.col("d").alias("label"), F.array().cast("array<string>").alias("aliases")).union(spark.createDataFrame([("b:hub", "Zel", None)], "node_id string, label string, aliases array<string>"))
+    edges = ids.select("d", F.concat(F.lit("c:"), "d"), F.lit("describes"), F.lit("b:hub")).toDF("edge_id", "source", "relation", "target")
+    texts = spark.range(5_000).select("id", F.format_string("zel zel_%06d", F.col("id") * 3)).toDF("text_id", "text")
+    began = time.time()
+    relations, terms = lookup.expand_graph(texts, nodes, edges.union(edges))
+    got = {r["text_id"]: r for r in terms.collect()}
+    assert relations.count() == 60_000 and len(got) == 5_000
+    assert got[2]["entities"] == ["b:hub", "c:zel_000006"] and got[2]["terms"] == [f"zel_{i:06d}" for i in (0, 1, 2, 3, 4, 5, 7, 8)]
+    assert time.time() - began < 45
+
+
 def test_rate_limit(spark):
     t = D(2024, 1, 1)
     calls = [("k", i, t + dt.timedelta(seconds=s)) for i, s in enumerate((0, 1, 2, 61, 61.5, 62))] + [("m", 9, t), (None, 1, t), ("k", 99, None)]
