@@ -140,23 +140,37 @@ def lookup_rows(queries: DataFrame, rows: DataFrame, limit: int = 5, order: str
 
     ``queries``: ``query_id, query, model``. ``model`` matches rows of it or of none, a version in the query has to be in the row's.
     A blank or null query finds every row that fits.
-    Terms are looked for as in ``names_contained``; only keys take part until the best are known."""
+    Terms are looked for as in ``names_contained``, each once for all queries. Only a term's first ``limit`` rows of each model, and
+    of each version that is asked for with it, can be a query's first ones, so no more meet the queries; only keys take part
+    until the best are known."""
     columns = [c for c in ROW_COLUMNS if c in rows.columns]
     searched = [c for c in SEARCHED if c in rows.columns]
+    most = min(max(limit, 1), 20)
     cell = lambda c: F.array_join(c, " ") if rows.schema[c].dataType.typeName() == "array" else F.col(c).cast("string")
-    asked = queries.select("query_id", F.coalesce("model", F.lit("")).alias("_m"), F.lower(F.regexp_extract("query", L.ROW_VERSION, 0)).alias("_v"), F.explode(T.row_terms(F.col("query"))).alias("name"))
-    once = rows.dropDuplicates([order])
-    texts = once.select(F.col(order).alias("text_id"), F.concat_ws("\x00", *[cell(c) for c in searched]).alias("text"))
-    hits = names_contained(texts, asked.select(F.col("query_id").alias("name_id"), "name")).select(F.col("text_id").alias(order), F.col("name_id").alias("query_id")).distinct()
-    facts = once.select(order, (F.coalesce("model", F.lit("")) if "model" in rows.columns else F.lit("")).alias("_own"), (F.lower(F.coalesce(F.col("version").cast("string"), F.lit(""))) if "version" in rows.columns else F.lit(None).cast("string")).alias("_version"))
-    good = hits.join(asked.select("query_id", "_m", "_v").distinct(), "query_id").join(facts, order).where(((F.col("_m") == "") | F.col("_own").isin("") | (F.col("_own") == F.col("_m"))) & ((F.col("_v") == "") | F.col("_version").isNull() | F.contains("_version", F.col("_v"))))
+    first = lambda df, *by: df.withColumn("_at", F.row_number().over(W.partitionBy(*by).orderBy(order))).where(F.col("_at") <= most).drop("_at")
+    models = lambda c: F.when(c == "", F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("="), c), F.lit("=")))
+    version = F.lower(F.coalesce(F.col("version").cast("string"), F.lit(""))) if "version" in rows.columns else F.lit("")
+    asked_version = F.lower(F.regexp_extract("query", L.ROW_VERSION, 0)) if "version" in rows.columns else F.lit("")
+    asked = queries.select("query_id", F.explode(models(F.coalesce("model", F.lit("")))).alias("_key"), asked_version.alias("_v"), F.explode(T.row_terms(F.col("query"))).alias("_n"))
+    once = checkpoint(rows.dropDuplicates([order]))
+    facts = once.select(order, F.concat(F.lit("="), F.coalesce("model", F.lit("")) if "model" in rows.columns else F.lit("")).alias("_own"), version.alias("_version"), F.lower(F.concat_ws("\x00", *[cell(c) for c in searched])).alias("_t"))
+    # the asked versions that are in each version of a row
+    seen = facts.select(F.col("_version").alias("text_id"), F.col("_version").alias("text")).distinct()
+    within = names_contained(seen, asked.select(F.col("_v").alias("name_id"), F.col("_v").alias("name")).distinct())
+    within = checkpoint(within.groupBy(F.col("text_id").alias("_version")).agg(F.collect_set("name_id").alias("_vs")))
+    within = F.broadcast(within) if within.count() <= SENT_NAMES else within
+    hits = _parts(facts.join(within, "_version", "left").select(order, "_own", F.concat(T.strings(("",)), F.coalesce("_vs", T.strings(()))).alias("_vs"), "_t"), asked.select("_n"))
+    pairs = checkpoint(asked.select("_n", "_v").distinct())
+    hits = hits.select(order, "_own", "_n", F.explode("_vs").alias("_v")).join(F.broadcast(pairs) if pairs.count() <= SENT_NAMES else pairs, ["_n", "_v"], "left_semi")
+    hits = first(hits, "_n", "_v", "_own")
+    hits = first(hits.select(order, "_n", "_v", F.explode(F.array("_own", F.lit("*"))).alias("_key")), "_n", "_v", "_key")
+    good = asked.distinct().join(hits, ["_n", "_v", "_key"]).select("query_id", order)
     # a blank query takes the first rows of all that fit: of its model's and none's first ones, or of every model's
-    most = min(max(limit, 1), 20)
-    blank = queries.where(F.size(T.row_terms(F.coalesce("query", F.lit("")))) == 0).select("query_id", F.explode(F.when(F.coalesce("model", F.lit("")) == "", F.array(F.lit("*"))).otherwise(F.array("model", F.lit("")))).alias("_own"))
-    first = facts.withColumn("_n", F.row_number().over(W.partitionBy("_own").orderBy(order))).where(F.col("_n") <= most).select(order, F.explode(F.array("_own", F.lit("*"))).alias("_own"))
-    good = good.select("query_id", order).unionByName(blank.join(first, "_own").select("query_id", order).distinct())
+    blank = queries.where(F.size(T.row_terms(F.coalesce("query", F.lit("")))) == 0).select("query_id", F.explode(models(F.coalesce("model", F.lit("")))).alias("_key"))
+    any_row = first(first(facts.select(order, "_own"), "_own").select(order, F.explode(F.array("_own", F.lit("*"))).alias("_key")), "_key")
+    good = good.unionByName(blank.join(any_row, "_key").select("query_id", order)).distinct()
     place = F.row_number().over(W.partitionBy("query_id").orderBy(order))
-    best = good.select("query_id", order).withColumn("place", place).where(F.col("place") <= most)
+    best = good.withColumn("place", place).where(F.col("place") <= most)
     return best.join(once.select(*columns), order).select("query_id", "place", *columns)
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -203,6 +204,32 @@ def test_names_of_any_number(spark, monkeypatch):
     assert rows(lookup.names_contained(texts, names), "text_id", "name_id") == want
 
 
+def test_row_lookup_is_the_first_of_all_that_fit(spark, monkeypatch):
+    r = random.Random(3)
+    words = ["the", "16#80", "ab.c", "valve", "x_1"]
+    store = [(f"c{i:03d}", " ".join(r.sample(words, 2)), r.choice(["M", "O", "", None]), r.choice(["V4.2", "v14.2", "3.0", None])) for i in range(80)]
+    asked = [(f"q{i:02d}", r.choice([" ".join(r.sample(words, r.randint(1, 3))), "valve V4.2", "ab.c 14.2", "the 9.9", "3.0", ""]), r.choice(["M", "O", "P", "", None])) for i in range(60)]
+    want = []
+    for q, text, m in asked:
+        v = next(iter(re.findall(r"V?\d+(?:\.\d+)+", text)), "").lower()
+        terms = {text.strip().lower(), *(t.lower() for t in re.findall(r"16#[0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9_#.-]+|[0-9]+(?:\.[0-9]+)+", text))} - {""}
+        fit = [c for c, t, own, version in store if (not m or (own or "") in ("", m)) and v in (version or "").lower() and (not terms or any(x in t for x in terms))]
+        want += [(q, n + 1, c) for n, c in enumerate(sorted(fit)[:3])]
+    a, b = spark.createDataFrame(asked, "query_id string, query string, model string"), spark.createDataFrame(store + store[:9], "chunk_id string, text string, model string, version string")
+    for most in (lookup.SENT_NAMES, 2):
+        monkeypatch.setattr(lookup, "SENT_NAMES", most)
+        assert rows(lookup.lookup_rows(a, b, 3).select("query_id", "place", "chunk_id"), "query_id", "place") == sorted(want)
+
+
+def test_row_lookup_of_common_words(spark):
+    """Each query has a word with each row in common: 120 million pairs, of which five a query count."""
+    store = spark.range(30_000).select(F.format_string("c%06d", "id").alias("chunk_id"), F.concat(F.lit("the valve "), "id").alias("text"), F.lit("").alias("model"))
+    asked = spark.range(4_000).select("id", F.concat(F.lit("the port "), "id"), F.lit("M")).toDF("query_id", "query", "model")
+    began = time.time()
+    assert lookup.lookup_rows(asked, store).agg(F.count("*"), F.max("chunk_id")).first()[:] == (20_000, "c000004")
+    assert time.time() - began < 45
+
+
 def test_graph_of_hot_nodes(spark):
     """Names that begin alike, and a node that all texts name, with an edge to every other: pairs of texts and names or edges
     would be a hundred million."""
