@@ -12,7 +12,7 @@ from tessera.operators.references import cleaned_ids, id_list
 from tessera.plans.references import LISTED
 from tessera.plans.retrieval import _SOLVED, _asked
 from tessera.plans.texts import _first, _strip
-from tessera.session import scratch_path
+from tessera.session import checkpoint, scratch_path
 from tessera.sources import files
 from tessera.sources.tables import table
 
@@ -136,8 +136,8 @@ def chunk_tables(spark: SparkSession, d: str) -> DataFrame:
 def chunk_titles(spark: SparkSession, d: str) -> DataFrame:
     """The nearest title above each table's box among the boxes and titles of its document."""
     t = table(spark, d, "chunks").where("metadata.table_id is not null and metadata.bbox is not null").groupBy("doc_id", F.col("metadata.table_id").alias("table_id")).agg(F.min("metadata.bbox").alias("box"), F.min("metadata.table_title").alias("title"))
-    blocks = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("box")[3].alias("y1"), F.coalesce("title", F.lit("")).alias("text")))).alias("blocks"))
-    return t.join(blocks, "doc_id").select("table_id", chunking.nearest_title(F.col("blocks"), F.col("box")[1]).alias("title"))
+    t = checkpoint(t.select("doc_id", "table_id", F.get("box", F.lit(1)).alias("top"), F.get("box", F.lit(3)).alias("y1"), F.col("title").alias("text")))
+    return chunking.nearest_titles(t.select("doc_id", "table_id", "top"), t.select("doc_id", "y1", "text")).select("table_id", "title")
 
 
 def text_html(spark: SparkSession, d: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Answers, claims, facts, rules and means on literal cases."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from tessera.functions import lexicon as L
 from tessera.functions import text as T
 from tessera.operators import answers, chunking, evaluation, facts
+from tessera.plans import stores
 
 SCHEMA = "query_id string, question string, rank int, doc_key string, doc_name string, page int, section_path array<string>, representation string, text string"
 ROWS = [
@@ -86,3 +89,24 @@ def test_titles_and_release(spark):
     p = spark.createDataFrame([("a/.env", "x"), ("a/.env.example", "x"), ("data/raw/x", "-----BEGIN PRIVATE KEY-----"), ("m.py", "https://u:p@h \x00"), ("m.py", "https://u:p@h")], "p string, c string")
     assert [r[0] for r in p.select(T.release_faults(F.col("p"), F.col("c"))).collect()] == [["path"], [], ["path", "private key"], [], ["credential in url"]]
     assert T.is_secret_key("X-Api-Key") and not T.is_secret_key("name")
+
+
+def test_nearest_titles_of_a_large_document(spark):
+    """Each of 8,000 tables against the boxes of all others would be 64 million."""
+    t = spark.range(8_000).select(F.lit("d").alias("doc_id"), "id", (F.col("id") * 1.0).alias("top"))
+    blocks = spark.range(8_000).select(F.lit("d").alias("doc_id"), (F.col("id") * 1.0).alias("y1"), F.when(F.col("id") % 200 == 0, F.concat(F.lit(" Table "), "id")).otherwise(F.lit("w" * 161)).alias("text"))
+    odd = spark.createDataFrame([("d", 0.0, " Table 00"), ("d", 0.0, None), ("d", None, "x"), (None, 1.0, "no document"), ("e", 5.0, "\u00ad low\n title"), ("e", 5.0, "low  title!")], "doc_id string, y1 double, text string")
+    more = spark.createDataFrame([(None, 8000, 1.0), ("e", 8001, 95.0), ("e", 8002, 95.5), ("e", 8003, 4.0), ("f", 8004, 1.0), ("e", 8005, None)], "doc_id string, id long, top double")
+    began = time.time()
+    got = {r["id"]: r["title"] for r in chunking.nearest_titles(t.unionByName(more), blocks.unionByName(odd)).collect()}
+    want = {i: f"Table {i // 200 * 200}" if i % 200 <= 90 else "" for i in range(8_000)} | {8000: "", 8001: "low  title", 8002: "", 8003: "", 8004: "", 8005: ""}
+    want |= {i: "Table 0" for i in range(91)}
+    assert got == want
+    assert time.time() - began < 45
+
+
+def test_chunk_titles_of_documents_without_id(spark, tmp_path):
+    """A table of no document, or with a box of less than four numbers, has no title."""
+    rows = [("c1", None, ("t1", "One", [0.0, 50.0, 0.0, 10.0])), ("c2", "d", ("t2", "Two", [0.0, 50.0, 0.0, 10.0])), ("c3", "d", ("t3", "Three", [1.0]))]
+    spark.createDataFrame(rows, "chunk_id string, doc_id string, metadata struct<table_id:string,table_title:string,bbox:array<double>>").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert sorted(tuple(r) for r in stores.chunk_titles(spark, str(tmp_path)).collect()) == [("t1", ""), ("t2", "Two"), ("t3", "")]
