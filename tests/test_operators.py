@@ -246,6 +246,21 @@ def test_graph_of_hot_nodes(spark):
     assert time.time() - began < 45
 
 
+def test_graph_relations_of_texts_that_name_the_same(spark):
+    """20,000 texts name two nodes of 5,000 edges each, among them repeats and one from a node to itself: of 200 million relations
+    the first twelve of each text are left."""
+    nodes = spark.createDataFrame([("n1", "Hub", None), ("n2", "Rim", ["wheel"])], "node_id string, label string, aliases array<string>")
+    edges = spark.range(10_000).select(F.format_string("e%05d", "id"), F.when(F.col("id") % 2 == 0, "n1").otherwise("m"), F.lit("r"), F.when(F.col("id") % 2 == 0, "m").otherwise("n2")).toDF("edge_id", "source", "relation", "target")
+    edges = edges.union(edges).union(spark.createDataFrame([("e00000b", "n1", "r", "n1"), ("e00000c", "n1", "r", "n2")], edges.schema))
+    texts = spark.range(20_000).select("id", F.concat(F.lit("HUB and wheel "), "id")).toDF("text_id", "text")
+    began = time.time()
+    got = lookup.expand_graph(texts, nodes, edges)[0]
+    each = got.groupBy("text_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "edge_id", "source", "target"))), ",").alias("r"))
+    want = sorted(["e00000b Hub Hub", "e00000c Hub Rim", *(f"e{i:05d} {'m Rim' if i % 2 else 'Hub m'}" for i in range(10))])
+    assert rows(each.groupBy("r").count()) == [(",".join(want), 20_000)]
+    assert time.time() - began < 45
+
+
 def test_rate_limit(spark):
     t = D(2024, 1, 1)
     calls = [("k", i, t + dt.timedelta(seconds=s)) for i, s in enumerate((0, 1, 2, 61, 61.5, 62))] + [("m", 9, t), (None, 1, t), ("k", 99, None)]
