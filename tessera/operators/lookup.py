@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType
 
 from tessera.functions import lexicon as L
 from tessera.functions import text as T
-from tessera.session import checkpoint
+from tessera.session import checkpoint, shuffle_partitions
 
 # Columns of a table-row store that are returned, and those that are searched, as far as they exist.
 ROW_COLUMNS = ("chunk_id", "source", "doc_name", "page", "section", "section_path", "table_id", "row_id", "row_index", "headers", "header", "parameter_name", "text", "content", "row_text", "model", "version")
@@ -34,37 +37,72 @@ def lookup_codes(queries: DataFrame, codes: DataFrame) -> DataFrame:
 SENT_NAMES = 200_000
 #: Characters at the beginning of a name by which places in texts are chosen.
 HEAD = 3
+#: Sets of nodes that are sent to all workers at most, each with its few relations; more are joined by a shuffle.
+SENT_SETS = 10_000
+#: Texts of which one task writes the relations.
+TASK_TEXTS = 20_000
 
 
 class _Names:
     """Names by their beginnings. At a place of a text only names of the lengths that its beginning has can stand, so a
-    place costs a look-up for each such length, however many names begin alike."""
+    place costs a look-up for each such length, however many names begin alike. Without ``names`` every part of such a length
+    counts, as names that are elsewhere may be."""
 
-    def __init__(self, names: list[str]):
-        self.names, lengths = frozenset(names), defaultdict(set)
-        for n in names:
-            lengths[n[:HEAD]].add(len(n))
-        self.lengths = {g: tuple(sorted(x)) for g, x in lengths.items()}
+    def __init__(self, lengths: dict[str, tuple[int, ...]], names: Collection[str] | None):
+        self.lengths, self.names = lengths, names
         self.short = any(len(g) < HEAD for g in lengths)
 
-    def inside(self, text: str) -> list[str]:
-        found, names, lengths = set(), self.names, self.lengths
+    @classmethod
+    def of(cls, names: Collection[str]) -> _Names:
+        lengths = defaultdict(set)
+        for n in names:
+            lengths[n[:HEAD]].add(len(n))
+        return cls({g: tuple(x) for g, x in lengths.items()}, names)
+
+    def places(self, text: str) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """Where a name may begin, with the lengths it may have. A few beginnings are looked for in the text, for more each
+        place of the text is looked up."""
+        lengths = self.lengths
+        if 2 * len(lengths) <= len(text):
+            for g, sizes in lengths.items():
+                i = text.find(g)
+                while i >= 0:
+                    yield i, sizes
+                    i = text.find(g, i + 1)
+            return
         for i in range(len(text)):
             for size in range(1 if self.short else HEAD, HEAD + 1):
-                for n in lengths.get(text[i : i + size], ()):
-                    if (x := text[i : i + n]) in names:
-                        found.add(x)
-        return list(found)
+                if len(g := text[i : i + size]) == size and (sizes := lengths.get(g)):
+                    yield i, sizes
+
+    def inside(self, text: str) -> set[str]:
+        names, end = self.names, len(text)
+        if names is None:
+            return {text[i : i + n] for i, sizes in self.places(text) for n in sizes if i + n <= end}
+        return {x for i, sizes in self.places(text) for n in sizes if (x := text[i : i + n]) in names}
 
 
-def _inside(spark: SparkSession, names: list[str]):
+def _inside(spark: SparkSession, names: _Names):
     """A column function: the distinct ones of ``names`` that a text contains. Both are in lower case."""
-    sent = spark.sparkContext.broadcast(_Names(names))
+    sent = spark.sparkContext.broadcast(names)
 
     @F.arrow_udf("array<string>")
     def work(texts: pa.Array) -> pa.Array:
         inside = sent.value.inside
-        return pa.array([None if t is None else inside(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        return pa.array([None if t is None else list(inside(t)) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return work
+
+
+def _inside_ids(spark: SparkSession, names: dict[str, list], kind: DataType):
+    """A column function: what ``names`` has for those of them that a text contains, which may repeat. Names and texts are in
+    lower case."""
+    sent, item = spark.sparkContext.broadcast(_Names.of(names)), to_arrow_type(kind)
+
+    @F.arrow_udf(ArrayType(kind))
+    def work(texts: pa.Array) -> pa.Array:
+        inside, ids = sent.value.inside, sent.value.names
+        return pa.array([None if t is None else [x for n in inside(t) for x in ids[n]] for t in texts.to_pylist()], pa.list_(item))
 
     return work
 
@@ -76,10 +114,14 @@ def _parts(texts: DataFrame, names: DataFrame) -> DataFrame:
     names = names.select("_n").where("_n != ''").distinct()
     sent = [r["_n"] for r in names.limit(SENT_NAMES + 1).collect()]
     if len(sent) <= SENT_NAMES:
-        return texts.select(*keep, F.explode(_inside(texts.sparkSession, sent)(F.col("_t"))).alias("_n"))
+        return texts.select(*keep, F.explode(_inside(texts.sparkSession, _Names.of(frozenset(sent)))(F.col("_t"))).alias("_n"))
+    lengths = names.groupBy(F.substring("_n", 1, HEAD).alias("_g")).agg(F.collect_set(F.length("_n")).alias("_sizes"))
+    heads = {r["_g"]: tuple(r["_sizes"]) for r in lengths.limit(SENT_NAMES + 1).collect()}
+    if len(heads) <= SENT_NAMES:
+        parts = texts.select(*keep, F.explode(_inside(texts.sparkSession, _Names(heads, None))(F.col("_t"))).alias("_n"))
+        return parts.join(names, "_n").select(*keep, "_n")
     sizes = names.agg(F.array_sort(F.collect_set(F.least(F.length("_n"), F.lit(HEAD))))).first()[0]
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("_t")), lambda i: F.struct(i.alias("i"), F.substr(F.col("_t"), i, F.lit(n)).alias("g")))
-    lengths = names.groupBy(F.substring("_n", 1, HEAD).alias("_g")).agg(F.collect_set(F.length("_n")).alias("_sizes"))
     places = texts.where("_t != ''").select(*keep, "_t", F.explode(F.concat(*[grams(n) for n in sizes])).alias("_p")).select(*keep, "_t", F.col("_p.i").alias("_i"), F.col("_p.g").alias("_g"))
     parts = places.join(lengths, "_g").select(*keep, F.explode(F.transform("_sizes", lambda n: F.substr(F.col("_t"), F.col("_i"), n))).alias("_n")).distinct()
     return parts.join(names, "_n").select(*keep, "_n")
@@ -179,6 +221,23 @@ def by_ids(ids: DataFrame, docs: DataFrame, key: str = "chunk_id") -> DataFrame:
     return ids.select("query_id", F.posexplode("ids").alias("place", key)).join(docs, key)
 
 
+def _first_named(texts: DataFrame, names: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` of the ``name_id`` whose names each text contains: ``text_id, ids``; texts that contain none are left out.
+
+    As ``names_contained``, but names are one with all their ids, of which no more than the first ``most`` can count."""
+    low = names.select("name_id", F.lower("name").alias("_n")).where("_n != '' and name_id is not null").distinct()
+    first = low.withColumn("_at", F.row_number().over(W.partitionBy("_n").orderBy("name_id"))).where(F.col("_at") <= most).groupBy("_n").agg(F.collect_list("name_id").alias("_ids"))
+    sent = first.limit(SENT_NAMES + 1).collect()
+    texts = texts.select("text_id", F.lower("text").alias("_t"))
+    if len(sent) <= SENT_NAMES:
+        ids = _inside_ids(texts.sparkSession, {r["_n"]: r["_ids"] for r in sent}, names.schema["name_id"].dataType)
+        hits = texts.select("text_id", ids(F.col("_t")).alias("_ids"))  # not filtered here: Spark would look texts up for the filter and again
+    else:
+        first = checkpoint(first)
+        hits = _parts(texts, first).join(first, "_n").select("text_id", "_ids")
+    return hits.groupBy("text_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ids")))), 1, most).alias("ids")).where(F.size("ids") > 0)
+
+
 def expand_graph(texts: DataFrame, nodes: DataFrame, edges: DataFrame, most_nodes: int = 4, most_edges: int = 12, most_terms: int = 8) -> tuple[DataFrame, DataFrame]:
     """One hop in a graph from the entities that texts name: the relations ``text_id, edge_id, source, relation, target``, and the
     texts' ``text_id, entities, terms``.
@@ -187,10 +246,11 @@ def expand_graph(texts: DataFrame, nodes: DataFrame, edges: DataFrame, most_node
     named if its label or an alias is in the text (``names_contained``); the first ``most_nodes`` by id count, and of their
     edges the first ``most_edges`` by id. So no more than that of a node's edges can count, and only these leave it, however
     many it has; texts that name the same nodes share one hop. A node without a label shows its id. ``terms`` are the labels
-    of the relations, in order, that the text does not have."""
+    of the relations, in order, that the text does not have. Up to ``SENT_SETS`` sets of nodes are sent to the texts with their
+    relations; whole-row repeats of texts count once."""
+    texts = texts.select("text_id", "text").distinct()
     names = nodes.select(F.col("node_id").alias("name_id"), F.explode(F.array_union(F.array("label"), F.coalesce("aliases", T.strings(())))).alias("name"))
-    named = names_contained(texts, names).groupBy("text_id").agg(F.slice(F.array_sort(F.collect_set("name_id")), 1, most_nodes).alias("entities")).where(F.size("entities") > 0)
-    seeds = checkpoint(named)
+    seeds = checkpoint(_first_named(texts, names, most_nodes).withColumnRenamed("ids", "entities"))
     once = edges.select("edge_id", "source", "relation", "target").distinct()
     ends = once.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("node"), F.struct("edge_id", "source", "relation", "target").alias("x"))
     first = ends.withColumn("_n", F.row_number().over(W.partitionBy("node").orderBy("x"))).where(F.col("_n") <= most_edges).select("node", "x")
@@ -200,7 +260,10 @@ def expand_graph(texts: DataFrame, nodes: DataFrame, edges: DataFrame, most_node
     found = hop.select("entities", F.explode("e").alias("x")).select("entities", "x.*").join(label("source"), "source", "left").join(label("target"), "target", "left")
     shown = F.struct("edge_id", F.coalesce("_source", "source").alias("source"), "relation", F.coalesce("_target", "target").alias("target"))
     hops = checkpoint(found.groupBy("entities").agg(F.array_sort(F.collect_list(shown)).alias("e")))
-    relations = seeds.join(hops, "entities").select("text_id", F.explode("e").alias("x")).select("text_id", "x.*")
+    hops = F.broadcast(hops) if hops.count() <= SENT_SETS else hops
+    # a few bytes of a text become many relations, so adaptive execution would leave all of them to one task
+    tasks = min(shuffle_partitions(texts.sparkSession), 1 + seeds.count() // TASK_TEXTS)
+    relations = seeds.repartition(tasks, "text_id").join(hops, "entities").select("text_id", F.explode("e").alias("x")).select("text_id", "x.*")
     said = F.array_distinct(F.flatten(F.transform("e", lambda x: F.array(x["source"], x["target"]))))
     terms = texts.select("text_id", F.lower("text").alias("_t")).join(seeds, "text_id").join(hops.select("entities", said.alias("said")), "entities", "left")
     new = F.slice(F.filter(F.coalesce("said", T.strings(())), lambda x: ~F.contains("_t", F.lower(x))), 1, most_terms)

@@ -196,7 +196,7 @@ def lookup_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The manuals' graph: makers, models and manuals, and who makes and describes what; questions with the model they are about."""
-    m = table_once(spark, d, "chunks", "chunk_id", "doc_id", "manufacturer", "model").select("doc_id", F.initcap(F.trim("manufacturer")).alias("maker"), "model").where("maker is not null and model != ''").distinct()
+    m = table(spark, d, "chunks").select("doc_id", F.initcap(F.trim("manufacturer")).alias("maker"), "model").where("maker is not null and model != ''")
     m = checkpoint(m.groupBy("doc_id").agg(F.min("maker").alias("maker"), F.min("model").alias("model")))
     node = lambda c, kind: F.concat(F.lit(f"{kind}:"), F.col(c))
     first = F.regexp_extract("maker", "^([A-Za-z]+)", 1)
@@ -206,7 +206,7 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     )
     about = m.select(F.concat(F.lit("1"), F.col("doc_id")).alias("edge_id"), node("doc_id", "c").alias("source"), F.lit("describes").alias("relation"), node("model", "b").alias("target"))
     made = m.select(F.concat(F.lit("0"), F.col("maker"), F.col("model")).alias("edge_id"), node("maker", "a").alias("source"), F.lit("makes").alias("relation"), node("model", "b").alias("target")).distinct()
-    asked = table(spark, d, "formal_questions").select(F.col("id").alias("text_id"), F.concat_ws(" ", "question", "device_model").alias("text")).distinct()
+    asked = table(spark, d, "formal_questions").select(F.col("id").alias("text_id"), F.concat_ws(" ", "question", "device_model").alias("text"))
     return asked, nodes, about.unionByName(made)
 
 

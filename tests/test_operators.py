@@ -6,10 +6,12 @@ import random
 import re
 import time
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import audit, lookup, metrics, references, retrieval, sessions
+from tessera.plans import corpus
 
 D = dt.datetime
 
@@ -261,6 +263,59 @@ def test_graph_relations_of_texts_that_name_the_same(spark):
     assert time.time() - began < 45
 
 
+def test_graph_of_any_number_of_names_and_sets(spark, monkeypatch):
+    """Sent or joined, names and sets give what a search of each text for each name gives; repeats of texts count once."""
+    r = random.Random(5)
+    words = ["zel", "zel_1", "zel_12", "zed", "a", "阀b"]
+    nodes = [(f"n{i:02d}", r.choice([*words, None, ""]), r.choice([None, [r.choice(words).upper(), None]])) for i in range(30)]
+    edges = [(f"e{i:03d}", f"n{r.randrange(33):02d}", "r", f"n{r.randrange(33):02d}") for i in range(90)]
+    texts = [(i, " ".join(r.choice([*words, "ze", "12", "ZEL_123"]) for _ in range(3)).upper()) for i in range(60)]
+    label = {n: t for n, t, _ in nodes if t is not None}
+    want_relations, want_terms = [], []
+    for i, t in texts:
+        said = {n for n, x, more in nodes for w in [x, *(more or [])] if w and w.lower() in t.lower()}
+        ids = sorted(said)[:4]
+        if not ids:
+            continue
+        near = sorted({e for e in edges if {e[1], e[3]} & set(ids)})[:12]
+        want_relations += [(i, e, label.get(a, a), k, label.get(b, b)) for e, a, k, b in near]
+        new = dict.fromkeys(x for _, a, _, b in near for x in (label.get(a, a), label.get(b, b)) if x.lower() not in t.lower())
+        want_terms.append((i, ids, list(new)[:8]))
+    a = spark.createDataFrame(texts + texts[:20], "text_id int, text string")
+    b = spark.createDataFrame(nodes, "node_id string, label string, aliases array<string>")
+    c = spark.createDataFrame(edges, "edge_id string, source string, relation string, target string")
+    for most_names, most_sets in ((200_000, 10_000), (4, 10_000), (2, 2)):  # 6 names with 3 beginnings
+        monkeypatch.setattr(lookup, "SENT_NAMES", most_names)
+        monkeypatch.setattr(lookup, "SENT_SETS", most_sets)
+        relations, terms = lookup.expand_graph(a, b, c)
+        assert rows(relations, "text_id", "edge_id") == want_relations
+        assert rows(terms, "text_id") == want_terms
+
+
+def test_graph_relations_are_written_by_several_tasks(spark):
+    """A text is a few bytes but may get a dozen relations; adaptive execution left those of all texts to one task."""
+    nodes = spark.createDataFrame([("n1", "Hub", None)], "node_id string, label string, aliases array<string>")
+    edges = spark.range(12).select(F.format_string("e%02d", "id"), F.lit("n1"), F.lit("r"), F.lit("m")).toDF("edge_id", "source", "relation", "target")
+    texts = spark.range(50_000).select("id", F.lit("the hub")).toDF("text_id", "text")
+    tasks = lookup.expand_graph(texts, nodes, edges)[0].groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(t["count"] for t in tasks) == 600_000 and len(tasks) == 3
+
+
+def test_graph_query_takes_every_chunk_of_a_manual(spark, tmp_path):
+    """Chunks of one id that differ, and one without an id, count as in the SQL."""
+    chunks = [("c1", "d1", "zed works", "M-1"), ("c1", "d1", " ALPHA co", "M-1"), ("c1", "d1", " ALPHA co", "M-1"), (None, "d2", "Zed works", "M-2"), ("c3", "d2", None, "A-1"), ("c4", "d2", "aa", "")]
+    asked = [("q1", "what of alpha?", "M-2"), ("q2", "zed", None), ("q2", "zed", None), ("q3", "nothing", "")]
+    spark.createDataFrame(chunks, "chunk_id string, doc_id string, manufacturer string, model string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame(asked, "id string, question string, device_model string").write.parquet(f"{tmp_path}/formal_questions.parquet")
+    con = duckdb.connect()
+    for t in ("chunks", "formal_questions"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("lookup_graph", "lookup_graph_terms"):
+        got = corpus.QUERIES[name](spark, str(tmp_path))
+        assert sorted(tuple(x) for x in got.collect()) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({corpus.SQL[name]})").fetchall())
+    assert corpus.lookup_graph(spark, str(tmp_path)).count() == 4
+
+
 def test_rate_limit(spark):
     t = D(2024, 1, 1)
     calls = [("k", i, t + dt.timedelta(seconds=s)) for i, s in enumerate((0, 1, 2, 61, 61.5, 62))] + [("m", 9, t), (None, 1, t), ("k", 99, None)]
