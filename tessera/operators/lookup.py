@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Container, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,6 +16,7 @@ from pyspark.sql.types import ArrayType, DataType
 
 from tessera.functions import lexicon as L
 from tessera.functions import text as T
+from tessera.operators.references import filter_words
 from tessera.session import checkpoint, shuffle_partitions
 
 # Columns of a table-row store that are returned, and those that are searched, as far as they exist.
@@ -43,12 +46,31 @@ SENT_SETS = 10_000
 TASK_TEXTS = 20_000
 
 
+class _Sieve:
+    """Names as two bits each of a Bloom filter of bounded size, built by Spark: all that are in it pass, and a few others."""
+
+    def __init__(self, names: DataFrame):
+        words = filter_words(names.count())
+        self.last = 64 * words - 1
+        code = F.crc32(F.col("_n").cast("binary"))
+        places = names.select(F.explode(F.array(code.bitwiseAND(F.lit(self.last)), F.shiftright(code, 7).bitwiseAND(F.lit(self.last)))).alias("_p"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_p").bitwiseAND(F.lit(63)).cast("int"))
+        filled = places.groupBy(F.shiftright("_p", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        bits = np.zeros(words, "<i8")
+        bits[filled["word"].to_numpy()] = filled["bits"].to_numpy()
+        self.bits = bits.tobytes()
+
+    def __contains__(self, name: str) -> bool:
+        code = zlib.crc32(name.encode())
+        a, b = code & self.last, code >> 7 & self.last
+        return bool(self.bits[a >> 3] >> (a & 7) & self.bits[b >> 3] >> (b & 7) & 1)
+
+
 class _Names:
     """Names by their beginnings. At a place of a text only names of the lengths that its beginning has can stand, so a
-    place costs a look-up for each such length, however many names begin alike. Without ``names`` every part of such a length
-    counts, as names that are elsewhere may be."""
+    place costs a look-up for each such length, however many names begin alike."""
 
-    def __init__(self, lengths: dict[str, tuple[int, ...]], names: Collection[str] | None):
+    def __init__(self, lengths: dict[str, tuple[int, ...]], names: Container[str]):
         self.lengths, self.names = lengths, names
         self.short = any(len(g) < HEAD for g in lengths)
 
@@ -76,9 +98,7 @@ class _Names:
                     yield i, sizes
 
     def inside(self, text: str) -> set[str]:
-        names, end = self.names, len(text)
-        if names is None:
-            return {text[i : i + n] for i, sizes in self.places(text) for n in sizes if i + n <= end}
+        names = self.names
         return {x for i, sizes in self.places(text) for n in sizes if (x := text[i : i + n]) in names}
 
 
@@ -107,19 +127,20 @@ def _inside_ids(spark: SparkSession, names: dict[str, list], kind: DataType):
     return work
 
 
-def _parts(texts: DataFrame, names: DataFrame) -> DataFrame:
+def _parts(texts: DataFrame, names: DataFrame, exact: bool = True) -> DataFrame:
     """The columns of ``texts`` but ``_t``, and a row for each different name ``_n`` of ``names`` that ``_t`` contains. Both are in
-    lower case."""
+    lower case. Without ``exact`` other parts of ``_t`` may be among them, and they have met no names in a shuffle."""
     keep = [c for c in texts.columns if c != "_t"]
     names = names.select("_n").where("_n != ''").distinct()
     sent = [r["_n"] for r in names.limit(SENT_NAMES + 1).collect()]
     if len(sent) <= SENT_NAMES:
         return texts.select(*keep, F.explode(_inside(texts.sparkSession, _Names.of(frozenset(sent)))(F.col("_t"))).alias("_n"))
+    names = checkpoint(names)
     lengths = names.groupBy(F.substring("_n", 1, HEAD).alias("_g")).agg(F.collect_set(F.length("_n")).alias("_sizes"))
     heads = {r["_g"]: tuple(r["_sizes"]) for r in lengths.limit(SENT_NAMES + 1).collect()}
     if len(heads) <= SENT_NAMES:
-        parts = texts.select(*keep, F.explode(_inside(texts.sparkSession, _Names(heads, None))(F.col("_t"))).alias("_n"))
-        return parts.join(names, "_n").select(*keep, "_n")
+        parts = texts.select(*keep, F.explode(_inside(texts.sparkSession, _Names(heads, _Sieve(names)))(F.col("_t"))).alias("_n"))
+        return parts.join(names, "_n").select(*keep, "_n") if exact else parts.select(*keep, "_n")
     sizes = names.agg(F.array_sort(F.collect_set(F.least(F.length("_n"), F.lit(HEAD))))).first()[0]
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("_t")), lambda i: F.struct(i.alias("i"), F.substr(F.col("_t"), i, F.lit(n)).alias("g")))
     places = texts.where("_t != ''").select(*keep, "_t", F.explode(F.concat(*[grams(n) for n in sizes])).alias("_p")).select(*keep, "_t", F.col("_p.i").alias("_i"), F.col("_p.g").alias("_g"))
@@ -133,7 +154,7 @@ def names_contained(texts: DataFrame, names: DataFrame) -> DataFrame:
     ``texts``: ``text_id, text``; ``names``: ``name_id, name`` (a row for each alias). At each place of a text only the parts
     that are as long as a name of the same first three characters are looked up, as whole names, so work doesn't grow with
     the number of names that begin alike. Up to ``SENT_NAMES`` different names are sent to the texts, which then take part in
-    no shuffle; more meet them by equi-joins. Empty and null names and texts match nothing."""
+    no shuffle; of more a Bloom filter is sent, and the parts of texts that pass it meet them by an equi-join. Empty and null names and texts match nothing."""
     low = names.select("name_id", "name", F.lower("name").alias("_n")).where("_n != ''").distinct()
     hits = _parts(texts.select("text_id", F.lower("text").alias("_t")), low)
     return hits.join(low, "_n").select("text_id", "name_id", "name").distinct()
@@ -182,9 +203,10 @@ def lookup_rows(queries: DataFrame, rows: DataFrame, limit: int = 5, order: str
 
     ``queries``: ``query_id, query, model``. ``model`` matches rows of it or of none, a version in the query has to be in the row's.
     A blank or null query finds every row that fits.
-    Terms are looked for as in ``names_contained``, each once for all queries. Only a term's first ``limit`` rows of each model, and
-    of each version that is asked for with it, can be a query's first ones, so no more meet the queries; only keys take part
-    until the best are known."""
+    Terms are looked for as in ``names_contained``, each once for all queries. A term in which another one of its query stands
+    finds no more than that one, and a query whose version no row has finds nothing, so neither is looked for. Only a term's
+    first ``limit`` rows of each model, and of each version that is asked for with it, can be a query's first ones, so no more
+    meet the queries; only keys take part until the best are known."""
     columns = [c for c in ROW_COLUMNS if c in rows.columns]
     searched = [c for c in SEARCHED if c in rows.columns]
     most = min(max(limit, 1), 20)
@@ -193,22 +215,31 @@ def lookup_rows(queries: DataFrame, rows: DataFrame, limit: int = 5, order: str
     models = lambda c: F.when(c == "", F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("="), c), F.lit("=")))
     version = F.lower(F.coalesce(F.col("version").cast("string"), F.lit(""))) if "version" in rows.columns else F.lit("")
     asked_version = F.lower(F.regexp_extract("query", L.ROW_VERSION, 0)) if "version" in rows.columns else F.lit("")
-    asked = queries.select("query_id", F.explode(models(F.coalesce("model", F.lit("")))).alias("_key"), asked_version.alias("_v"), F.explode(T.row_terms(F.col("query"))).alias("_n"))
+    terms = lambda t: F.filter(t, lambda x: ~F.exists(t, lambda y: (y != x) & F.contains(x, y)))
     once = checkpoint(rows.dropDuplicates([order]))
     facts = once.select(order, F.concat(F.lit("="), F.coalesce("model", F.lit("")) if "model" in rows.columns else F.lit("")).alias("_own"), version.alias("_version"), F.lower(F.concat_ws("\x00", *[cell(c) for c in searched])).alias("_t"))
     # the asked versions that are in each version of a row
     seen = facts.select(F.col("_version").alias("text_id"), F.col("_version").alias("text")).distinct()
-    within = names_contained(seen, asked.select(F.col("_v").alias("name_id"), F.col("_v").alias("name")).distinct())
-    within = checkpoint(within.groupBy(F.col("text_id").alias("_version")).agg(F.collect_set("name_id").alias("_vs")))
-    within = F.broadcast(within) if within.count() <= SENT_NAMES else within
-    hits = _parts(facts.join(within, "_version", "left").select(order, "_own", F.concat(T.strings(("",)), F.coalesce("_vs", T.strings(()))).alias("_vs"), "_t"), asked.select("_n"))
+    met = names_contained(seen, queries.select(asked_version.alias("name_id"), asked_version.alias("name")).distinct())
+    met = checkpoint(met.select(F.col("text_id").alias("_version"), F.col("name_id").alias("_v")))
+    had = met.select("_v").distinct().unionByName(queries.sparkSession.range(1).select(F.lit("").alias("_v")))
+    within = met.groupBy("_version").agg(F.collect_set("_v").alias("_vs"))
+    if met.count() <= SENT_NAMES:
+        had, within = F.broadcast(had), F.broadcast(within)
+    said = queries.select("query_id", models(F.coalesce("model", F.lit(""))).alias("_keys"), F.coalesce(asked_version, F.lit("")).alias("_v"), T.row_terms(F.coalesce("query", F.lit(""))).alias("_terms"))
+    said = checkpoint(said.join(had, "_v", "left_semi").select("query_id", "_keys", "_v", terms(F.col("_terms")).alias("_terms")).distinct())
+    asked = said.select("query_id", "_keys", "_v", F.explode("_terms").alias("_n"))
+    hits = _parts(facts.join(within, "_version", "left").select(order, "_own", F.concat(T.strings(("",)), F.coalesce("_vs", T.strings(()))).alias("_vs"), "_t"), asked.select("_n"), exact=False)
     pairs = checkpoint(asked.select("_n", "_v").distinct())
-    hits = hits.select(order, "_own", "_n", F.explode("_vs").alias("_v")).join(F.broadcast(pairs) if pairs.count() <= SENT_NAMES else pairs, ["_n", "_v"], "left_semi")
-    hits = first(hits, "_n", "_v", "_own")
+    hits = hits.select(order, "_own", "_n", F.explode("_vs").alias("_v"))
+    if pairs.count() <= SENT_NAMES:
+        hits = first(hits.join(F.broadcast(pairs), ["_n", "_v"], "left_semi"), "_n", "_v", "_own")
+    else:  # cut before they are shuffled; the checkpoint keeps Spark from moving the join below
+        hits = checkpoint(first(hits, "_n", "_v", "_own")).join(pairs, ["_n", "_v"], "left_semi")
     hits = first(hits.select(order, "_n", "_v", F.explode(F.array("_own", F.lit("*"))).alias("_key")), "_n", "_v", "_key")
-    good = asked.distinct().join(hits, ["_n", "_v", "_key"]).select("query_id", order)
+    good = asked.select("query_id", "_n", "_v", F.explode("_keys").alias("_key")).join(hits, ["_n", "_v", "_key"]).select("query_id", order)
     # a blank query takes the first rows of all that fit: of its model's and none's first ones, or of every model's
-    blank = queries.where(F.size(T.row_terms(F.coalesce("query", F.lit("")))) == 0).select("query_id", F.explode(models(F.coalesce("model", F.lit("")))).alias("_key"))
+    blank = said.where(F.size("_terms") == 0).select("query_id", F.explode("_keys").alias("_key"))
     any_row = first(first(facts.select(order, "_own"), "_own").select(order, F.explode(F.array("_own", F.lit("*"))).alias("_key")), "_key")
     good = good.unionByName(blank.join(any_row, "_key").select("query_id", order)).distinct()
     place = F.row_number().over(W.partitionBy("query_id").orderBy(order))

@@ -190,7 +190,7 @@ def lookup_fallback(spark: SparkSession, d: str) -> DataFrame:
 def lookup_rows(spark: SparkSession, d: str) -> DataFrame:
     """Table rows for each application question asked, by its words, model and version."""
     rows = table(spark, d, "chunks").where("metadata.representation = 'table_row'").select("chunk_id", "doc_name", "text", "model", "version")
-    asked = table(spark, d, "application_questions").where(F.regexp_extract("id", "([0-9]+)$", 1).cast("long") % 20 == 0).select(F.col("id").alias("query_id"), F.col("question").alias("query"), "model").distinct()
+    asked = table(spark, d, "application_questions").select(F.col("id").alias("query_id"), F.col("question").alias("query"), "model").distinct()
     return lookup.lookup_rows(asked, rows, 5).select("query_id", "place", "chunk_id", "doc_name", "model", "version", F.md5("text").alias("digest"))
 
 
@@ -377,7 +377,7 @@ a AS (SELECT query_id, name_id FROM q JOIN p ON contains(lower(t), lower(name))
 b AS (SELECT query_id, min(name_id) AS name_id FROM q JOIN p ON {_strip('t')} <> '' AND contains(lower(name), lower({_strip('t')})) AND (own = '' OR own = m) GROUP BY 1)
 SELECT query_id, coalesce(a.name_id, b.name_id) IS NOT NULL AS found, CASE WHEN a.name_id IS NOT NULL THEN 'in text' WHEN b.name_id IS NOT NULL THEN 'like' END AS way, coalesce(a.name_id, b.name_id) AS parameter_id FROM q LEFT JOIN a USING (query_id) LEFT JOIN b USING (query_id)""",
     "lookup_rows": f"""WITH q AS (SELECT DISTINCT id AS query_id, coalesce(model, '') AS m, lower(regexp_extract(question, '(?i)(?:^|[^A-Za-z0-9])(V?[0-9]+(?:\\.[0-9]+)+)', 1)) AS v, list_distinct(list_filter(list_transform(list_concat([{_strip('question')}], regexp_extract_all(question, '{L.ROW_TERM}')), lambda x: lower(x)), lambda x: x <> '')) AS terms
-  FROM application_questions WHERE CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) % 20 = 0),
+  FROM application_questions),
 r AS (SELECT chunk_id, any_value(doc_name) AS doc_name, any_value(text) AS text, any_value(model) AS model, any_value(version) AS version FROM chunks WHERE metadata.representation = 'table_row' GROUP BY 1),
 h AS (SELECT query_id, chunk_id, doc_name, model, version, md5(text) AS digest FROM q JOIN r ON (m = '' OR coalesce(model, '') IN ('', m)) AND (v = '' OR contains(lower(coalesce(version, '')), v)) WHERE len(list_filter(terms, lambda t: contains(lower(coalesce(text, '')), t) OR contains(lower(coalesce(doc_name, '')), t))) > 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS place, chunk_id, doc_name, model, version, digest FROM h QUALIFY place <= 5""",

@@ -223,6 +223,29 @@ def test_row_lookup_is_the_first_of_all_that_fit(spark, monkeypatch):
         assert rows(lookup.lookup_rows(a, b, 3).select("query_id", "place", "chunk_id"), "query_id", "place") == sorted(want)
 
 
+def test_row_query_takes_every_question(spark, tmp_path):
+    asked = [(f"aq_{i}", "the valve" if i % 2 else "Ventil?", "M") for i in range(1, 41)] + [("aq", "valve", "O")]
+    store = [("c1", "a valve", "M", ("table_row",)), ("c2", "das Ventil? ja", "", ("table_row",)), ("c3", "valve", "M", ("narrative",))]
+    spark.createDataFrame(asked, "id string, question string, model string").write.parquet(f"{tmp_path}/application_questions.parquet")
+    spark.createDataFrame(store, "chunk_id string, text string, model string, metadata struct<representation:string>").select("*", F.lit("d").alias("doc_name"), F.lit("").alias("version")).write.parquet(f"{tmp_path}/chunks.parquet")
+    got = rows(corpus.lookup_rows(spark, str(tmp_path)).select("query_id", "place", "chunk_id"), "query_id")
+    assert got == sorted((q, 1, "c1" if "valve" in text else "c2") for q, text, m in asked if m == "M")
+    con = duckdb.connect()
+    for t in ("application_questions", "chunks"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(con.execute(f"SELECT query_id, place, chunk_id FROM ({corpus.SQL['lookup_rows']})").fetchall()) == got
+
+
+def test_many_names_of_few_beginnings(spark, monkeypatch):
+    """More names than are sent, whose beginnings are few: what passes their filter is looked up."""
+    monkeypatch.setattr(lookup, "SENT_NAMES", 30)
+    names = spark.range(500).select(F.col("id").alias("name_id"), F.concat(F.lit("Zel_"), F.col("id") * 7).alias("name")).unionByName(spark.createDataFrame([(900, "阀é")], "name_id long, name string"))
+    texts = spark.range(300).select(F.col("id").alias("text_id"), F.concat(F.lit("x zel_"), F.col("id") * 5, F.lit(" 阀É")).alias("text"))
+    want = sorted((i, k, f"Zel_{7 * k}") for i in range(300) for k in range(500) if str(5 * i).startswith(str(7 * k)))
+    got = rows(lookup.names_contained(texts, names), "text_id", "name_id")
+    assert sorted(got) == sorted([*want, *((i, 900, "阀é") for i in range(300))])
+
+
 def test_row_lookup_of_common_words(spark):
     """Each query has a word with each row in common: 120 million pairs, of which five a query count."""
     store = spark.range(30_000).select(F.format_string("c%06d", "id").alias("chunk_id"), F.concat(F.lit("the valve "), "id").alias("text"), F.lit("").alias("model"))
